@@ -145,24 +145,21 @@ def _dominating(top: int, have: list[int], left: dict[int, int], room: int) -> t
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
     """Patterns fixed by dominance, and the counts that are left."""
-    left, fixed, rest = {k: n for k, n in counts.items() if n}, [], {}
-    while left:
-        top = max(left)
-        n = left.pop(top)
-        others = left | ({top: n - 1} if n > 1 else {})
-        chosen = _dominating(top, sorted(others), others, capacity - top)
+    left, fixed, asked = {k: n for k, n in counts.items() if n}, [], set()
+    while open_ := left.keys() - asked:
+        top = max(open_)
+        others = left | {top: left[top] - 1}
+        chosen = _dominating(top, sorted(k for k, n in others.items() if n), others, capacity - top)
         if chosen is None:
-            rest[top] = n
+            asked.add(top)  # it stays among the others' companions
             continue
-        pattern, times = (top, *chosen), n
-        left[top] = n
-        for x in set(pattern):
-            times = min(times, left[x] // pattern.count(x))
+        pattern = (top, *chosen)
+        times = min(left[x] // pattern.count(x) for x in set(pattern))
         for x in pattern:
             left[x] -= times
-        left = {k: m for k, m in left.items() if m}
+        left = {k: n for k, n in left.items() if n}
         fixed.append((pattern, times))
-    return fixed, rest
+    return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
