@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Runs that count as content terms; characters that a token estimate takes one by one;
 #: marks taken out of an answer (fixed values).
@@ -19,12 +20,12 @@ TAGGED = r"(?s)<answer>(.*?)</answer>"
 TOKEN_MARGIN, CHARS_A_TOKEN = 1.25, 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else [None if y is None else unicodedata.normalize("NFKC", y) for y in x])
 

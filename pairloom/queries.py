@@ -161,7 +161,7 @@ def normalise_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise_answer(F.col("text")).alias("normal"))
 
 
-_ANSWERS = "answers AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE 'so <answer>' || substr(text, 1, 12 + turn) || '</answer> <answer>x</answer>' END AS generated, CASE WHEN turn % 2 = 0 THEN [substr(text, 3, 4), upper(substr(text, 1, 12 + turn)), ' '] ELSE ['-', substr(text, 2, 5)] END AS golds FROM conversations)"
+_ANSWERS = "answers AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE 'so <answer>' || substr(text, 1, 12 + turn) || '</answer> <answer>x</answer>' END AS generated, CASE WHEN turn % 2 = 0 THEN [substr(text, 3, 4), '「' || substr(text, 1, 12 + turn) || '」', ' '] ELSE ['-', substr(text, 2, 5)] END AS golds FROM conversations)"
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a, n: F.substring("text", F.lit(a), n if not isinstance(n, int) else F.lit(n))
     whole = part(1, (12 + F.col("turn")).cast("int"))
     said = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("so <answer>"), whole, F.lit("</answer> <answer>x</answer>")))
-    golds = F.when(F.col("turn") % 2 == 0, F.array(part(3, 4), F.upper(whole), F.lit(" "))).otherwise(F.array(F.lit("-"), part(2, 5)))
+    golds = F.when(F.col("turn") % 2 == 0, F.array(part(3, 4), F.concat(F.lit("「"), whole, F.lit("」")), F.lit(" "))).otherwise(F.array(F.lit("-"), part(2, 5)))
     return c.select("conv_id", "turn", said.alias("generated"), golds.alias("golds"))
 
 
