@@ -28,11 +28,10 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     empty result. Raises if it has not settled after ``max_steps`` double steps.
     """
     edges = stage_table(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_steps):
         edges = stage_table(_star(_star(edges, True), False), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
+        # settled when every node hangs on one root, and no root hangs on another
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf")))
+        if roles.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("low")).filter("up > 1 or (up = 1 and low = 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
     raise RuntimeError("connected components did not settle")
