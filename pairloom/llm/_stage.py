@@ -37,6 +37,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, rows_a_task: int = 250_000, least: int = 8) -> int:
+    """Tasks for so many narrow rows; shuffles of small tables then don't run one task a partition."""
+    return max(least, -(-rows // rows_a_task))
+
+
 def drop_tables() -> None:
     """Remove every table that :func:`stage_table` wrote; call it when their results are saved."""
     for path, spark in list(_written.items()):

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import stage_table
+from ._stage import stage_table, tasks_for
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Link each node's larger (or all other) neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least, "u").coalesce(tasks)
     out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v").distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
@@ -27,11 +27,15 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     Null ends and self links are passed over; repeated links count once; no edges give an
     empty result. Raises if it has not settled after ``max_steps`` double steps.
     """
-    edges = stage_table(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stage_table(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    size = edges.count()
+    tasks = tasks_for(2 * size)
+    if not size:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_steps):
-        edges = stage_table(_star(_star(edges, True), False), "edges")
+        edges = stage_table(_star(_star(edges, True, tasks), False, tasks), "edges")
         # settled when every node hangs on one root, and no root hangs on another
         roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf")))
-        if roles.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("low")).filter("up > 1 or (up = 1 and low = 0)").isEmpty():
+        if roles.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("low")).coalesce(tasks).filter("up > 1 or (up = 1 and low = 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError("connected components did not settle")
