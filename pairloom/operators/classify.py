@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import curves
@@ -28,10 +28,18 @@ def mean_per_query(pairs: DataFrame, metric: str, keys: list[str] = ROUTE) -> Da
     return per_query(pairs, metric, keys).groupBy(*keys).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("queries"))
 
 
+def half_columns() -> list[Column]:
+    hit = F.count_if((F.col("score") >= HALF) & (F.col("label") == 1)).cast("double")
+    return [(hit / F.greatest(F.count_if(F.col("score") >= HALF), F.lit(1))).alias("precision_at_half"), (hit / F.greatest(F.sum("label"), F.lit(1))).alias("recall_at_half")]
+
+
+def brier_column() -> Column:
+    return F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0))).alias("brier")
+
+
 def at_half(pairs: DataFrame, keys: list[str] = ROUTE) -> DataFrame:
     """Precision and recall of scores from 0.5 on; empty denominators count as 1."""
-    hit = F.count_if((F.col("score") >= HALF) & (F.col("label") == 1)).cast("double")
-    return pairs.groupBy(*keys).agg((hit / F.greatest(F.count_if(F.col("score") >= HALF), F.lit(1))).alias("precision_at_half"), (hit / F.greatest(F.sum("label"), F.lit(1))).alias("recall_at_half"))
+    return pairs.groupBy(*keys).agg(*half_columns())
 
 
 def calibration_bins(pairs: DataFrame, keys: list[str] = ROUTE, bins: int = BINS, ranges: int = curves.RANGES) -> DataFrame:
@@ -60,16 +68,16 @@ def ece(pairs: DataFrame, keys: list[str] = ROUTE, bins: int = BINS) -> DataFram
 
 
 def brier(pairs: DataFrame, keys: list[str] = ROUTE) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0))).alias("brier"))
+    return pairs.groupBy(*keys).agg(brier_column())
 
 
 def judge_metrics(pairs: DataFrame, probabilistic: bool, keys: list[str] = ROUTE, bins: int = BINS) -> DataFrame:
     """One row per route with every classification metric; ``error`` where a class is missing."""
-    points = curves.curve(pairs, keys)
-    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.avg("label").alias("positive_rate"), (F.min("label") == F.max("label")).alias("__one"))
-    parts = [curves.average_precision(points, keys), curves.roc_auc(points, keys), curves.best_f1(points, keys), mean_per_query(pairs, "roc_auc", keys).withColumnsRenamed({"value": "per_query_roc_auc", "queries": "per_query_count"})]
+    sure = [*half_columns(), brier_column()] if probabilistic else []
+    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.avg("label").alias("positive_rate"), (F.min("label") == F.max("label")).alias("__one"), *sure)
+    parts = [curves.summary(curves.curve(pairs, keys), keys), mean_per_query(pairs, "roc_auc", keys).withColumnsRenamed({"value": "per_query_roc_auc", "queries": "per_query_count"})]
     if probabilistic:
-        parts += [at_half(pairs, keys), ece(pairs, keys, bins), brier(pairs, keys)]
+        parts.append(ece(pairs, keys, bins))
     for part in parts:
         out = out.join(part, keys, "left")
     out = out.withColumn("error", F.when(F.col("__one"), F.lit("only one class")))

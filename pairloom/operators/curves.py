@@ -43,30 +43,54 @@ def curve(pairs: DataFrame, keys: list[str], weight: Column | None = None, range
     return points.drop("__range", "__tp", "__n", "__all")
 
 
-def average_precision(points: DataFrame, keys: list[str], name: str = "pr_auc") -> DataFrame:
+def _both() -> Column:
+    return (F.max("p") > 0) & (F.max("p") < F.max("total"))
+
+
+def _precision() -> Column:
+    return F.col("ctp").cast("double") / F.col("cn")
+
+
+def ap_column() -> Column:
     """Sum over distinct scores of recall gained times precision; null with one class only."""
-    gain = F.col("tp").cast("double") / F.greatest("p", F.lit(1)) * (F.col("ctp").cast("double") / F.col("cn"))
-    both = (F.max("p") > 0) & (F.max("p") < F.max("total"))
-    return points.groupBy(*keys).agg(F.when(both, F.sum(gain)).alias(name))
+    return F.when(_both(), F.sum(F.col("tp").cast("double") / F.greatest("p", F.lit(1)) * _precision()))
 
 
-def roc_auc(points: DataFrame, keys: list[str], name: str = "roc_auc") -> DataFrame:
+def roc_column() -> Column:
     """Share of (positive, negative) pairs in the right order, ties a half; null with one class."""
     neg, below = F.col("n") - F.col("tp"), F.col("p") - F.col("ctp")
     lost = neg.cast("double") * below + neg.cast("double") * F.col("tp") / F.lit(2.0)
     pairs = F.max("p").cast("double") * (F.max("total") - F.max("p"))
-    both = (F.max("p") > 0) & (F.max("p") < F.max("total"))
-    return points.groupBy(*keys).agg(F.when(both, F.lit(1.0) - F.sum(lost) / F.greatest(pairs, F.lit(1.0))).alias(name))
+    return F.when(_both(), F.lit(1.0) - F.sum(lost) / F.greatest(pairs, F.lit(1.0)))
 
 
-def best_f1(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Best F1 over thresholds with precision and recall; of equal ones the lowest threshold."""
-    precision, recall = F.col("ctp").cast("double") / F.col("cn"), F.col("ctp").cast("double") / F.greatest("p", F.lit(1))
+def f1_column() -> Column:
+    """Struct of the best F1 (f1, s: minus the threshold, pr, re); of equal ones the lowest threshold."""
+    precision, recall = _precision(), F.col("ctp").cast("double") / F.greatest("p", F.lit(1))
     f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))
-    best = F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("s"), precision.alias("pr"), recall.alias("re")))
-    both = (F.max("p") > 0) & (F.max("p") < F.max("total"))
-    out = points.groupBy(*keys).agg(F.when(both, best).alias("b"))
-    return out.select(*keys, F.col("b.f1").alias("best_f1"), (-F.col("b.s")).alias("best_f1_threshold"), F.col("b.pr").alias("best_f1_precision"), F.col("b.re").alias("best_f1_recall"))
+    return F.when(_both(), F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("s"), precision.alias("pr"), recall.alias("re"))))
+
+
+def f1_parts(b: str) -> list[Column]:
+    return [F.col(f"{b}.f1").alias("best_f1"), (-F.col(f"{b}.s")).alias("best_f1_threshold"), F.col(f"{b}.pr").alias("best_f1_precision"), F.col(f"{b}.re").alias("best_f1_recall")]
+
+
+def average_precision(points: DataFrame, keys: list[str], name: str = "pr_auc") -> DataFrame:
+    return points.groupBy(*keys).agg(ap_column().alias(name))
+
+
+def roc_auc(points: DataFrame, keys: list[str], name: str = "roc_auc") -> DataFrame:
+    return points.groupBy(*keys).agg(roc_column().alias(name))
+
+
+def best_f1(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Best F1 over thresholds with precision and recall."""
+    return points.groupBy(*keys).agg(f1_column().alias("b")).select(*keys, *f1_parts("b"))
+
+
+def summary(points: DataFrame, keys: list[str]) -> DataFrame:
+    """pr_auc, roc_auc and the best F1 in one pass over the curve."""
+    return points.groupBy(*keys).agg(ap_column().alias("pr_auc"), roc_column().alias("roc_auc"), f1_column().alias("b")).select(*keys, "pr_auc", "roc_auc", *f1_parts("b"))
 
 
 def precision_at_recall(points: DataFrame, keys: list[str], keep: float = 0.9) -> DataFrame:

@@ -192,8 +192,9 @@ def test_runs_resume_by_route(spark, tmp_path):
         raise RuntimeError("no service")
 
     path = str(tmp_path / "pairs")
-    for _ in range(2):
-        got = {r["route"]: r for r in judge.run_judge(spark, pool, {"pointwise": good, "crossencode": bad}, path, "d").collect()}
+    found = {"pointwise": good, "crossencode": bad}
+    judge.run_judge(spark, pool, found, path, "d")
+    got = {r["route"]: r for r in judge.run_judge(spark, pool, found, path, "d").collect()}
     assert len(calls) == 1 and got["pointwise"]["pr_auc"] == 1.0 and got["pointwise"]["brier"] is not None and got["bm25"]["brier"] is None
     assert "no service" in got["crossencode"]["error"]
     assert runs.datasets(spark, path, ["x", "d"]) == ["d"]
