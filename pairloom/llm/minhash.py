@@ -11,10 +11,9 @@ Exact copies are one class representative from the start. A bucket's signatures
 as arrays, and only proposals come out of it, never all its pairs: every member is proposed
 to the hub (the member most like all others, an original among its copies), and members that
 the hub isn't sure of to the one most like them. Proposals are verified and components are
-built; buckets that still hold several classes are gone through again, where each member
-outside the largest class proposes its likest member of another class, until a round brings
-no new link. Buckets of more than ``BLOCK_ROWS`` members are dealt over blocks, anew for each
-band and round.
+built; buckets of more than ``BLOCK_ROWS`` members are dealt over blocks for it. This only
+makes the classes large: then every pair of different classes of a bucket is compared, block
+by block over all pairs of blocks, and each pair that the estimate doesn't exclude is verified.
 """
 
 from __future__ import annotations
@@ -134,22 +133,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     size_of = bucket.count()
     few, some = tasks_for(size_of, 50_000), tasks_for(size_of, 5_000)
     texts = stage_table(base.select(F.col("id").alias("rep"), "text").join(bucket.select("rep").distinct(), "rep", "left_semi").coalesce(some), "texts")
-    slim, least, links, root, step = signed.select("rep", "sig"), threshold - ESTIMATE_MARGIN, None, None, 0
+    slim, least, links, root = signed.select("rep", "sig"), threshold - ESTIMATE_MARGIN, None, None
+    arranged = lambda x: x.join(slim, "rep").select("key", "block", "rep", "class", "sig").repartition("key", "block").sortWithinPartitions("key", "block").coalesce(some)
+    dealt = arranged(bucket.select("key", "rep", F.col("rep").alias("class"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK_ROWS)).alias("block")))
+    near = dealt.mapInArrow(lambda x: _proposed(x, least, threshold), f"a {kind}, b {kind}").distinct().coalesce(few)
+    fresh = stage_table(_checked(near, texts, size, threshold, some), "links")
     here = bucket.select("key", "n", "rep", F.col("rep").alias("class"))
-    while True:
-        blocks_of = F.pmod(F.xxhash64("rep", "key", F.lit(step)), F.ceil(F.col("n") / BLOCK_ROWS))
-        dealt = here.withColumn("block", blocks_of).join(slim, "rep").select("key", "block", "rep", "class", "sig").repartition("key", "block").sortWithinPartitions("key", "block").coalesce(some)
-        near = dealt.mapInArrow(lambda x, sure=threshold if step == 0 else None: _proposed(x, least, sure), f"a {kind}, b {kind}").distinct().coalesce(few)
-        both = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").coalesce(some)
-        fresh = stage_table(both.mapInArrow(lambda x: _verified(x, size, threshold), f"a {kind}, b {kind}"), "links")
-        if fresh.isEmpty():
-            break
-        links = fresh if links is None else links.unionByName(fresh)
+    if not fresh.isEmpty():
+        links = fresh
         root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        step += 1
         here = bucket.join(root, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("root", "rep").alias("class"))
         mixed = here.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
         here = here.join(mixed, "key", "left_semi")
+    if size_of:
+        left = stage_table(arranged(_paired(here)).mapInArrow(lambda x: _proposed(x, least, None), f"a {kind}, b {kind}, share float").distinct().coalesce(few), "left")
+        # the likest first: what they link need not be verified again, and classes only grow
+        for low, high in ((threshold, 2.0), (0.0, threshold)):
+            near = left.filter((F.col("share") >= low) & (F.col("share") < high)).select("a", "b")
+            if root is not None:
+                near = near.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            fresh = stage_table(_checked(near, texts, size, threshold, some), "links")
+            if not fresh.isEmpty():
+                links = fresh if links is None else links.unionByName(fresh)
+                root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if links is None:
         links = spark.createDataFrame([], f"a {kind}, b {kind}")
         root = spark.createDataFrame([], f"node {kind}, root {kind}")
@@ -160,17 +166,47 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _best_foreign(sig: np.ndarray, of: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """For each member outside the largest class: the member of another class most like it, if alike enough."""
-    names, code, sizes = np.unique(of, return_inverse=True, return_counts=True)
-    ask = np.flatnonzero(code != sizes.argmax())
-    for k in range(0, len(ask), 32):
-        rows = ask[k : k + 32]
-        share = (sig[rows, None, :] == sig[None, :, :]).mean(axis=2)
-        share[code[rows][:, None] == code[None, :]] = -1
-        best = share.argmax(axis=1)
-        good = share[np.arange(len(rows)), best] >= least
-        yield from zip(rows[good].tolist(), best[good].tolist(), strict=True)
+def _checked(near: DataFrame, texts: DataFrame, size: int, threshold: float, tasks: int) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose whole shingle sets reach the threshold."""
+    kind = near.schema["a"].dataType.simpleString()
+    both = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").coalesce(tasks)
+    return both.mapInArrow(lambda x: _verified(x, size, threshold), f"a {kind}, b {kind}")
+
+
+def _paired(here: DataFrame) -> DataFrame:
+    """Members with the blocks to compare them in, so that any two of different classes of a bucket meet.
+
+    A bucket of up to ``BLOCK_ROWS`` members is one block. In a larger one each large class has
+    parts of its own and the rest has others; a block is a pair of parts, but for two of one class.
+    """
+    half = max(1, BLOCK_ROWS // 2)
+    one = here.filter(F.col("n") <= BLOCK_ROWS).select("key", "rep", "class", F.lit(0).cast("long").alias("block"))
+    large = here.filter(F.col("n") > BLOCK_ROWS)
+    classes = large.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c")).withColumn("owner", F.when(F.col("c") > half // 2, F.col("class")))
+    parts = classes.groupBy("key", "owner").agg(F.ceil(F.sum("c") / half).cast("int").alias("deal"))
+    others = parts.groupBy("key").agg(F.collect_list(F.struct("owner", "deal")).alias("others"))
+    part = lambda owner, k: F.concat(F.when(owner.isNull(), "rest").otherwise(F.concat(F.lit("of "), owner.cast("string"))), F.lit(":"), k.cast("string"))
+    mine = large.join(classes.select("key", "class", "owner"), ["key", "class"]).join(others, "key")
+    deal = F.filter("others", lambda x: x["owner"].eqNullSafe(F.col("owner")))[0]["deal"]
+    mine = mine.withColumn("mine", part(F.col("owner"), F.pmod(F.xxhash64("rep", "key"), deal)))
+    foreign = F.filter("others", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("owner")))
+    theirs = F.flatten(F.transform(foreign, lambda x: F.transform(F.sequence(F.lit(0), x["deal"] - 1), lambda k: part(x["owner"], k))))
+    many = mine.select("key", "rep", "class", "mine", F.explode(theirs).alias("theirs"))
+    return one.unionByName(many.select("key", "rep", "class", F.xxhash64(F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("block")))
+
+
+def _all_foreign(sig: np.ndarray, of: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
+    """Every pair of different classes that is alike enough, with its share; a pair may come twice."""
+    _, code, sizes = np.unique(of, return_inverse=True, return_counts=True)
+    ask, by_part = np.flatnonzero(code != sizes.argmax()), np.ascontiguousarray(sig.T)
+    for k in range(0, len(ask), 64):
+        rows = ask[k : k + 64]
+        same = np.zeros((len(rows), len(sig)), np.uint16)
+        for x in by_part:
+            same += x[rows, None] == x[None, :]
+        good = (same >= least * sig.shape[1] - 1e-9) & (code[rows][:, None] != code[None, :])
+        for i, j in np.argwhere(good).tolist():
+            yield int(rows[i]), j, float(same[i, j]) / sig.shape[1]
 
 
 def _hub_and_best(sig: np.ndarray, least: float, sure: float) -> Iterator[tuple[int, int]]:
@@ -187,17 +223,17 @@ def _hub_and_best(sig: np.ndarray, least: float, sure: float) -> Iterator[tuple[
 
 
 def _proposed(batches: Iterator[pa.RecordBatch], least: float, sure: float | None) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify of each (key, block); rows come sorted by both, and groups go over batches."""
+    """Pairs to verify of each (key, block), without ``sure`` all of them with their shares; rows come sorted by both, and groups go over batches."""
     kept: list[pa.RecordBatch] = []
 
-    def pairs(group: pa.Table) -> tuple[list, list]:
+    def pairs(group: pa.Table) -> list[tuple]:
         of, rep = np.array(group["class"].to_pylist()), group["rep"].to_pylist()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(len(rep), -1)
         if not (of != of[0]).any():
-            return [], []
-        ask = _best_foreign(sig, of, least) if sure is None else _hub_and_best(sig, least, sure)
-        found = [sorted((rep[i], rep[j])) for i, j in ask if rep[i] != rep[j]]
-        return [x for x, _ in found], [y for _, y in found]
+            return []
+        if sure is None:
+            return [(*sorted((rep[i], rep[j])), share) for i, j, share in _all_foreign(sig, of, least)]
+        return [tuple(sorted((rep[i], rep[j]))) for i, j in _hub_and_best(sig, least, sure) if rep[i] != rep[j]]
 
     def closed(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, block = table["key"].to_numpy(), table["block"].to_numpy()
@@ -205,9 +241,10 @@ def _proposed(batches: Iterator[pa.RecordBatch], least: float, sure: float | Non
         out = set()
         for first, end in zip(cuts, cuts[1:], strict=False):
             if end - first > 1:
-                out.update(zip(*pairs(table.slice(first, end - first)), strict=True))
+                out.update(pairs(table.slice(first, end - first)))
         kind = table.schema.field("rep").type
-        yield pa.record_batch({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
+        found = {"a": pa.array([x[0] for x in out], kind), "b": pa.array([x[1] for x in out], kind)}
+        yield pa.record_batch(found | {"share": pa.array([x[2] for x in out], pa.float32())} if sure is None else found)
 
     for batch in batches:
         if not batch.num_rows:

@@ -106,6 +106,27 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert got == roots(pairs, {r[0] for r in rows})
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
+    import pyarrow as pa
+
+    # one band of one component: a pair has one bucket and no other chance, and all estimates are equal
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(12):  # a pair of copies among texts that are too far from it and from each other
+        base = [word() for _ in range(100)]
+        texts += [[*base[:80], *(word() for _ in range(20))] for _ in range(6)] + [base, [*base[:97], word(), word(), word()]]
+    rows = near_rows(5)
+    rows += [(len(rows) + k, " ".join(t), "en") for k, t in enumerate(texts)]
+    [signed] = minhash._signed([pa.record_batch({"id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})], 1, 1, 5)
+    key = dict(zip(signed["rep"].to_pylist(), signed["keys"].to_pylist(), strict=True))
+    pairs = [(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if a[1] == b[1] or key[a[0]] == key[b[0]] and brute_jaccard(a[1], b[1]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs(spark, rows), bands=1, rows=1).collect()}
+    assert got == roots(pairs, {r[0] for r in rows})
+
+
 def test_near_duplicates_of_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "one two", "x"), (5, "one  two", "x"), (6, "one two", "x"), (6, "one two", "x"), (None, "one two", "x"), (7, "w " * 40_000, "x"), (8, "w " * 39_999, "x")]
     got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicate_classes(docs(spark, rows)).collect())
