@@ -1,11 +1,10 @@
-"""Near-duplicates by ProbMinHash: weighted signatures, banding, estimate and verification.
+"""Near-duplicates by ProbMinHash: signatures, banding, estimate and verification.
 
-Each five-word shingle, weighted by its count, runs a Poisson process whose rate is the
-weight; every arrival goes to a hashed signature component, which keeps the earliest. The
+Each distinct five-word shingle runs a Poisson process whose rate is its weight, here 1; every arrival goes to a hashed signature component, which keeps the earliest. The
 process of a shingle ends as soon as its arrival is later than every component's, so the
 work for a text is near its number of shingles. The share of equal components estimates the
-probability Jaccard of two texts; pairs that may reach the threshold are verified on their
-whole shingle sets.
+probability Jaccard of two texts, which for equal weights is the Jaccard of their shingle
+sets; pairs that may reach the threshold are verified on those whole sets.
 
 Exact copies are one class representative from the start. A bucket's signatures are compared
 as arrays, and only proposals come out of it, never all its pairs: every member is proposed
@@ -67,7 +66,8 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int)
         for first, data, offsets in blocks(batch.column(1)):
             n = len(offsets) - 1
             _, _, doc, hashes = words(data, offsets)
-            sig = signatures(*counted(*shingles(doc, hashes, size)), n, m)
+            doc, sh, _ = counted(*shingles(doc, hashes, size))
+            sig = signatures(doc, sh, np.ones(len(doc)), n, m)  # of the sets that are verified, not of counts
             some = np.flatnonzero((sig != _NEVER).any(axis=1))
             sig = mix(sig[some])
             keys = np.zeros((len(some), bands), U)

@@ -157,6 +157,20 @@ def test_signatures_estimate_probability_jaccard():
     assert np.unique(sig).size > 100
 
 
+def test_candidates_follow_the_verified_measure():
+    import numpy as np
+    import pyarrow as pa
+
+    head, passage = [f"w{k}" for k in range(100)], [f"p{k}" for k in range(30)]
+    for times in (5, 10, 60):  # a repeated passage changes counts, and hardly the set
+        a, b = " ".join(head + passage), " ".join(head + passage * times)
+        [signed] = minhash._signed([pa.record_batch({"id": pa.array([1, 2]), "text": pa.array([a, b])})], minhash.BANDS, minhash.ROWS, minhash.SHINGLE)
+        one, two = (np.frombuffer(x, "<u2") for x in signed["sig"].to_pylist())
+        assert brute_jaccard(a, b) > 0.95 and (one == two).mean() > 0.9
+        keys = signed["keys"].to_pylist()
+        assert len(set(keys[0]) & set(keys[1])) > 16
+
+
 # --- URLs ---
 
 
