@@ -77,17 +77,38 @@ def alias_key(url: Column) -> Column:
     return F.concat(F.lit("//"), host_of(bare), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` of a link on the page ``base`` as an absolute url, or null if it has none."""
+    page = F.regexp_replace(base, r"(?s)[?#].*$", "")
+    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"(?s)[?#].*$", 0)
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path)), "/")
+    up = lambda got: F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(1)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda got, x: F.when(x == "..", up(got)).when(x == ".", got).otherwise(F.concat(got, F.array(x))))
+    joined = F.concat(origin, F.array_join(walked, "/"), rest)
+    return (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (origin == ""), None)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"^[?#]"), F.concat(page, target))
+        .otherwise(joined)
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (u, v) between urls: canonical links and refresh redirects in the html, by alias key.
 
-    Only absolute targets count; null urls and html give none.
+    Relative targets are resolved against the page's url (a ``base`` tag isn't looked at); null
+    urls and html, and targets of other schemes without ``://``, give none.
     """
     html, url = F.col(html_col), F.col(url_col)
     tag = lambda pattern: F.regexp_extract(html, pattern, 0)
     link = tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
     meta = tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
     found = F.array(F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return pages.filter(url.isNotNull() & html.isNotNull()).select(alias_key(url).alias("u"), F.explode(F.filter(found, lambda x: x.contains("://"))).alias("v")).select("u", alias_key(F.col("v")).alias("v"))
+    return pages.filter(url.isNotNull() & html.isNotNull()).select(alias_key(url).alias("u"), F.explode(F.filter(F.transform(found, lambda x: resolved(url, x)), lambda x: x.isNotNull())).alias("v")).select("u", alias_key(F.col("v")).alias("v"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

@@ -195,6 +195,16 @@ def test_blocks_follow_redirects_and_allows_win(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_targets_are_edges(spark):
+    link = lambda u: f"<link rel='canonical' href='{u}'>"
+    meta = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
+    page = "http://a.net/d/e/f?q=1"
+    targets = [link("/x"), link("//b.net/y"), meta("/z"), link("g"), link("../h"), link("./../../../i"), link("?r=2"), link("mailto:x"), link("/j?u=http://k.net/"), link("http://l.net/m")]
+    rows = spark.createDataFrame([(page, t) for t in targets] + [("no url", link("/x"))], "url string, html string")
+    got = sorted(r["v"] for r in url_filter.page_links(rows).collect())
+    assert got == sorted(["//a.net/x", "//b.net/y", "//a.net/z", "//a.net/d/e/g", "//a.net/d/h", "//a.net/i", "//a.net/d/e/f?r=2", "//a.net/j?u=http://k.net/", "//l.net/m"])
+
+
 # --- sampling ---
 
 
