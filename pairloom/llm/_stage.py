@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a local master whose session names no checkpoint folder, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
 _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; sets a local default where none is named."""
+    """The cluster's shared checkpoint folder; a local master has a default where none is named.
+
+    On a cluster without the setting it raises: executors don't share a machine's own folders.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = DEFAULT_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
@@ -37,6 +44,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(taken: Iterable[str], name: str) -> str:
+    """``name``, longer where a column of that name is there already (names ignore case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def tasks_for(rows: int, rows_a_task: int = 250_000, least: int = 8) -> int:
     """Tasks for so many narrow rows; shuffles of small tables then don't run one task a partition."""
     return max(least, -(-rows // rows_a_task))

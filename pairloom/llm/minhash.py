@@ -1,18 +1,20 @@
-"""Near-duplicates by ProbMinHash: signatures, banding, estimate and verification.
-
-Each distinct five-word shingle runs a Poisson process whose rate is its weight, here 1; every arrival goes to a hashed signature component, which keeps the earliest. The
-process of a shingle ends as soon as its arrival is later than every component's, so the
-work for a text is near its number of shingles. The share of equal components estimates the
-probability Jaccard of two texts, which for equal weights is the Jaccard of their shingle
-sets; pairs that may reach the threshold are verified on those whole sets.
-
-Exact copies are one class representative from the start. A bucket's signatures are compared
-as arrays, and only proposals come out of it, never all its pairs: every member is proposed
-to the hub (the member most like all others, an original among its copies), and members that
-the hub isn't sure of to the one most like them. Proposals are verified and components are
-built; buckets of more than ``BLOCK_ROWS`` members are dealt over blocks for it. This only
-makes the classes large: then every pair of different classes of a bucket is compared, block
-by block over all pairs of blocks, and each pair that the estimate doesn't exclude is verified.
+"""Near-duplicates by ProbMinHash: signatures, banding and verification on whole shingle sets.
+
+Each distinct five-word shingle of a text runs a Poisson process whose rate is its weight, here
+1; every arrival goes to a hashed signature component, which keeps the earliest. The process of
+a shingle ends as soon as its arrival is later than every component's, so the work for a text is
+near its number of shingles. Bands of components make the buckets in which texts are compared.
+
+One measure holds from the signatures to the links: the Jaccard of the sets of distinct shingles.
+Inside a bucket every pair of texts is compared on the whole sets, or is in one class already;
+no estimate leaves a pair out, and no pair is ever a row: a task holds one block of a bucket,
+compares one text at a time with all others through an inverted index of the block, and emits
+only the links that join two classes. A text that joins most others (an original among its
+copies) comes first, so a group of copies costs one comparison each.
+
+A bucket too large for one block is dealt over blocks that share some anchor texts, which makes
+its classes large; then the parts of its different classes meet in pairs of parts, so that any
+two of its texts in different classes are compared. Buckets of the same texts are one bucket.
 """
 
 from __future__ import annotations
@@ -21,21 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import stage_table, tasks_for
+from ._stage import fresh_name, stage_table
 from ._words import U, blocks, counted, mix, shingles, words
 from .components import connected_components
+from .salted import SALTS, back_to_rows, salt_bit, salt_of, with_group
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 5 components: a pair at 0.8 shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
-#: Pairs estimated this much below the threshold are not verified: near five standard errors
-#: of 160 components, so a pair at 0.8 is passed over about once in a million times.
-ESTIMATE_MARGIN = 0.15
-#: Members of a bucket whose signatures are compared in one place.
-BLOCK_ROWS = 2048
+#: Texts, and shingles of all its texts, that a block of a bucket holds about.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Texts of a large bucket that all of its blocks share.
+ANCHORS = 64
+#: Bytes of a text's SHA-256 that name it; two texts share them never in practice (128 bits).
+NODE_BYTES = 16
 _NEVER = U(0)
 
 
@@ -60,211 +64,262 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return out.reshape(texts, m)
 
 
+def _shingled(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, texts, text index, shingle) of blocks of texts, each text's shingles once."""
+    for first, data, offsets in blocks(column):
+        _, _, doc, hashes = words(data, offsets)
+        doc, found, _ = counted(*shingles(doc, hashes, size))
+        yield first, len(offsets) - 1, doc, found
+
+
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    m = bands * rows
+    """(node, text) to (node, n_shingles, keys): a key for each band; texts without a shingle have no row."""
     for batch in batches:
-        for first, data, offsets in blocks(batch.column(1)):
-            n = len(offsets) - 1
-            _, _, doc, hashes = words(data, offsets)
-            doc, sh, _ = counted(*shingles(doc, hashes, size))
-            sig = signatures(doc, sh, np.ones(len(doc)), n, m)  # of the sets that are verified, not of counts
-            some = np.flatnonzero((sig != _NEVER).any(axis=1))
-            sig = mix(sig[some])
+        for first, n, doc, found in _shingled(batch.column(1), size):
+            sig = signatures(doc, found, np.ones(len(doc)), n, bands * rows)
+            counts = np.bincount(doc, minlength=n)
+            some = np.flatnonzero(counts)
+            parts = mix(sig[some]).reshape(len(some), bands, rows)
             keys = np.zeros((len(some), bands), U)
             for k in range(rows):
-                keys = mix(keys + sig.reshape(-1, bands, rows)[:, :, k], k + 9)
+                keys = mix(keys + parts[:, :, k], k + 9)
             keys = mix(keys + np.arange(bands, dtype=U))  # the band is part of the key
-            small = (sig & U(0xFFFF)).astype("<u2")
+            ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands)
             yield pa.record_batch({
-                "rep": batch.column(0).slice(first, n).take(pa.array(some)),
-                "sig": pa.array([x.tobytes() for x in small], pa.binary()),
-                "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64))),
+                "node": batch.column(0).slice(first, n).take(pa.array(some)),
+                "n_shingles": pa.array(counts[some].astype(np.int64)),
+                "keys": pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))),
             })
 
 
-def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, data, offsets in blocks(column):
-        _, _, doc, hashes = words(data, offsets)
-        doc, sh, _ = counted(*shingles(doc, hashes, size))
-        out += np.split(sh, np.searchsorted(doc, np.arange(1, len(offsets) - 1))) if len(offsets) > 2 else [sh]
-    return out
+def _as_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, shingles): the distinct 64-bit shingles in rising order."""
+    for batch in batches:
+        for first, n, doc, found in _shingled(batch.column(1), size):
+            cuts = np.searchsorted(doc, np.arange(n + 1)).tolist()
+            sets = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.record_batch({"node": batch.column(0).slice(first, n), "shingles": pa.array(sets, pa.binary())})
 
 
-def _verified(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            for a, b in zip(_sets(part.column(2), size), _sets(part.column(3), size), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and both >= threshold * (len(a) + len(b) - both) - 1e-9)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def similar(both, a, b, threshold: float):
+    """Whether sets of ``a`` and ``b`` elements with ``both`` in common reach the threshold."""
+    return (both > 0) & (both >= threshold * (a + b - both) - 1e-9)
 
 
 def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     """Exact similarity of two texts' shingle sets (0 if both have none)."""
-    x, y = _sets(pa.array([a]), size)[0], _sets(pa.array([b]), size)[0]
+    [(_, _, doc, found)] = _shingled(pa.array([a, b]), size)
+    x, y = found[doc == 0], found[doc == 1]
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """One row per input row with an id: id, class_id, class_size, n_links.
+def joining_links(sets: list[np.ndarray], group: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all groups (small ints) that some pair of similar sets joins.
 
-    class_id is the least id of the class; n_links counts verified links of the text's
-    representative to others (copies not expanded, not every link of a settled class is
-    looked for). Null ids are passed over. Null and empty texts, and texts of white space
-    only, have no shingles: they are classes of their exact copies. Repeated rows and exact
-    copies (same text) share a class. Other columns are not read.
+    A pivot is compared with all sets at once. It ends when all sets that were no pivot are in
+    one group: each pair of different groups had a pivot in it then, and was compared.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id is not null")
-    base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    groups = base.select("id", "digest").groupBy("digest").agg(F.min("id").alias("rep"))
-    member = stage_table(base.select("id", "digest").join(groups, "digest").select("id", "rep"), "member")
-    reps = member.select("rep").distinct()
-    unique = base.select(F.col("id").alias("rep"), "text").join(reps, "rep", "left_semi")
-    kind = docs.schema[id_col].dataType.simpleString()
-    signed = stage_table(unique.mapInArrow(lambda b: _signed(b, bands, rows, size), f"rep {kind}, sig binary, keys array<long>"), "signed")
-    keyed = signed.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bucket = stage_table(keyed.join(shared, "key").coalesce(tasks_for(bands * signed.count())), "bucket")
-    size_of = bucket.count()
-    few, some = tasks_for(size_of, 50_000), tasks_for(size_of, 5_000)
-    texts = stage_table(base.select(F.col("id").alias("rep"), "text").join(bucket.select("rep").distinct(), "rep", "left_semi").coalesce(some), "texts")
-    slim, least, links, root = signed.select("rep", "sig"), threshold - ESTIMATE_MARGIN, None, None
-    arranged = lambda x: x.join(slim, "rep").select("key", "block", "rep", "class", "sig").repartition("key", "block").sortWithinPartitions("key", "block").coalesce(some)
-    dealt = arranged(bucket.select("key", "rep", F.col("rep").alias("class"), F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / BLOCK_ROWS)).alias("block")))
-    near = dealt.mapInArrow(lambda x: _proposed(x, least, threshold), f"a {kind}, b {kind}").distinct().coalesce(few)
-    fresh = stage_table(_checked(near, texts, size, threshold, some), "links")
-    here = bucket.select("key", "n", "rep", F.col("rep").alias("class"))
-    if not fresh.isEmpty():
-        links = fresh
-        root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        here = bucket.join(root, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("root", "rep").alias("class"))
-        mixed = here.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-        here = here.join(mixed, "key", "left_semi")
-    if size_of:
-        left = stage_table(arranged(_paired(here)).mapInArrow(lambda x: _proposed(x, least, None), f"a {kind}, b {kind}, share float").distinct().coalesce(few), "left")
-        # the likest first: what they link need not be verified again, and classes only grow
-        for low, high in ((threshold, 2.0), (0.0, threshold)):
-            near = left.filter((F.col("share") >= low) & (F.col("share") < high)).select("a", "b")
-            if root is not None:
-                near = near.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            fresh = stage_table(_checked(near, texts, size, threshold, some), "links")
-            if not fresh.isEmpty():
-                links = fresh if links is None else links.unionByName(fresh)
-                root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    if links is None:
-        links = spark.createDataFrame([], f"a {kind}, b {kind}")
-        root = spark.createDataFrame([], f"node {kind}, root {kind}")
-    links = links.distinct()
-    n_links = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
-    out = member.join(root, F.col("rep") == F.col("node"), "left").select("id", "rep", F.coalesce("root", "rep").alias("class_id")).join(n_links, "rep", "left")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _checked(near: DataFrame, texts: DataFrame, size: int, threshold: float, tasks: int) -> DataFrame:
-    """The pairs (a, b) of ``near`` whose whole shingle sets reach the threshold."""
-    kind = near.schema["a"].dataType.simpleString()
-    both = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").coalesce(tasks)
-    return both.mapInArrow(lambda x: _verified(x, size, threshold), f"a {kind}, b {kind}")
-
-
-def _paired(here: DataFrame) -> DataFrame:
-    """Members with the blocks to compare them in, so that any two of different classes of a bucket meet.
-
-    A bucket of up to ``BLOCK_ROWS`` members is one block. In a larger one each large class has
-    parts of its own and the rest has others; a block is a pair of parts, but for two of one class.
-    """
-    half = max(1, BLOCK_ROWS // 2)
-    one = here.filter(F.col("n") <= BLOCK_ROWS).select("key", "rep", "class", F.lit(0).cast("long").alias("block"))
-    large = here.filter(F.col("n") > BLOCK_ROWS)
-    classes = large.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c")).withColumn("owner", F.when(F.col("c") > half // 2, F.col("class")))
-    parts = classes.groupBy("key", "owner").agg(F.ceil(F.sum("c") / half).cast("int").alias("deal"))
-    others = parts.groupBy("key").agg(F.collect_list(F.struct("owner", "deal")).alias("others"))
-    part = lambda owner, k: F.concat(F.when(owner.isNull(), "rest").otherwise(F.concat(F.lit("of "), owner.cast("string"))), F.lit(":"), k.cast("string"))
-    mine = large.join(classes.select("key", "class", "owner"), ["key", "class"]).join(others, "key")
-    deal = F.filter("others", lambda x: x["owner"].eqNullSafe(F.col("owner")))[0]["deal"]
-    mine = mine.withColumn("mine", part(F.col("owner"), F.pmod(F.xxhash64("rep", "key"), deal)))
-    foreign = F.filter("others", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("owner")))
-    theirs = F.flatten(F.transform(foreign, lambda x: F.transform(F.sequence(F.lit(0), x["deal"] - 1), lambda k: part(x["owner"], k))))
-    many = mine.select("key", "rep", "class", "mine", F.explode(theirs).alias("theirs"))
-    return one.unionByName(many.select("key", "rep", "class", F.xxhash64(F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("block")))
-
-
-def _all_foreign(sig: np.ndarray, of: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
-    """Every pair of different classes that is alike enough, with its share; a pair may come twice."""
-    _, code, sizes = np.unique(of, return_inverse=True, return_counts=True)
-    ask, by_part = np.flatnonzero(code != sizes.argmax()), np.ascontiguousarray(sig.T)
-    for k in range(0, len(ask), 64):
-        rows = ask[k : k + 64]
-        same = np.zeros((len(rows), len(sig)), np.uint16)
-        for x in by_part:
-            same += x[rows, None] == x[None, :]
-        good = (same >= least * sig.shape[1] - 1e-9) & (code[rows][:, None] != code[None, :])
-        for i, j in np.argwhere(good).tolist():
-            yield int(rows[i]), j, float(same[i, j]) / sig.shape[1]
-
-
-def _hub_and_best(sig: np.ndarray, least: float, sure: float) -> Iterator[tuple[int, int]]:
-    """Each member with the hub, if alike enough, and where the hub isn't ``sure`` with its likest."""
-    n = len(sig)
-    share = np.zeros((n, n), np.float32)
-    for k in range(0, n, 32):
-        share[k : k + 32] = (sig[k : k + 32, None, :] == sig[None, :, :]).mean(axis=2)
-    hub = int(share.sum(axis=1).argmax())
-    yield from ((hub, int(i)) for i in np.flatnonzero(share[hub] >= least) if i != hub)
-    np.fill_diagonal(share, -1)
-    best = share.argmax(axis=1)
-    yield from ((int(i), int(best[i])) for i in np.flatnonzero((share[hub] < sure) & (share.max(axis=1) >= least)) if i != hub and best[i] != hub)
-
-
-def _proposed(batches: Iterator[pa.RecordBatch], least: float, sure: float | None) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify of each (key, block), without ``sure`` all of them with their shares; rows come sorted by both, and groups go over batches."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = np.intersect1d(*sets, assume_unique=True).size if group[0] != group[1] else 0
+        return [(0, 1)] if similar(both, *size, threshold) else []
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, spot = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = owner[np.argsort(spot, kind="stable")]
+    spread = np.bincount(spot)  # sets that hold each shingle
+    begin, ends = np.cumsum(spread) - spread, np.cumsum(size)
+    likeness = np.bincount(owner, spread[spot], len(sets)) / np.maximum(size, 1)
+    group, waits, out = group.copy(), np.ones(len(sets), bool), []
+    pivot = int(likeness.argmax())
+    while True:
+        waits[pivot] = False
+        own = spot[ends[pivot] - size[pivot] : ends[pivot]]
+        n = spread[own]
+        at = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(sets))
+        joined = np.flatnonzero(similar(both, size[pivot], size, threshold) & (group != group[pivot]))
+        for other, first in zip(*np.unique(group[joined], return_index=True), strict=True):
+            out.append((pivot, int(joined[first])))
+            group[group == other] = group[pivot]
+        sizes = np.bincount(group[waits], minlength=1)
+        outside = np.flatnonzero(waits & (group != sizes.argmax()))
+        if not len(outside):
+            return out
+        pivot = int(outside[likeness[outside].argmax()])
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, block), the first two columns, which the rows come sorted by."""
     kept: list[pa.RecordBatch] = []
-
-    def pairs(group: pa.Table) -> list[tuple]:
-        of, rep = np.array(group["class"].to_pylist()), group["rep"].to_pylist()
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(len(rep), -1)
-        if not (of != of[0]).any():
-            return []
-        if sure is None:
-            return [(*sorted((rep[i], rep[j])), share) for i, j, share in _all_foreign(sig, of, least)]
-        return [tuple(sorted((rep[i], rep[j]))) for i, j in _hub_and_best(sig, least, sure) if rep[i] != rep[j]]
-
-    def closed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, block = table["key"].to_numpy(), table["block"].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
-        out = set()
-        for first, end in zip(cuts, cuts[1:], strict=False):
-            if end - first > 1:
-                out.update(pairs(table.slice(first, end - first)))
-        kind = table.schema.field("rep").type
-        found = {"a": pa.array([x[0] for x in out], kind), "b": pa.array([x[1] for x in out], kind)}
-        yield pa.record_batch(found | {"share": pa.array([x[2] for x in out], pa.float32())} if sure is None else found)
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        last = (batch.column(0)[-1], batch.column(1)[-1])
-        same = (batch.column(0).to_numpy() == last[0].as_py()) & (batch.column(1).to_numpy() == last[1].as_py())
-        open_from = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if open_from:  # what is before the last group is whole now
-            yield from closed(pa.Table.from_batches([*kept, batch.slice(0, open_from)]))
-            kept = []
-        elif kept and (kept[-1].column(0)[-1], kept[-1].column(1)[-1]) != last:
-            yield from closed(pa.Table.from_batches(kept))
-            kept = []
-        kept.append(batch.slice(open_from))
+        kept.append(batch)
+        first, last = ((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b, k in ((kept[0], 0), (batch, -1)))
+        if first == last:
+            continue  # one block so far
+        table = pa.Table.from_batches(kept)
+        key, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+        yield from (table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        kept = table.slice(cuts[-1]).to_batches()
     if kept:
-        yield from closed(pa.Table.from_batches(kept))
+        yield pa.Table.from_batches(kept)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(key, block, node, class, shingles) to links (a, b) of nodes."""
+    a, b = [], []
+    for table in _whole_blocks(batches):
+        if table.num_rows > 1:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in table.column(4)]
+            group = table.column(3).combine_chunks().dictionary_encode().indices.to_numpy()
+            if group.any():
+                node = table.column(2)
+                for i, j in joining_links(sets, group, threshold):
+                    a.append(node[i].as_py())
+                    b.append(node[j].as_py())
+    yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def node_of(text: Column) -> Column:
+    """The name of a text (null: empty): the first bytes of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, NODE_BYTES)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("node", node_of(F.col("text")))
+
+
+def _buckets(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+    """(key, node, n_shingles, n, parts) of every bucket of two texts or more, sets of buckets alike only once."""
+    sign = lambda b: _signed(b, bands, rows, size)
+    signed = stage_table(texts.select("node", "text").mapInArrow(sign, "node binary, n_shingles long, keys array<long>"), "signed")
+    keyed = signed.select("node", "n_shingles", F.explode("keys").alias("key"))
+    shared = (
+        keyed.groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("n_shingles").alias("total"),
+            F.bit_xor(F.xxhash64("node")).alias("x1"),
+            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
+        )
+        .filter("n > 1")
+    )
+    one = shared.groupBy("n", "total", "x1", "x2").agg(F.min("key").alias("key"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES))
+    return stage_table(keyed.join(one.select("key", "n", parts.alias("parts")), "key"), "bucket")
+
+
+def _dealt(bucket: DataFrame) -> DataFrame:
+    """Blocks of the buckets: one, or some that share the bucket's anchors."""
+    own = F.array(F.pmod(F.xxhash64("node", "key"), "parts"))
+    anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", "key", F.lit(2)), "n") < ANCHORS)
+    block = F.when(anchor, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
+    return bucket.select("key", F.explode(block).alias("block"), "node", F.col("node").alias("class"))
+
+
+def _in_pairs_of_parts(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks in which any two texts of different classes of a large bucket meet.
+
+    Each large class of a bucket has parts of its own and its other classes share parts; a block
+    is a pair of parts of different classes, or one or two of the shared parts.
+    """
+    half_rows, half_shingles = max(1, BLOCK_ROWS // 2), max(1, BLOCK_SHINGLES // 2)
+    here = large.join(roots, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("class"))
+    classes = here.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    owns = (F.col("n") > half_rows // 2) | (F.col("total") > half_shingles // 2)
+    classes = classes.withColumn("owner", F.when(owns, F.col("class")))
+    deal = F.ceil(F.greatest(F.sum("n") / half_rows, F.sum("total") / half_shingles))
+    parts = classes.groupBy("key", "owner").agg(deal.alias("deal"))
+    part = lambda owner, k: F.concat(F.coalesce(F.hex(owner), F.lit("rest")), F.lit(":"), k.cast("string"))
+    owned = classes.join(parts.withColumnRenamed("owner", "o"), ["key"]).filter(F.col("owner").eqNullSafe(F.col("o")))
+    mine = here.join(owned.select("key", "class", "owner", "deal"), ["key", "class"])
+    mine = mine.withColumn("mine", part(F.col("owner"), F.pmod(F.xxhash64("node", "key"), "deal"))).drop("deal")
+    theirs = parts.select("key", F.col("owner").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)).alias("k"))
+    met = mine.join(theirs, "key").filter(F.col("owner").isNull() | ~F.col("owner").eqNullSafe(F.col("other")))
+    met = met.withColumn("theirs", part(F.col("other"), F.col("k")))
+    return met.select("key", F.xxhash64(F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("block"), "node", "class")
+
+
+def _roots(texts: DataFrame, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
+    """(node, root) of the texts with a link, root naming the class."""
+    bucket = _buckets(texts, bands, rows, size)
+    members = bucket.select("node").distinct()
+    some = texts.select("node", "text").join(members, "node", "left_semi")
+    sets = stage_table(some.mapInArrow(lambda b: _as_sets(b, size), "node binary, shingles binary"), "sets")
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        whole = dealt.join(sets, "node").select("key", "block", "node", "class", "shingles")
+        ordered = whole.repartition("key", "block").sortWithinPartitions("key", "block")
+        return stage_table(ordered.mapInArrow(lambda b: _linked(b, threshold), "a binary, b binary"), "links")
+
+    links = linked(_dealt(bucket))
+    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    large = bucket.filter("parts > 1")
+    if large.isEmpty():
+        return roots
+    links = links.unionByName(linked(_in_pairs_of_parts(large, roots)))
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _text_classes(rows: DataFrame, threshold: float, bands: int, shape: int, size: int) -> DataFrame:
+    """One row per distinct text: node, salts, id, n, class_id, class_size, stays."""
+    texts = rows.groupBy("node", "text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.bit_or(salt_bit("id")).alias("salts"))
+    texts = stage_table(texts, "texts")
+    slim = texts.select("node", "id", "n", "salts")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    linked = with_group(_roots(texts, threshold, bands, shape, size).join(slim, "node"), "root", "node", first, F.sum("n").alias("class_size"), F.min("first").alias("first"), F.sum("class_size").alias("class_size"))
+    linked = linked.select("node", "first", "class_size")
+    return slim.join(linked, "node", "left").select(
+        "node",
+        "salts",
+        "id",
+        "n",
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.coalesce("class_size", "n").alias("class_size"),
+        F.coalesce(F.col("first.node") == F.col("node"), F.lit(True)).alias("stays"),
+    )
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """One row per input row: id, class_id, class_size.
+
+    class_id is the least id of the class; null ids get rows too, and class_id is null only
+    where all ids of the class are. Null texts count as empty. Texts with no word have no
+    shingles: their classes are their exact copies; so is a text of fewer than five words,
+    which has one shingle of all its words. Repeated rows and exact copies share a class, and
+    texts that share an id are texts of their own. Other columns are not read; an empty table
+    gives an empty result.
+    """
+    base = _rows(docs, id_col, text_col)
+    found = _text_classes(base, threshold, bands, rows, size).filter("class_size > 1")
+    spread = back_to_rows(found.select("node", "salts", "class_id", "class_size"))
+    out = base.select("id", "node", salt_of("id").alias("salt")).join(spread, ["node", "salt"], "left")
+    alone = F.col("class_size").isNull()
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the row of the least id of each class; rows with a null id stay."""
-    classes = near_duplicate_classes(docs, id_col, text_col, threshold)
-    gone = classes.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each class, all columns kept: the least id's.
+
+    Null ids lose to any id; of texts with the least id the one of the least digest stays, and
+    of rows that repeat id and text any one. Columns of ``docs`` may have any names.
+    """
+    node, other = fresh_name(docs.columns, "node"), fresh_name(docs.columns, "other")
+    found = stage_table(_text_classes(_rows(docs, id_col, text_col), threshold, BANDS, ROWS, SHINGLE).filter("not stays or n > 1").select("node", "id", "stays"), "found")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    gone = found.filter("not stays").select(F.col("node").alias(node))
+    out = docs.withColumn(node, node_of(text)).join(gone, node, "left_anti")
+    copied = found.filter("stays").select(F.col("node").alias(node), F.struct("id").alias(other))
+    if copied.isEmpty():
+        return out.select(docs.columns)
+    out = out.join(copied, node, "left").filter(F.col(other).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(other)["id"]))
+    single = out.filter(F.col(other).isNull()).select(docs.columns)
+    return single.unionByName(out.filter(F.col(other).isNotNull()).dropDuplicates([node]).select(docs.columns))
