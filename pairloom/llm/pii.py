@@ -1,10 +1,14 @@
 """PII: format-preserving Feistel pseudonyms for validated values.
 
-A value is found by pattern, validated (Luhn, mod 97, octet ranges, calendar), read as a
-number in the domain of its format, permuted by a keyed Feistel network within that domain,
-and written back in the same layout. It is a permutation: equal values stay equal and
-different ones different across all documents, lengths and separators stay, and check
-digits hold. Who has the key can undo it.
+A value is found by pattern, validated (Luhn, mod 97, octet ranges, calendar), permuted by a
+keyed Feistel network within the domain of its format, and written back in the same layout. It
+is a permutation: equal values stay equal and different ones different across all documents,
+lengths and separators stay, and check digits hold. Who has the key can undo it.
+
+Strings of symbols (cards, phones, secrets) are halved, and each round adds to every symbol of
+one half a keyed stream made from the whole other half, so the work is linear in the length and
+any change reaches all of the value. Small numbers (octets, days) are permuted within their
+range by cycle walking. A date has one pseudonym in all its layouts; see :meth:`Pseudonyms.date`.
 """
 
 from __future__ import annotations
@@ -12,9 +16,10 @@ from __future__ import annotations
 import datetime
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 from math import isqrt, prod
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +31,19 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
 class Feistel:
-    """Keyed permutation of range(n) for any n: an unbalanced network with cycle walking."""
+    """Keyed permutations: of range(n) for any n, and of strings of symbols."""
 
     def __init__(self, key: bytes, kind: str) -> None:
-        self.key, self.kind = blake2b(key, digest_size=32).digest(), kind.encode()[:16]
+        self.key = blake2b(key, digest_size=32).digest() + kind.encode()[:16].ljust(16, b"\0")
+
+    def _stream(self, step: int, shape: bytes, half: bytes, size: int) -> bytes:
+        """``size`` bytes that depend on the key, the round, the domain and all of ``half``."""
+        head = b"%d,%d,%d:" % (step, len(shape), len(half))
+        return shake_256(self.key + head + shape + half).digest(size)
 
     def _f(self, step: int, n: int, x: int, size: int) -> int:
-        data = b"%d,%d,%d" % (step, n, x)
-        out = blake2b(data, key=self.key, person=self.kind, digest_size=64).digest()
-        return int.from_bytes(out) % size
+        data = self._stream(step, b"%d" % n, x.to_bytes((x.bit_length() + 7) // 8), size.bit_length() // 8 + 17)
+        return int.from_bytes(data) % size
 
     def _walk(self, x: int, n: int, back: bool) -> int:
         a = isqrt(n - 1) + 1
@@ -51,8 +60,24 @@ class Feistel:
                 return x
 
     def apply(self, x: int, n: int, back: bool = False) -> int:
+        """The image of ``x`` in range(n); ``n`` is a small number (its digits are written out)."""
         return x if n < 2 else self._walk(x, n, back)
 
+    def apply_symbols(self, values: list[int], sizes: list[int], back: bool = False) -> list[int]:
+        """The image of a string of symbols, each ``values[i]`` in range(``sizes[i]``)."""
+        if len(values) < 2:
+            return [self.apply(x, n, back) for x, n in zip(values, sizes, strict=True)]
+        middle = len(values) // 2
+        shape = np.array(sizes, np.uint8)
+        halves = [np.array(values[:middle], np.int64), np.array(values[middle:], np.int64)]
+        limits = [shape[:middle].astype(np.int64), shape[middle:].astype(np.int64)]
+        for step in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            this = step % 2
+            other = halves[1 - this].astype(np.uint8).tobytes()
+            more = np.frombuffer(self._stream(step, shape.tobytes(), other, 4 * len(halves[this])), "<u4")
+            halves[this] = (halves[this] + (-1 if back else 1) * more.astype(np.int64)) % limits[this]
+        return halves[0].tolist() + halves[1].tolist()
+
 
 def _mixed(values: list[int], sizes: list[int]) -> int:
     x = 0
@@ -91,6 +116,29 @@ def _relaid(layout: str, symbols: str) -> str:
 #: Alphabets that characters are permuted within (fixed values).
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
+_ALL_HEX = re.compile("[0-9a-f]+").fullmatch
+
+
+def _number(day: datetime.date) -> int:
+    """The number of a day among the days after the 12th of their month, or among the others."""
+    months = 12 * (day.year - FIRST_DAY.year) + day.month - 1
+    if day.day <= 12:
+        return 12 * months + day.day - 1
+    return (day.replace(day=1) - FIRST_DAY).days - 12 * months + day.day - 13
+
+
+def _day(number: int, late: bool) -> datetime.date:
+    """The day of a number of :func:`_number`."""
+    if not late:
+        months, rest = divmod(number, 12)
+        return datetime.date(FIRST_DAY.year + months // 12, months % 12 + 1, rest + 1)
+    months = number // 19  # 16 to 19 days a month: too early by a few years at most
+    while True:
+        first = datetime.date(FIRST_DAY.year + months // 12, months % 12 + 1, 13)
+        rest = number - _number(first)
+        if rest < 16 or rest < 19 and (first + datetime.timedelta(rest)).month == first.month:
+            return first + datetime.timedelta(rest)
+        months += max(1, rest // 19)
 
 
 class Pseudonyms:
@@ -105,7 +153,8 @@ class Pseudonyms:
         return _unmixed(network.apply(_mixed(values, sizes), prod(sizes), self.back), sizes)
 
     def _symbols(self, kind: str, text: str, alphabets: list[str]) -> str:
-        got = self._permute(kind, [a.index(c) for a, c in zip(alphabets, text, strict=True)], list(map(len, alphabets)))
+        network = self.networks.setdefault(kind, Feistel(self.key, kind))
+        got = network.apply_symbols([a.index(c) for a, c in zip(alphabets, text, strict=True)], list(map(len, alphabets)), self.back)
         return "".join(a[v] for a, v in zip(alphabets, got, strict=True))
 
     def email(self, x: str) -> str | None:
@@ -117,7 +166,7 @@ class Pseudonyms:
         return "".join(n.upper() if c in UPPER else n for n, c in zip(new, x, strict=True)) if len(low) == len(x) else None
 
     def card(self, x: str) -> str | None:
-        digits = re.sub(r"\D", "", x)
+        digits = re.sub(r"[^0-9]", "", x)
         if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
             return None
         body = self._symbols("card", digits[:-1], [DIGITS] * (len(digits) - 1))
@@ -139,7 +188,7 @@ class Pseudonyms:
         return ".".join(str(v + low[len(o)]) for v, o in zip(got, octets, strict=True))
 
     def phone(self, x: str) -> str | None:
-        digits = re.sub(r"\D", "", x)
+        digits = re.sub(r"[^0-9]", "", x)
         if not 8 <= len(digits) <= 15:
             return None
         keep = 1 if digits[0] == "1" and len(digits) == 11 else 2 if x.startswith("+") else 0
@@ -158,24 +207,22 @@ class Pseudonyms:
         return f"{got[0] + 1 + (got[0] >= 665):03d}-{got[1] + 1:02d}-{got[2] + 1:04d}"
 
     def date(self, x: str) -> str | None:
-        a, mark, b, _, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", x).groups()
-        if len(a) == 4:
-            order, text = (0, 1, 2), (a, b, c)
-        else:  # day first, or month first where only that is a date
-            order, text = ((2, 1, 0), (a, b, c)) if int(b) <= 12 else ((2, 0, 1), (a, b, c))
+        """Year first; else day first, or month first where only that is a date.
+
+        Days after the 12th of a month are permuted among themselves, and the others too. So a
+        date's pseudonym is the same day in every layout, and a month-first pseudonym is read as
+        month first again. 03/04/1987 may mean two days; it is always read day first.
+        """
+        a, mark, b, _, c = re.fullmatch(r"([0-9]+)([-/.])([0-9]+)([-/.])([0-9]+)", x).groups()
+        order, text = ((0, 1, 2) if len(a) == 4 else (2, 1, 0) if int(b) <= 12 else (2, 0, 1)), (a, b, c)
         try:
             day = datetime.date(*(int(text[k]) for k in order))
         except ValueError:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        n = (LAST_DAY - FIRST_DAY).days + 1
-        at = (day - FIRST_DAY).days
-        while True:  # where the month stands first only because of a day over 12, walk on to another such day
-            [at] = self._permute("date", [at], [n])
-            new = FIRST_DAY + datetime.timedelta(at)
-            if order != (2, 0, 1) or new.day > 12:
-                break
+        [at] = self._permute("late" if day.day > 12 else "early", [_number(day)], [_number(LAST_DAY if day.day > 12 else LAST_DAY.replace(day=12)) + 1])
+        new = _day(at, day.day > 12)
         out = ["", "", ""]
         for k, v in zip(order, (new.year, new.month, new.day), strict=True):
             out[k] = f"{v:04d}" if k == order[0] else f"{v:02d}"
@@ -187,8 +234,12 @@ class Pseudonyms:
     def secret(self, x: str) -> str | None:
         name = re.match(r"\w+\s*[=:]\s*[\"']?", x)[0]
         value = x[len(name) :]
-        alphabets = [HEX] * len(value) if re.fullmatch(r"[0-9a-f]+", value) else [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
-        return name + self._symbols("secret", value, alphabets)
+        if _ALL_HEX(value):
+            return name + self._symbols("hex", value, [HEX] * len(value))
+        alphabets = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
+        while _ALL_HEX(value := self._symbols("secret", value, alphabets)):
+            pass  # walk on to a value that is read as one of these again
+        return name + value
 
 
 #: Kinds and their patterns; earlier kinds win.
@@ -196,12 +247,12 @@ KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("secret", r"(?<!\w)(?i:token|password|passwd|secret|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}"),
     ("access", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d)"),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\w)"),
-    ("phone", r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
+    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    ("date", r"(?<![\d./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\d/-]|\.\d)"),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    ("ipv4", r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\d)"),
+    ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-\w)"),
+    ("phone", r"(?<!\w)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)"),
 )
 _FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: Every kind holds a digit or an @, but a spelled-out secret; texts without any are passed.
