@@ -2,10 +2,17 @@
 
 A text is a lattice of pieces. Forward Viterbi gives the best score from the start to every
 position; these are exact heuristics for an A* search that walks back from the end, so it
-leaves no path of the n best out and expands few others. Pieces never cross from a word to
-the space after it, so the lattice falls apart at spaces: each word's lattice is searched
-once per worker, and a text's n best are found by a best-first search over the few words
-whose second choices cost least (exact, as costs add up).
+leaves no path of the n best out and expands few others. Of equally good paths the one nearest
+to the start is walked on first, so ties don't multiply the paths that are open.
+
+Pieces never cross from a word to the space after it, so the lattice falls apart at spaces.
+For words under ``LONG`` characters the best segmentation and the cost of the second best come
+from forward and backward Viterbi scores of many words at once, as arrays. Costs add up, so the
+n best of a text differ from its best in the n - 1 words of the least such costs only: A* gives
+the n best of those words (and of long ones), and a best-first search combines them.
+
+``piece_bpe_32k.model`` is a BPE model: its scores are merge ranks (0, -1, -2 and so on), which
+are used here as if they were log probabilities; any model with piece scores may be given.
 """
 
 from __future__ import annotations
@@ -61,38 +68,37 @@ class Lattice:
                 self.text.append(piece.replace(SPACE, " ").encode())
                 self.pieces[piece] = i, float(sp.get_score(i))
         self.longest = max(map(len, self.pieces), default=1)
+        self.heads = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        self.tails = {p[k:] for p in self.pieces for k in range(1, len(p))}
         self.unknown = sp.unk_id()
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     def _other(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
-    def forward(self, chunk: str) -> tuple[list[float], list[list[tuple[int, float, str]]]]:
-        """Best score to each position, and the pieces that end there (start, score, piece)."""
-        n, get, longest = len(chunk), self.pieces.get, self.longest
-        best: list[float] = [0.0] + [-np.inf] * n
-        ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    def forward(self, chunk: str) -> list[float]:
+        """Best score from the start to each position."""
+        n, get, heads, longest = len(chunk), self.pieces.get, self.heads, self.longest
+        best = [0.0] + [-np.inf] * n
         for i in range(n):
             base = best[i]
             for j in range(i + 1, min(n, i + longest) + 1):
                 piece = chunk[i:j]
-                if found := get(piece):
-                    score = found[1]
-                elif j == i + 1:
-                    score = self.unknown_score
-                else:
-                    continue
-                ends[j].append((i, score, piece))
-                if base + score > best[j]:
-                    best[j] = base + score
-        return best, ends
+                found = get(piece)
+                if found or j == i + 1:
+                    score = base + (found[1] if found else self.unknown_score)
+                    if score > best[j]:
+                        best[j] = score
+                if piece not in heads:
+                    break  # no piece goes on like this
+        return best
 
     def search(self, chunk: str, n: int) -> list[tuple[float, tuple[str, ...]]]:
-        """The n best segmentations by backward A*; ties in the order that they are reached."""
-        best, ends = self.forward(chunk)
-        heap, count, out = [(-best[-1], 0, len(chunk), 0.0, None)], 0, []
+        """The n best segmentations by backward A*; of equally good paths the nearest to the start goes on."""
+        best, get, tails, longest = self.forward(chunk), self.pieces.get, self.tails, self.longest
+        heap, count, out = [(-best[-1], len(chunk), 0, 0.0, None)], 0, []
         while heap and len(out) < n:
-            cost, _, at, done, path = heapq.heappop(heap)
+            cost, at, _, done, path = heapq.heappop(heap)
             if not at:
                 pieces = []
                 while path:
@@ -100,9 +106,15 @@ class Lattice:
                     path = path[1]
                 out.append((-cost, tuple(pieces)))
                 continue
-            for start, score, piece in ends[at]:
-                count += 1
-                heapq.heappush(heap, (-(best[start] + score + done), count, start, done + score, (piece, path)))
+            for start in range(at - 1, max(0, at - longest) - 1, -1):
+                piece = chunk[start:at]
+                found = get(piece)
+                if found or start == at - 1:
+                    score = done + (found[1] if found else self.unknown_score)
+                    count += 1
+                    heapq.heappush(heap, (-(best[start] + score), start, count, score, (piece, path)))
+                if piece not in tails:
+                    break  # no piece ends like this
         return out
 
     def ids(self, pieces: tuple[str, ...]) -> list[int]:
