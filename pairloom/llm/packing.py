@@ -41,9 +41,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class TextIds:
-    """Ids of whole texts by ``tokenizers`` with a byte-level BPE file.
+    """Ids of whole texts by ``tokenizers`` with a byte-level BPE file, at its default flags.
 
-    ``tokenizers`` encodes about 1 MB a second, so texts of PLAIN characters are encoded by
+    So a special token's text in a document is that token's id. ``tokenizers`` encodes about
+    1 MB a second, so texts of PLAIN characters without a special token are encoded by
     tiktoken's engine with the vocabulary of the same file; the ids are equal (tested).
     """
 
@@ -52,15 +53,17 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         letters = {c: b for b, c in _byte_letters().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         ranks = {bytes(letters[c] for c in x): i for x, i in vocabulary.items() if x not in special}
         self.engine = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        return self.engine.encode_ordinary(text) if PLAIN(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
+        if PLAIN(text) and not self.special(text):
+            return self.engine.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def _byte_letters() -> dict[int, str]:
@@ -144,9 +147,17 @@ def _dominating(top: int, have: list[int], left: dict[int, int], room: int) -> t
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns fixed by dominance, and the counts that are left."""
-    left, fixed, asked = {k: n for k, n in counts.items() if n}, [], set()
-    while open_ := left.keys() - asked:
+    """Patterns fixed by dominance, and the counts that are left.
+
+    A length that is not settled is asked again after others are fixed, until none is.
+    """
+    left, fixed, asked, before = {k: n for k, n in counts.items() if n}, [], set(), -1
+    while True:
+        if not (open_ := left.keys() - asked):
+            if len(fixed) == before:
+                return fixed, left
+            asked, before = set(), len(fixed)
+            continue
         top = max(open_)
         others = left | {top: left[top] - 1}
         chosen = _dominating(top, sorted(k for k, n in others.items() if n), others, capacity - top)
@@ -159,7 +170,6 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern
             left[x] -= times
         left = {k: n for k, n in left.items() if n}
         fixed.append((pattern, times))
-    return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
