@@ -10,7 +10,6 @@ bounded sample of training texts; a small lead over the second codeword marks am
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,11 @@ EVIDENCE = 24.0
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LOW[[9, 10, 11, 12, 13]] = 32
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is alphabetic; numbers such as one half or a superscript two are not."""
+    return any(map(str.isalpha, text or ""))
 
 
 def codewords(k: int, seed: int = 17) -> np.ndarray:
@@ -157,7 +160,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = np.array([bool(x and _LETTER(x)) for x in batch.column(1).to_pylist()], bool)
+            letters = np.array([has_letter(x) for x in batch.column(1).to_pylist()], bool)
             for first, data, offsets in _blocks(batch.column(1)):
                 n = len(offsets) - 1
                 best, score = model.decode(gram_counts(data, offsets, buckets)) if model.languages else (np.zeros(n, int), np.zeros(n))
