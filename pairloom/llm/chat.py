@@ -24,6 +24,8 @@ SEP = "[SEP]"
 OPENERS = {"system": "[SYS]", "user": "[INST]", "assistant": "[ANS]"}
 CLOSERS = {"system": "[/SYS]", "user": "[/INST]", "assistant": "</s>"}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
+#: Elements of an array that are folded, or cut out of one string, at a time.
+CHUNK = 256
 CONTROLS = (BOS, SEP, *OPENERS.values(), *CLOSERS.values(), *OTHER)
 
 
@@ -47,41 +49,72 @@ def _by_role(role: Column, values: dict[str, str], other: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a transform over a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_chunks(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` elements (the last one shorter)."""
+    chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / size).cast("int"), F.lit(0)))
+    return F.transform(chunks, lambda c: F.slice(values, c * size + 1, size))
+
+
+def _totals_before(lengths: Column) -> Column:
+    """Running total of the array before each of its elements.
+
+    A fold that appends copies what it has, so totals are folded within chunks of ``CHUNK``
+    elements, and over the chunks; the copying is near linear in the array's size.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+    run = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def shifted(within: Column) -> Column:
+        base = run(F.transform(within, lambda w: F.element_at(w, -1)))
+        add = lambda b: F.transform(within, lambda w, c: F.transform(F.slice(w, 1, F.size(w) - 1), lambda v: v + F.get(b, c)))
+        return F.flatten(_let(base, add))
+
+    return _let(F.transform(_in_chunks(lengths, CHUNK), run), shifted)
+
+
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: id, n_blocks, formatted, loss_spans.
 
     loss_spans: array of (start, length) in code points of ``formatted``; exactly the texts
-    of ``loss_role``. Turns are sorted by turn, then role and text (ties and repeated rows
-    all stay); null turns come first. Null texts and roles count as empty; rows with a null
-    conversation id form one conversation. Other columns are not read.
+    of ``loss_role``, in order. Turns are sorted by turn, then role and text (ties and repeated
+    rows all stay); null turns come first. Null texts and roles count as empty; rows with a null
+    conversation id form one conversation. Other columns are not read. A conversation is one
+    string, so its turns meet in one task.
     """
     struct = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     per = turns.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(struct)).alias("turns"))
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+    opener = lambda role: _by_role(role, OPENERS, F.concat(F.lit(OTHER[0]), escape(role), F.lit(OTHER[1])))
+    closer = lambda role: _by_role(role, CLOSERS, F.lit(OTHER[2]))
 
-    def merge(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        opened = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(last["role"] == t["role"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(opened)))
+    def merged(ts: Column) -> Column:
+        """Each turn with what stands before its text: a turn of the role before stays in its block."""
 
-    per = per.select("id", F.aggregate("turns", empty, merge).alias("blocks"))
-    plain = lambda s: F.struct(s.alias("s"), F.lit(False).alias("loss"))
+        def piece(t: Column, i: Column) -> Column:
+            before = F.get(ts, i - 1)["role"]
+            opens = (i == 0) | (before != t["role"])
+            head = F.when(i == 0, F.concat(F.lit(BOS), opener(t["role"]))).when(opens, F.concat(closer(before), opener(t["role"]))).otherwise(F.lit(SEP))
+            return F.struct(opens.alias("opens"), head.alias("head"), escape(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss"))
 
-    def segments(b: Column) -> Column:
-        opener = _by_role(b["role"], OPENERS, F.concat(F.lit(OTHER[0]), escape(b["role"]), F.lit(OTHER[1])))
-        closer = _by_role(b["role"], CLOSERS, F.lit(OTHER[2]))
-        texts = F.transform(b["texts"], lambda t, i: F.array(plain(F.when(i > 0, F.lit(SEP)).otherwise(F.lit(""))), F.struct(escape(t).alias("s"), (b["role"] == loss_role).alias("loss"))))
-        return F.concat(F.array(plain(opener)), F.flatten(texts), F.array(plain(closer)))
+        return F.transform(ts, piece)
 
-    per = per.select("id", F.size("blocks").cast("long").alias("n_blocks"), F.concat(F.array(plain(F.lit(BOS))), F.flatten(F.transform("blocks", segments))).alias("segments"))
-    start = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>))")
+    def made(ps: Column, last: Column) -> Column:
+        size = lambda p: (F.length(p["head"]) + F.length(p["text"])).cast("long")
+        starts = _totals_before(F.transform(ps, size))
+        span = lambda p, at: F.struct((at + F.length(p["head"])).cast("int").alias("start"), F.length(p["text"]).alias("length"), p["loss"].alias("loss"))
+        spans = F.filter(F.zip_with(ps, starts, span), lambda s: s["loss"])
+        return F.struct(
+            F.size(F.filter(ps, lambda p: p["opens"])).cast("long").alias("n_blocks"),
+            F.concat(F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["text"])), ""), closer(last)).alias("formatted"),
+            F.transform(spans, lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"),
+        )
 
-    def span(acc: Column, s: Column) -> Column:
-        here = F.array(F.struct(acc["at"].alias("start"), F.length(s["s"]).alias("length")))
-        return F.struct((acc["at"] + F.length(s["s"])).alias("at"), F.when(s["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
-
-    return per.select(F.col("id").alias(id_col), "n_blocks", F.array_join(F.transform("segments", lambda s: s["s"]), "").alias("formatted"), F.aggregate("segments", start, span, lambda acc: acc["spans"]).alias("loss_spans"))
+    done = _let(F.col("turns"), lambda ts: _let(merged(ts), lambda ps: made(ps, F.element_at(ts, -1)["role"])))
+    return per.select("id", done.alias("done")).select(F.col("id").alias(id_col), "done.*")
 
 
 def parse_formatted(formatted: Column) -> Column:
@@ -101,5 +134,17 @@ def parse_formatted(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order and with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order and with nothing between.
+
+    A substring is looked for from the start of its string, so the string is first cut into
+    the stretches that ``CHUNK`` spans cover.
+    """
+
+    def cut(part: Column, text: Column, first: Column) -> Column:
+        return F.transform(part, lambda s: unescape(F.substring(text, s["start"] - first + 1, s["length"])))
+
+    def texts(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0))["start"], F.element_at(part, -1)
+        return _let(F.substring(formatted, first + 1, last["start"] + last["length"] - first), lambda text: cut(part, text, first))
+
+    return F.when(F.size(spans) == 0, F.lit("")).otherwise(F.array_join(F.flatten(F.transform(_in_chunks(spans, CHUNK), texts)), ""))
