@@ -121,7 +121,7 @@ reach(u, v) AS (SELECT DISTINCT alias, alias FROM keys UNION SELECT r.u, l.v FRO
 roots AS (SELECT u AS alias, min(v) AS root FROM reach GROUP BY u),
 marks AS (
   SELECT o.root FROM ruled p JOIN keys k ON p.url = k.url JOIN roots o ON k.alias = o.alias GROUP BY o.root
-  HAVING count(*) FILTER (p.hit IS NOT NULL AND NOT p.hit.allow) > 0 AND count(*) FILTER (p.hit IS NOT NULL AND p.hit.allow) = 0)
+  HAVING count(*) FILTER (p.hit IS NOT NULL AND NOT p.hit.allow) > 0)
 SELECT p.page_id, p.host, p.path, p.hit.rule AS rule,
   CASE WHEN p.hit IS NOT NULL THEN CASE WHEN p.hit.allow THEN 'allow' ELSE 'block' END WHEN m.root IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN p.hit IS NULL THEN m.root END AS blocked_by

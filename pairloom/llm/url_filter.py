@@ -3,8 +3,9 @@
 A url with a rule gets the rule's verdict. Urls without one take part in redirect
 equivalence: canonical links, refresh redirects and urls that differ only in scheme,
 fragment, tracking parameters or a last slash are edges; a connected component with a
-blocked url blocks its aliases. An allow rule always wins for the url that it fits, and a
-component that an allow rule vouches for is not blocked by its other members.
+blocked url blocks its aliases. An explicit allow takes precedence for the urls that its rule
+fits, and for no other: it doesn't lift a block from aliases without a rule. Else a blocked site
+could clear its aliases by a link to an allowed page, which anyone can set.
 """
 
 from __future__ import annotations
@@ -116,29 +117,34 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects:
 
     ``redirects`` may add edges (src, dst) of urls. blocked_by: the root of the component
     that blocks a url without a rule, else null. Null urls, or urls without ``://``, have an
-    empty host and path, no rule, and are allowed; repeated rows each get a row.
+    empty host and path, no rule, and are allowed; repeated rows each get a row. Other columns
+    of ``pages`` are not read.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("k", rule_of(F.col("host"), F.col("path"), rules))
+    rows = pages.select(F.col(id_col).alias("id"), url.alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     named = F.when(F.col("url").contains("://"), alias_key(F.col("url")))
-    rows = stage_table(rows.select("id", "host", "path", "k", named.alias("alias")), "judged")
+    rows = stage_table(rows.select("id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("k"), named.alias("alias")), "judged")
     links = page_links(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         more = redirects.filter("src is not null and dst is not null").select(alias_key(F.col("src")).alias("u"), alias_key(F.col("dst")).alias("v"))
         links = more if links is None else links.unionByName(more)
-    allow = F.lit(False)
+    blocks = F.lit(False)
     for k, r in enumerate(rules):
-        if r.allow:
-            allow = allow | (F.col("k") == k)
+        if not r.allow:
+            blocks = blocks | (F.col("k") == k)
     # urls of one alias key are one node: its links are stars, so only keys need components
-    marks = rows.filter("alias is not null").groupBy("alias").agg(F.max(F.when(F.col("k").isNotNull() & ~allow, 1).otherwise(0)).alias("bad"), F.max(F.when(F.col("k").isNotNull() & allow, 1).otherwise(0)).alias("good"))
-    roots = connected_components(links) if links is not None else None
-    marks = marks.join(roots, F.col("alias") == F.col("node"), "left").withColumn("root", F.coalesce("root", "alias")) if roots is not None else marks.withColumn("root", F.col("alias"))
-    blocked = marks.groupBy("root").agg(F.max("bad").alias("bad"), F.max("good").alias("good")).filter("bad = 1 and good = 0").select("root")
-    by_alias = marks.select("alias", "root").join(blocked, "root").select("alias", F.col("root").alias("blocked_by"))
-    out = rows.join(by_alias, "alias", "left")
+    bad = rows.filter(F.col("alias").isNotNull() & blocks).select("alias").distinct()
+    blocked = bad.select("alias", F.col("alias").alias("blocked_by"))
+    if links is not None:
+        roots = connected_components(links)
+        of = bad.join(roots, F.col("alias") == F.col("node"), "left").select("alias", F.coalesce("root", "alias").alias("blocked_by"))
+        beside = roots.join(of.select(F.col("blocked_by").alias("root")).distinct(), "root").select(F.col("node").alias("alias"), F.col("root").alias("blocked_by"))
+        blocked = of.unionByName(beside).distinct()
     text, verdict = F.lit(None).cast("string"), F.when(F.col("blocked_by").isNotNull(), "block").otherwise("allow")
     for k, r in enumerate(rules):
         text = F.when(F.col("k") == k, F.lit(r.text)).otherwise(text)
         verdict = F.when(F.col("k") == k, F.lit("allow" if r.allow else "block")).otherwise(verdict)
-    return out.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), verdict.alias("verdict"), F.when(F.col("k").isNull(), F.col("blocked_by")).alias("blocked_by"))
+    # rows with a rule, and rows without an alias, don't meet the blocked aliases
+    free = F.col("k").isNull() & F.col("alias").isNotNull()
+    judged = rows.filter(free).join(blocked, "alias", "left").unionByName(rows.filter(~free).withColumn("blocked_by", F.lit(None).cast("string")))
+    return judged.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), verdict.alias("verdict"), "blocked_by")
