@@ -124,10 +124,12 @@ def _best_condition(rows: list[dict], cuts: int) -> tuple[float, Condition | Non
         ordered = sorted((r[f], r["bad"]) for r in rows)
         steps = {ordered[min(len(ordered) - 1, len(ordered) * k // cuts)][0] for k in range(cuts)}
         below = at = 0
-        for limit in sorted(steps):
-            while at < len(ordered) and ordered[at][0] <= limit:
+        for step in sorted(steps):
+            while at < len(ordered) and ordered[at][0] <= step:
                 below += ordered[at][1]
                 at += 1
+            # halfway to the next value, so that a limit of 0 isn't passed by any value above it
+            limit = (step + ordered[at][0]) / 2 if at < len(ordered) else step
             for above, p, n in ((False, below, at - below), (True, bad - below, len(ordered) - at - bad + below)):
                 if p and p + n < len(rows):
                     gain = p * (math.log2(p / (p + n)) - before)
@@ -166,13 +168,13 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     """Learn from at most ``fit_rows`` labelled documents, chosen by a hash of the id.
 
     Labels: id, quality (1 good, 0 bad); rows with a null id or quality are not used, and
-    of several labels of one id the lowest counts.
+    of several labels of one id the lowest counts, as does any one row of a repeated id.
     """
     known = labels.select(F.col(id_col).alias("__l"), F.col("quality").alias("__q")).filter("__l is not null and __q is not null").groupBy("__l").agg(F.min("__q").alias("__q"))
     chosen = known.orderBy(F.xxhash64("__l", F.lit(5)), "__l").limit(fit_rows)
     stats = text_statistics(docs.join(chosen, F.col(id_col) == F.col("__l"), "left_semi"), id_col, text_col)
-    rows = stats.join(chosen, F.col(id_col) == F.col("__l")).select(*FEATURES, (F.col("__q") < 1).cast("int").alias("bad"), (F.pmod(F.xxhash64("__l", F.lit(7)), F.lit(3)) == 0).alias("prune"))
-    return learn_decision_list([r.asDict() for r in rows.limit(2 * fit_rows).collect()])
+    rows = stats.dropDuplicates([id_col]).join(chosen, F.col(id_col) == F.col("__l")).select(*FEATURES, (F.col("__q") < 1).cast("int").alias("bad"), (F.pmod(F.xxhash64("__l", F.lit(7)), F.lit(3)) == 0).alias("prune"))
+    return learn_decision_list([r.asDict() for r in rows.collect()])  # one row an id: ``fit_rows`` at most
 
 
 def verdict(rules: list[Rule]) -> Column:
