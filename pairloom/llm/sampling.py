@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import stage_table
+from ._stage import fresh_name, stage_table
 from ._words import U, blocks, mix, words
 
 BUCKETS = 1 << 16
@@ -75,13 +75,13 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
 def fit_log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Count both models in one pass over all texts; the ids of the target are a bounded list.
 
-    Labels: id, quality (1 good) and, if there, toxic (1 is no target). Without a good label
-    all ratios are 0.
+    Labels: id, quality (1 good) and, if there, toxic (1 is no target). Ids of the
+    ``calibration`` part are no targets. Without a good label all ratios are 0.
     """
     good = F.col("quality") == 1
     if "toxic" in labels.columns:
         good = good & (F.coalesce("toxic", F.lit(0)) != 1)
-    ids = labels.filter(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(fit_rows)
+    ids = labels.filter(good & F.col(id_col).isNotNull() & ~calibration(id_col)).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = pa.array([r["id"] for r in ids.collect()], rows.schema["id"].dataType.typeName() == "string" and pa.string() or pa.int64())
     parts = rows.mapInArrow(lambda b: _counted(b, chosen.cast(chosen.type), buckets), "bucket int, raw long, target long")
@@ -112,22 +112,28 @@ def _bin(key) -> Column:
     return F.floor(F.asinh(key) * 256).cast("int")
 
 
+def calibration(id_col: str = "doc_id") -> Column:
+    """True for a third of the ids, whose labels set the limit and not the target model."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(3)) == 0
+
+
 def calibrated_k(keys: DataFrame, labels: DataFrame, id_col: str = "doc_id", loss: float = LOSS) -> int:
     """Number of keys over the limit that best parts good from bad labelled rows.
 
     The limit maximises the share of good rows kept less that of bad rows kept, among limits
-    that lose at most ``loss`` of the good ones. Without labels of both kinds, all stay.
+    that lose at most ``loss`` of the good ones. Only labels that the target model was not
+    counted from are read (:func:`calibration`). Without labels of both kinds, all stay.
     """
-    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & calibration(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"))
     rows = keys.join(known, "id").groupBy(_bin(F.col("sample_key")).alias("bin")).agg(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("q") == 1, 0).otherwise(1)).alias("bad")).orderBy("bin").collect()  # bounded by the bins
     good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     if not good or not bad:
         return keys.count()
     best, limit, g, b = 0.0, None, 0, 0
-    for r in rows:
+    for r, after in zip(rows, [*rows[1:], rows[-1]], strict=True):
         g, b = g + r["good"], b + r["bad"]
         if g <= loss * good and b / bad - g / good > best:
-            best, limit = b / bad - g / good, r["bin"]
+            best, limit = b / bad - g / good, (r["bin"] + after["bin"]) // 2  # halfway to the next key
     return keys.count() if limit is None else keys.filter(_bin(F.col("sample_key")) > limit).count()
 
 
@@ -180,5 +186,7 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Only ids that are left out are joined, so rows with a null id stay.
     """
-    gone = resample_quality(docs, labels, id_col=id_col, text_col=text_col).filter(~F.col("selected")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    name = fresh_name(docs.columns, "gone")
+    out = resample_quality(docs, labels, id_col=id_col, text_col=text_col).filter(~F.col("selected"))
+    gone = out.select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
