@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._stage import fresh_name, stage_table
 from ._words import U, blocks, counted, mix, shingles, words
 from .components import connected_components
-from .salted import SALTS, back_to_rows, salt_bit, salt_of, with_group
+from .salted import back_to_rows, salt_bit, salt_of, with_group
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 5 components: a pair at 0.8 shares no band once in 300,000 times.
@@ -318,8 +318,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = found.filter("not stays").select(F.col("node").alias(node))
     out = docs.withColumn(node, node_of(text)).join(gone, node, "left_anti")
     copied = found.filter("stays").select(F.col("node").alias(node), F.struct("id").alias(other))
+    columns = [f"`{c}`" for c in docs.columns]
     if copied.isEmpty():
-        return out.select(docs.columns)
+        return out.select(columns)
     out = out.join(copied, node, "left").filter(F.col(other).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(other)["id"]))
-    single = out.filter(F.col(other).isNull()).select(docs.columns)
-    return single.unionByName(out.filter(F.col(other).isNotNull()).dropDuplicates([node]).select(docs.columns))
+    single = out.filter(F.col(other).isNull()).select(columns)
+    return single.unionByName(out.filter(F.col(other).isNotNull()).dropDuplicates([node]).select(columns))

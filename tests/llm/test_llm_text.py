@@ -46,6 +46,17 @@ def test_chat_merges_adjacent_roles(spark):
     assert got["formatted"] == "<s>[INST]a[SEP]b[/INST][ANS]c</s>" and got["n_blocks"] == 2
 
 
+def test_long_conversation_is_read_back(spark):
+    rng = random.Random(4)
+    rows = [(1, t, rng.choice(["user", "assistant", "tool"]), "é[INST]" * rng.randrange(3) + str(t), "") for t in range(3000)]
+    made = chat.format_conversations(turns(spark, rows))
+    got = made.select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.parse_formatted(F.col("formatted")).alias("turns")).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [(r, x) for _, _, r, x, _ in rows]
+    assert got["loss"] == "".join(x for _, _, r, x, _ in rows if r == "assistant")
+    spans = [got["formatted"][s["start"] : s["start"] + s["length"]] for s in got["loss_spans"]]
+    assert len(spans) == sum(r == "assistant" for _, _, r, _, _ in rows) and "".join(spans).replace("\\", "") == got["loss"]
+
+
 def test_chat_nulls_ties_and_empty_table(spark):
     rows = [(None, None, None, None, None), (None, 0, "user", "x", ""), (5, 0, "user", "same", ""), (5, 0, "user", "same", ""), (6, 1, "assistant", LONG, "")]
     got = {r["conv_id"]: r for r in chat.format_conversations(turns(spark, rows)).collect()}
@@ -159,11 +170,11 @@ def test_many_pieces_fill_their_sequences():
 def test_packed_documents(spark):
     from tokenizers import Tokenizer
 
-    texts = [None, "", "hello world", LONG[:9000], "hello world", "é ü 漢字 \u2028x\x1c y  z", "a" * 5000, "<|endoftext|>"]
+    texts = [None, "", "hello world", LONG[:9000], "hello world", "é ü 漢字 \u2028x\x1c y  z", "a" * 5000, "<|endoftext|>", "x <|endoftext|>漢\u0600 <|endoftext|"]
     table = docs(spark, texts).repartition(3)
     got = packing.pack_documents(table).collect()
     bpe = Tokenizer.from_file(packing.tokenizer_path())
-    bpe.encode_special_tokens = True
+    assert bpe.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     by_doc = {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -221,8 +232,45 @@ def test_values_change_keep_their_format_and_come_back():
     assert datetime.date.fromisoformat(iso).strftime("%d.%m.%Y") == dotted  # one date, one pseudonym
 
 
+@pytest.mark.parametrize("n", [8, 9, 300, 600, 1200, 5000, 1 << 20])
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "Zz9"])
+def test_long_values_leave_nothing_readable(n, alphabet):
+    make, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    value = "token=" + "".join(random.Random(n).choices(alphabet, k=n))
+    [(kind, at, size)] = pii.pseudonymise(value, make)[1]
+    new = pii.pseudonymise(value, make)[0]
+    assert (kind, at, size) == ("secret", 0, len(value)) and pii.pseudonymise(new, back)[0] == value
+    runs = max(len(list(g)) if same else 0 for same, g in itertools.groupby(a == b for a, b in zip(value[6:], new[6:], strict=True)))
+    assert runs <= 12  # as chance has it: 1 of 10 symbols or fewer stay
+    other = value[:-1] + ("b" if value[-1] != "b" else "c") if alphabet[0] == "a" else None
+    if other and n > 50:  # one other symbol changes all of the value
+        assert sum(a == b for a, b in zip(new, pii.pseudonymise(other, make)[0], strict=True)) < 6 + 0.2 * n
+
+
+@pytest.mark.parametrize("sizes", [[10, 10], [10, 26, 10], [2, 3, 5, 2], [16] * 3])
+def test_symbols_are_permuted(sizes):
+    f = pii.Feistel(b"key", "test")
+    every = list(itertools.product(*map(range, sizes)))
+    out = [tuple(f.apply_symbols(list(x), sizes)) for x in every]
+    assert sorted(out) == every and all(tuple(f.apply_symbols(list(y), sizes, True)) == x for x, y in zip(every, out, strict=True))
+
+
+def test_dates_are_linked_over_layouts():
+    make, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    day, n = datetime.date(1900, 1, 1), 0
+    while day.year < 2100:
+        iso = datetime.date.fromisoformat(pii.pseudonymise(day.isoformat(), make)[0])
+        assert (iso.day > 12) == (day.day > 12)
+        for layout in ("%d.%m.%Y", "%d/%m/%Y", "%Y/%m/%d", *(["%m/%d/%Y"] if day.day > 12 else [])):
+            new = pii.pseudonymise(day.strftime(layout), make)[0]
+            assert new == iso.strftime(layout) and pii.pseudonymise(new, back)[0] == day.strftime(layout)
+        day += datetime.timedelta(37)
+        n += 1
+    assert n > 1900
+
+
 def test_unvalidated_numbers_stay():
-    for text in ["4111111111111112", "999.1.1.1", "2021-02-30", "version 2.0.1", "000-12-3456", "1234567", "x@y", "", "in 1999 and 3.14"]:
+    for text in ["4111111111111112", "999.1.1.1", "2021-02-30", "version 2.0.1", "000-12-3456", "1234567", "x@y", "", "in 1999 and 3.14", "\u0664\u0661\u0661\u0661 \u0661\u0661\u0661\u0661 \u0661\u0661\u0661\u0661 \u0661\u0661\u0661\u0661", "4" * 100_000]:
         assert pii.pseudonymise(text, pii.Pseudonyms(b"k")) == (text, [])
 
 
@@ -274,6 +322,16 @@ def test_nbest_equals_brute_force(segmenter, text):
     assert all(s in valid for s, _ in got)
 
 
+def test_long_runs_of_a_letter_do_not_stall(segmenter):
+    import time
+
+    began = time.perf_counter()
+    for text in ("y" * 100_000, "ab" * 50_000):
+        [got] = segmenter.segment([text])
+        assert len(got) == 5 and all(a[0] >= b[0] for a, b in itertools.pairwise(got)) and len({x for _, x in got}) == 5
+    assert time.perf_counter() - began < 10  # a fraction of a second each; ties used to double the paths
+
+
 def test_arrays_agree_with_single_searches(segmenter):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdeéß1.\n漢", k=rng.randrange(0, 12))) for _ in range(300)]
