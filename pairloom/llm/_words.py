@@ -13,7 +13,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Bytes of text hashed at a time; a longer text makes one longer block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _tables: dict[int, np.ndarray] = {}
 
 
