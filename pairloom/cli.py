@@ -36,9 +36,8 @@ def pooled(pairs: DataFrame) -> DataFrame:
 def interval(pairs: DataFrame, first: str, second: str, samples: int, seed: int) -> dict[str, dict]:
     """Paired intervals of two routes' pooled PR-AUC and precision, from NumPy's draws."""
     a, b = (pairs.filter(F.col("route") == r) for r in (first, second))
-    ids = [r["query_id"] for r in a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id").collect()]  # one row a query of an evaluation
-    draws = bootstrap.exact_draws(pairs.sparkSession, ids, samples, seed)
-    return {m: bootstrap.paired_bootstrap(a, b, draws, m).first().asDict() for m in ("pr_auc", "precision")}
+    draws = bootstrap.exact_draws(a.select("query_id").join(b.select("query_id").distinct(), "query_id", "left_semi"), samples, seed)
+    return {m: bootstrap.paired_bootstrap(a, b, draws, m, samples).first().asDict() for m in ("pr_auc", "precision")}
 
 
 def report_judge(spark: SparkSession, path: str, datasets: list[str], first: str, second: str, samples: int, seed: int) -> str:

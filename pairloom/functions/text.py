@@ -31,8 +31,9 @@ def _nfkc_all(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form; texts of ASCII only, which it leaves alone, still pass through Arrow."""
-    return _nfkc(text)
+    """NFKC form; texts of ASCII only, which it leaves alone, don't go to Python."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_nfkc(other), text)
 
 
 def term_bag(text: Column, normalise: bool = True) -> Column:

@@ -6,10 +6,14 @@ md5 and can be told in SQL; ``exact`` draws come from NumPy's generator.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import curves
+from . import curves, weighted
 from .classify import mixed_queries, per_query
 
 SAMPLES, SEED = 2000, 0
@@ -20,29 +24,50 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
+def numbered(queries: DataFrame) -> DataFrame:
+    """(query_id, at): the distinct ids numbered from 0, by order of md5 bucket and id.
+
+    Ids are numbered within 4,096 buckets, and raised by the sizes of the buckets before; only
+    the buckets themselves are ever sorted as a whole.
+    """
+    ids = queries.select("query_id").distinct().withColumn("bucket", F.substring(F.md5("query_id"), 1, 3))
+    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("query_id")) - 1
+    return ids.withColumn("within", within).join(base, "bucket").select("query_id", (F.col("base") + F.col("within")).alias("at"))
+
+
 def hash_draws(queries: DataFrame, samples: int, seed: int = SEED) -> DataFrame:
     """(sample, query_id, weight): as many draws in each sample as there are queries.
 
     Draws are made where the queries are: draw number ``i`` of a sample picks the query at
-    md5(seed:sample:i) modulo their number, by order of id.
+    md5(seed:sample:i) modulo their number, by the order of :func:`numbered`.
     """
-    numbered = queries.select("query_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("query_id")) - 1)
-    size = numbered.agg(F.count(F.lit(1)).alias("size"))
-    draws = numbered.join(F.broadcast(size)).select(F.col("at").alias("i"), "size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    ids = numbered(queries)
+    size = queries.agg(F.count_distinct("query_id").alias("size"))
+    draws = ids.join(F.broadcast(size)).select(F.col("at").alias("i"), "size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
     draws = draws.select("sample", (hash_int(F.lit(seed), F.col("sample"), F.col("i")) % F.col("size")).alias("at")).groupBy("sample", "at").agg(F.count(F.lit(1)).alias("weight"))
-    return draws.join(numbered, "at").select("sample", "query_id", "weight")
+    return draws.join(ids, "at").select("sample", "query_id", "weight")
 
 
-def exact_draws(spark: SparkSession, query_ids: list[str], samples: int, seed: int = SEED) -> DataFrame:
-    """The same table from ``numpy.random.default_rng(seed)``, samples in order; ids are sorted first."""
-    import numpy as np
+def exact_draws(queries: DataFrame, samples: int, seed: int = SEED) -> DataFrame:
+    """The same table from ``numpy.random.default_rng(seed)``, samples in order over sorted ids.
 
-    rng, ids = np.random.default_rng(seed), sorted(query_ids)
-    rows = []
-    for sample in range(samples):
-        at, weight = np.unique(rng.integers(0, len(ids), len(ids)), return_counts=True)
-        rows += [(sample, ids[a], int(w)) for a, w in zip(at, weight, strict=True)]
-    return spark.createDataFrame(rows, "sample int, query_id string, weight long")
+    The generator is one stream, so one task makes all draws, and streams them out by sample;
+    nothing is held on the driver.
+    """
+    ids = queries.select("query_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("query_id")).cast("long") - 1)
+    size = queries.agg(F.count_distinct("query_id").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n in (x for batch in batches for x in batch.column(0).to_pylist() if x):
+            rng = np.random.default_rng(seed)
+            for sample in range(samples):
+                at, weight = np.unique(rng.integers(0, n, n), return_counts=True)
+                yield pa.record_batch({"sample": pa.array(np.full(len(at), sample, np.int32)), "at": pa.array(at.astype(np.int64)), "weight": pa.array(weight.astype(np.int64))})
+
+    draws = size.coalesce(1).mapInArrow(run, "sample int, at long, weight long")
+    return draws.join(ids, "at").select("sample", "query_id", "weight")
 
 
 def interval(diffs: DataFrame, value: str = "difference") -> DataFrame:
@@ -51,32 +76,28 @@ def interval(diffs: DataFrame, value: str = "difference") -> DataFrame:
     return both.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "samples")
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, draws: DataFrame, metric: str = "pr_auc") -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, draws: DataFrame, metric: str = "pr_auc", samples: int = SAMPLES, keep: float = 0.9) -> DataFrame:
     """Difference of a pooled metric (``pr_auc`` or ``precision``), its interval and the shared queries.
 
-    Pairs are added up by query and score before they meet the draws. Samples in which the
-    metric is undefined for a route are passed over.
+    ``draws`` of (sample, query_id, weight) with samples from 0 to ``samples`` - 1. Samples in
+    which the metric is undefined for a route are passed over. A query drawn twice counts twice.
     """
-
-    def value(points: DataFrame, keys: list[str]) -> DataFrame:
-        if metric == "pr_auc":
-            return curves.average_precision(points, keys, "value")
-        return curves.precision_at_recall(points, keys).select(*keys, F.col("precision").alias("value"))
-
     shared = a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id")
+    weights = weighted.weights_by_query(draws, samples).persist()  # read by every pass over the pairs
     point, sampled = [], []
     for rows in (a, b):
         rows = rows.join(shared, "query_id", "left_semi")
-        point.append(value(curves.curve(rows, []), []))
-        small = rows.groupBy("query_id", "score").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
-        weighed = small.join(draws, "query_id").groupBy("sample", "score").agg(F.sum(F.col("tp") * F.col("weight")).alias("tp"), F.sum(F.col("n") * F.col("weight")).alias("n"))
-        down = Window.partitionBy("sample").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        every = Window.partitionBy("sample")
-        points = weighed.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).withColumn("p", F.sum("tp").over(every)).withColumn("total", F.sum("n").over(every))
-        sampled.append(value(points, ["sample"]))
-    diffs = sampled[0].join(sampled[1].withColumnRenamed("value", "other"), "sample").select((F.col("value") - F.col("other")).alias("difference"))
-    whole = point[0].join(F.broadcast(point[1].withColumnRenamed("value", "other"))).select((F.col("value") - F.col("other")).alias("difference"))
-    return whole.join(F.broadcast(interval(diffs))).join(F.broadcast(shared.agg(F.count(F.lit(1)).alias("queries"))))
+        points = curves.curve(rows, [])
+        whole = curves.average_precision(points, [], "value") if metric == "pr_auc" else curves.precision_at_recall(points, [], keep).select(F.col("precision").alias("value"))
+        point.append(whole.first()["value"])
+        sampled.append(weighted.sampled_metric(rows, weights, samples, metric, keep))
+    weights.unpersist()
+    diffs = sampled[0] - sampled[1]
+    diffs = diffs[~np.isnan(diffs)]
+    low, high = np.percentile(diffs, [2.5, 97.5]).tolist() if len(diffs) else (None, None)
+    difference = None if None in point else point[0] - point[1]
+    row = (difference, low, high, len(diffs), shared.count())
+    return a.sparkSession.createDataFrame([row], "difference double, low double, high double, samples long, queries long")
 
 
 def bootstrap_mean_diff(a: DataFrame, b: DataFrame, draws: DataFrame) -> DataFrame:

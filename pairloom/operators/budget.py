@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import running
 from pairloom.functions.text import estimate_tokens
 
 #: Hard token limits of a request and the share of them that is used (fixed values).
@@ -47,20 +48,19 @@ def next_fit_batches(items: DataFrame, state_tokens: int, max_items: int | None
         raise ValueError("the state alone is over the budget")
     most = max_items or 2**31 - 1
     lists = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("cost").cast("long").alias("cost")))).alias("items"))
-    start = F.expr("named_struct('batch', 0L, 'used', 0L, 'n', 0, 'out', cast(array() as array<struct<ordinal:bigint,batch:bigint>>))")
+    start = F.expr("named_struct('batch', 0L, 'used', 0L, 'n', 0)")
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
         cost = F.when(x["cost"] + state_tokens > pair_budget, F.raise_error(F.lit("an item is over the budget beside the state")).cast("long")).otherwise(x["cost"])
         close = (a["n"] > 0) & ((a["n"] >= most) | (a["used"] + cost > room))
         batch = a["batch"] + close.cast("long")
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(close, F.lit(0).cast("long")).otherwise(a["used"]) + cost).alias("used"),
-            (F.when(close, F.lit(0)).otherwise(a["n"]) + 1).alias("n"),
-            F.concat(a["out"], F.array(F.struct(x["ordinal"].cast("long").alias("ordinal"), batch.alias("batch")))).alias("out"),
-        )
+        used = F.when(close, F.lit(0).cast("long")).otherwise(a["used"]) + cost
+        after = F.struct(batch.alias("batch"), used.alias("used"), (F.when(close, F.lit(0)).otherwise(a["n"]) + 1).alias("n"))
+        return after, batch
 
-    return lists.select("query_id", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x")).select("query_id", "x.ordinal", "x.batch")
+    said = running(F.col("items"), "struct<batch:bigint,used:bigint,n:int>", "bigint", start, step)["said"]
+    rows = lists.select("query_id", F.explode(F.arrays_zip(F.col("items"), said.alias("batch"))).alias("x"))
+    return rows.select("query_id", F.col("x.items.ordinal").alias("ordinal"), F.col("x.batch").alias("batch"))
 
 
 def greedy_context(candidates: DataFrame, budget_chars: int = 8000, min_usefulness: float = 1.0, max_redundancy: float = 0.5) -> DataFrame:
@@ -72,15 +72,14 @@ def greedy_context(candidates: DataFrame, budget_chars: int = 8000, min_usefulne
     """
     item = F.struct((-F.coalesce("usefulness", F.lit(0.0))).alias("order"), "ordinal", "doc_id", F.col("chars").cast("long").alias("chars"), F.coalesce("usefulness", F.lit(0.0)).alias("useful"), F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"))
     lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.expr("named_struct('used', 0L, 'out', cast(array() as array<string>))")
 
-    def step(a: Column, x: Column) -> Column:
-        said = F.when(x["useful"] < min_usefulness, "not_useful").when(x["redundancy"] >= max_redundancy, "redundant").when(a["used"] + x["chars"] > budget_chars, "over_budget").otherwise("selected")
-        return F.struct((a["used"] + F.when(said == "selected", x["chars"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(a["out"], F.array(said)).alias("out"))
+    def step(used: Column, x: Column) -> tuple[Column, Column]:
+        said = F.when(x["useful"] < min_usefulness, "not_useful").when(x["redundancy"] >= max_redundancy, "redundant").when(used + x["chars"] > budget_chars, "over_budget").otherwise("selected")
+        return used + F.when(said == "selected", x["chars"]).otherwise(F.lit(0).cast("long")), said
 
-    rows = lists.withColumn("__fold", F.aggregate("items", start, step)).withColumn("__none", ~F.array_contains("__fold.out", "selected"))
-    used = F.when(F.col("__none"), F.get("items", F.lit(0))["chars"]).otherwise(F.col("__fold.used"))
-    rows = rows.select("query_id", used.alias("used_chars"), "__none", F.posexplode(F.arrays_zip("items", F.col("__fold.out").alias("said"))).alias("at", "x"))
+    rows = lists.withColumn("__fold", running(F.col("items"), "bigint", "string", F.lit(0), step)).withColumn("__none", ~F.array_contains("__fold.said", "selected"))
+    used = F.when(F.col("__none"), F.get("items", F.lit(0))["chars"]).otherwise(F.col("__fold.state"))
+    rows = rows.select("query_id", used.alias("used_chars"), "__none", F.posexplode(F.arrays_zip("items", F.col("__fold.said").alias("said"))).alias("at", "x"))
     return rows.select("query_id", F.col("x.items.ordinal").alias("ordinal"), F.col("x.items.doc_id").alias("doc_id"), F.when(F.col("__none") & (F.col("at") == 0), "selected").otherwise(F.col("x.said")).alias("decision"), "used_chars")
 
 

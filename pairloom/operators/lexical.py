@@ -25,19 +25,20 @@ def length(pool: DataFrame) -> DataFrame:
 def bm25(pool: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 of each candidate within its query's pool; documents without a query term score 0.
 
-    Only terms of the question are counted in documents, inside the row; what is shuffled
-    is one row for each query term that a document holds.
+    One pass over the texts: a row for each term of the question that a document holds, and one
+    without a term for each document, counted before the shuffle. Statistics come from these.
     """
-    rows = pool.select(*KEY, terms(F.col("question")).alias("__q"), term_bag(F.col("text")).alias("__d")).withColumn("__len", F.size("__d").cast("double"))
-    stats = rows.groupBy("query_id").agg(F.avg("__len").alias("__avg"), F.count(F.lit(1)).alias("__n"))
-    counted = F.transform(F.array_intersect("__q", "__d"), lambda t: F.struct(t.alias("term"), F.size(F.filter("__d", lambda x: x == t)).cast("double").alias("tf")))
-    hits = rows.select("query_id", "ordinal", "doc_id", "__len", F.explode(counted).alias("__h")).select("query_id", "ordinal", "doc_id", "__len", "__h.*")
-    df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    hits = hits.join(df, ["query_id", "term"]).join(stats, "query_id")
+    rows = pool.select(*KEY, terms(F.col("question")).alias("__q"), F.coalesce(term_bag(F.col("text")), F.array().cast("array<string>")).alias("__d"))
+    none = F.array(F.lit(None).cast("string"))
+    found = rows.select(*KEY, "__q", F.size("__d").cast("double").alias("__len"), F.explode(F.concat(none, "__d")).alias("term"))
+    found = found.filter(F.col("term").isNull() | F.array_contains("__q", F.col("term")))
+    found = found.groupBy(*KEY, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.max("__len").alias("__len"))
+    stats = found.filter("term is null").groupBy("query_id").agg(F.avg("__len").alias("__avg"), F.count(F.lit(1)).alias("__n"))
+    df = found.filter("term is not null").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits = found.join(stats, "query_id").join(df, ["query_id", "term"], "left")
     idf = F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    scored = hits.groupBy("query_id", "ordinal", "doc_id").agg(F.sum(part).alias("score"))
-    return rows.select(*KEY).join(scored, ["query_id", "ordinal", "doc_id"], "left").select(*KEY, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return hits.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(F.col("term").isNotNull(), part)), F.lit(0.0)).alias("score"))
 
 
 def baseline_scores(pool: DataFrame, dataset: str = "pool") -> DataFrame:

@@ -31,9 +31,15 @@ def pair_schedule(candidates: DataFrame, opponents: int = OPPONENTS, limit: int
 def win_rates(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Mean win probability of each candidate over its matches; 0 without any.
 
-    ``verdicts``: query_id, left_id, right_id, p_left, p_right; null where the scorer gave none.
+    A query of one candidate has nothing to compare: its candidate keeps the score that it came
+    with (0 without one). ``verdicts``: query_id, left_id, right_id, p_left, p_right; null where
+    the scorer gave none.
     """
-    sides = verdicts.filter("p_left is not null or p_right is not null").select("query_id", F.explode(F.array(F.struct(F.col("left_id").alias("doc_id"), F.coalesce("p_left", F.lit(0.0)).alias("p")), F.struct(F.col("right_id").alias("doc_id"), F.coalesce("p_right", F.lit(0.0)).alias("p")))).alias("s"))
-    rate = sides.groupBy("query_id", "s.doc_id").agg(F.avg("s.p").alias("score"), F.count(F.lit(1)).alias("matches"))
-    rows = candidates.drop("score").join(rate, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("matches", F.coalesce("matches", F.lit(0)))
+    side = lambda k: F.struct(F.col(f"{k}_id").alias("doc_id"), F.coalesce(f"p_{k}", F.lit(0.0)).alias("p"))
+    sides = verdicts.filter("p_left is not null or p_right is not null").select("query_id", F.explode(F.array(side("left"), side("right"))).alias("s"))
+    rate = sides.groupBy("query_id", "s.doc_id").agg(F.avg("s.p").alias("__rate"), F.count(F.lit(1)).alias("matches"))
+    came = F.col("score").cast("double") if "score" in candidates.columns else F.lit(None).cast("double")
+    alone = F.count(F.lit(1)).over(Window.partitionBy("query_id")) == 1
+    rows = candidates.withColumn("__came", F.when(alone, came)).drop("score").join(rate, ["query_id", "doc_id"], "left")
+    rows = rows.withColumn("score", F.coalesce("__rate", "__came", F.lit(0.0))).withColumn("matches", F.coalesce("matches", F.lit(0))).drop("__rate", "__came")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")))

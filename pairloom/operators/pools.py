@@ -48,24 +48,40 @@ def exact_shuffle(ids: list[str], seed: str) -> list[str]:
     return out
 
 
-def distractor_padding(candidates: DataFrame, total: int, seed: int = 0, blocks: int = 0) -> DataFrame:
+#: Buckets of the hash ring that places are numbered in (the highest bits of a place).
+RING_BITS = 12
+
+
+def _place(*parts: Column) -> Column:
+    """A place on the ring, from 0 to 2^32 - 1."""
+    return F.conv(F.substring(shuffle_key(*parts), 1, 8), 16, 10).cast("long")
+
+
+def distractor_padding(candidates: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """Each query's own candidates and, up to ``total``, hash-drawn ones of other queries (label 0).
 
-    ``candidates``: query_id, doc_id, text, label. All candidates stand on a hash ring; a
-    query takes the first strangers after its own place. So no query meets all candidates:
-    the ring is cut into arcs, and a query's arc and the next ones are joined.
+    ``candidates``: query_id, doc_id, text, label. All candidates stand on a hash ring; a query
+    takes the first strangers from its own place on. It lacks ``total`` less its own, and at most
+    its own can be in the way, so ``total`` places in a row always hold what it needs: those are
+    looked up by their number on the ring, one row each. Where the ring holds fewer strangers,
+    all of them are taken.
     """
-    ring = candidates.select(F.col("query_id").alias("__of"), "doc_id", "text", F.conv(F.substring(shuffle_key(F.lit(seed), F.lit("doc"), F.col("query_id"), F.col("doc_id")), 1, 8), 16, 10).cast("long").alias("__at"))
-    own = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("__own"))
-    size = candidates.groupBy().agg(F.count(F.lit(1)).alias("__all")).join(F.broadcast(own.agg(F.max("__own").alias("__most"))))
-    # an arc holds as many candidates, on average, as a query needs; three arcs are looked through
-    places = own.filter(F.col("__own") < total).withColumn("__start", F.conv(F.substring(shuffle_key(F.lit(seed), F.lit("query"), F.col("query_id")), 1, 8), 16, 10).cast("long")).join(F.broadcast(size))
-    arcs = F.greatest(F.floor(F.col("__all") / (4 * (total + F.col("__most")))), F.lit(1))
-    width = F.ceil(F.lit(float(1 << 32)) / arcs)
-    places = places.withColumn("__arcs", arcs).withColumn("__width", width)
-    places = places.withColumn("__arc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.floor(F.col("__start") / F.col("__width")) + k) % F.col("__arcs")))))
-    ring = ring.join(F.broadcast(size)).withColumn("__arc", F.floor(F.col("__at") / F.ceil(F.lit(float(1 << 32)) / arcs))).drop("__all", "__most")
-    met = places.join(ring, "__arc").filter("__of <> query_id")
-    after = F.pmod(F.col("__at") - F.col("__start"), F.lit(1 << 32))
-    drawn = met.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(after, "doc_id", "__of"))).filter(F.col("__n") <= total - F.col("__own"))
-    return candidates.select("query_id", "doc_id", "text", "label", F.lit(True).alias("own")).unionByName(drawn.select("query_id", "doc_id", "text", F.lit(0).cast("int").alias("label"), F.lit(False).alias("own")))
+    here = candidates.select("query_id", "doc_id", "text", _place(F.lit(seed), F.lit("doc"), F.col("query_id"), F.col("doc_id")).alias("__at"))
+    own = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("__own")).filter(F.col("__own") < total)
+    size = candidates.agg(F.count(F.lit(1)).alias("__size"))
+    marks = own.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("text"), _place(F.lit(seed), F.lit("query"), F.col("query_id")).alias("__at"))
+    # a mark stands before the candidates of its place, so its number is that of the first of them
+    ring = here.withColumn("__doc", F.lit(1)).unionByName(marks.withColumn("__doc", F.lit(0))).withColumn("__bucket", F.shiftrightunsigned("__at", 32 - RING_BITS))
+    before = Window.partitionBy("__bucket").orderBy("__at", "__doc", "doc_id", "query_id").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = ring.groupBy("__bucket").agg(F.sum("__doc").alias("n")).select("__bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("__base"))
+    ring = ring.withColumn("__n", F.coalesce(F.sum("__doc").over(before), F.lit(0))).join(F.broadcast(base), "__bucket").withColumn("__n", F.col("__n") + F.col("__base"))
+    places = ring.filter("__doc = 0").select("query_id", F.col("__n").alias("__start")).join(own, "query_id").join(F.broadcast(size))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(total).cast("long"), F.col("__size")) - 1)
+    places = places.select("query_id", "__own", "__size", "__start", F.explode(steps).alias("__step")).withColumn("__n", (F.col("__start") + F.col("__step")) % F.col("__size"))
+    strangers = ring.filter("__doc = 1").select(F.col("query_id").alias("__of"), "doc_id", "text", "__n")
+    met = places.join(strangers, "__n").filter(F.col("__of") != F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("__step"))
+    drawn = met.withColumn("__rank", rank).filter(F.col("__rank") <= total - F.col("__own"))
+    mine = candidates.select("query_id", "doc_id", "text", "label", F.lit(True).alias("own"))
+    return mine.unionByName(drawn.select("query_id", "doc_id", "text", F.lit(0).cast("int").alias("label"), F.lit(False).alias("own")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.functions import vectors
 from pairloom.operators import bootstrap, budget, classify, curves, lexical, pairwise, pools, quality, ranking, routes
 from pairloom.sources import bindings as B
 from pairloom.sources import loaders
@@ -19,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 ONE = ["dataset", "route"]
-SAMPLES = 50
+SAMPLES = bootstrap.SAMPLES
+#: Random score lists of each query.
+RANDOM_DRAWS = 100
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -161,15 +164,19 @@ def normalise_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise_answer(F.col("text")).alias("normal"))
 
 
-_ANSWERS = "answers AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE 'so <answer>' || substr(text, 1, 12 + turn) || '</answer> <answer>x</answer>' END AS generated, CASE WHEN turn % 2 = 0 THEN [substr(text, 3, 4), '「' || substr(text, 1, 12 + turn) || '」', ' '] ELSE ['-', substr(text, 2, 5)] END AS golds FROM conversations)"
+#: Whole texts as answers: bare, tagged, or tagged with more around; golds are the whole text, too.
+_ANSWERS = """answers AS (SELECT conv_id, turn,
+  CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'so <answer>' || text || '</answer> <answer>x</answer>' ELSE '<answer>' || role || ': ' || text || ' (' || conv_id || ')</answer>' END AS generated,
+  CASE WHEN turn % 2 = 0 THEN ['「' || text || '」', ' '] ELSE ['-', text] END AS golds FROM conversations)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "conversations")
-    part = lambda a, n: F.substring("text", F.lit(a), n if not isinstance(n, int) else F.lit(n))
-    whole = part(1, (12 + F.col("turn")).cast("int"))
-    said = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("so <answer>"), whole, F.lit("</answer> <answer>x</answer>")))
-    golds = F.when(F.col("turn") % 2 == 0, F.array(part(3, 4), F.concat(F.lit("「"), whole, F.lit("」")), F.lit(" "))).otherwise(F.array(F.lit("-"), part(2, 5)))
+    tagged = F.concat(F.lit("so <answer>"), F.col("text"), F.lit("</answer> <answer>x</answer>"))
+    around = F.concat(F.lit("<answer>"), F.col("role"), F.lit(": "), F.col("text"), F.lit(" ("), F.col("conv_id").cast("string"), F.lit(")</answer>"))
+    said = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, tagged).otherwise(around)
+    quoted = F.array(F.concat(F.lit("「"), F.col("text"), F.lit("」")), F.lit(" "))
+    golds = F.when(F.col("turn") % 2 == 0, quoted).otherwise(F.array(F.lit("-"), F.col("text")))
     return c.select("conv_id", "turn", said.alias("generated"), golds.alias("golds"))
 
 
@@ -243,7 +250,7 @@ def sanity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COSINE = """SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(d.vec_id AS VARCHAR) AS doc_id, d.vec_id AS ordinal, CAST(q.label = d.label AS INTEGER) AS label, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score
-    FROM embeddings q JOIN embeddings d ON q.vec_id < 20 AND d.vec_id >= 20"""
+    FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0"""
 
 
 @query(f"SELECT query_id, doc_id, label, round(score, 9) AS score FROM ({_COSINE})")
@@ -253,7 +260,9 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH e AS ({_COSINE}) SELECT query_id, doc_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS INTEGER) AS rank FROM e) WHERE rank <= 10")
 def embedding_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(rounded(routes.embedding(*B.vectors(spark, sf_dir))), 10, ["query_id"]).select("query_id", "doc_id", "rank")
+    e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vectors.nearest(e, e.filter("id % 20 = 0"), 10, digits=9)
+    return found.select(F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("doc_id"), "rank")
 
 
 # --- classification metrics ------------------------------------------------------------------
@@ -486,7 +495,7 @@ def paired_query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bootstrap -----------------------------------------------------------------------------------
 
 
-_DRAWS = f"""ids AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS pos FROM (SELECT DISTINCT query_id FROM {{}})),
+_DRAWS = f"""ids AS (SELECT query_id, row_number() OVER (ORDER BY substr(md5(query_id), 1, 3), query_id) - 1 AS pos FROM (SELECT DISTINCT query_id FROM {{}})),
 draws AS (SELECT sample, query_id, count(*) AS weight FROM (SELECT s.range AS sample, CAST('0x' || substr(md5('0:' || s.range || ':' || i.pos), 1, 8) AS BIGINT) % (SELECT count(*) FROM ids) AS pos FROM ids i, range({SAMPLES}) s) JOIN ids USING (pos) GROUP BY ALL)"""
 
 
@@ -510,7 +519,7 @@ SELECT round((SELECT value FROM pairs_c_v) - (SELECT value FROM pairs_b_v), 9) A
 
 def _bootstrap(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     a, b = B.pairs_c(spark, sf_dir), B.pairs_b(spark, sf_dir)
-    return rounded(bootstrap.paired_bootstrap(a, b, bootstrap.hash_draws(a, SAMPLES), metric))
+    return rounded(bootstrap.paired_bootstrap(a, b, bootstrap.hash_draws(a, SAMPLES), metric, SAMPLES))
 
 
 @query(_bootstrap_sql(_AP))
@@ -543,11 +552,11 @@ def bootstrap_mean_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.mean_over_drawn(*_means(spark, sf_dir), bootstrap.hash_draws(B.pairs_c(spark, sf_dir), SAMPLES)))
 
 
-@query(f"""{B.with_sql('pairs')}, rnd AS (SELECT query_id, s.range AS draw, label, CAST('0x' || substr(md5('0:' || s.range || ':' || query_id || ':' || ordinal), 1, 8) AS BIGINT) AS score FROM pairs, range(20) s),
+@query(f"""{B.with_sql('pairs')}, rnd AS (SELECT query_id, s.range AS draw, label, CAST('0x' || substr(md5('0:' || s.range || ':' || query_id || ':' || ordinal), 1, 8) AS BIGINT) AS score FROM pairs, range({RANDOM_DRAWS}) s),
 pt AS (SELECT query_id, draw, score, sum(label) AS tp, count(*) AS n FROM rnd GROUP BY ALL), c AS (SELECT *, sum(tp) OVER (PARTITION BY query_id, draw ORDER BY score DESC) AS ctp, sum(n) OVER (PARTITION BY query_id, draw ORDER BY score DESC) AS cn, sum(tp) OVER (PARTITION BY query_id, draw) AS p, sum(n) OVER (PARTITION BY query_id, draw) AS total FROM pt),
 v AS (SELECT query_id, draw, {_AP} AS value FROM c GROUP BY ALL), q AS (SELECT query_id, avg(value) AS value FROM v WHERE value IS NOT NULL GROUP BY 1) SELECT round(avg(value), 9) AS value, count(*) AS queries FROM q""")
 def random_query_pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.random_query_pr_auc(B.pairs(spark, sf_dir), 20))
+    return rounded(bootstrap.random_query_pr_auc(B.pairs(spark, sf_dir), RANDOM_DRAWS))
 
 
 _CORRECT = "correct AS (SELECT user_id AS q, count_if(event_type = 'purchase') > 12 AS a, count_if(event_type = 'click') > 12 AS b, CASE WHEN user_id % 10 = 3 THEN 'failed' END AS error FROM events GROUP BY user_id)"
@@ -566,7 +575,7 @@ def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- comparisons, packing and routes -------------------------------------------------------------
 
 
-_SCHED = """c AS (SELECT CAST(c_nationkey AS VARCHAR) AS query_id, c_custkey AS ordinal, CAST(c_custkey AS VARCHAR) AS doc_id FROM customer WHERE c_custkey % 7 < CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 6 END),
+_SCHED = """c AS (SELECT (c_custkey // 28) || CASE WHEN c_custkey % 28 < 8 THEN '-few' ELSE '-many' END AS query_id, c_custkey AS ordinal, CAST(c_custkey AS VARCHAR) AS doc_id FROM customer),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM c),
 e AS (SELECT a.query_id, a.doc_id AS left_id, b.doc_id AS right_id, row_number() OVER (PARTITION BY a.query_id ORDER BY a.i, b.i) - 1 AS ordinal FROM k a JOIN k b ON a.query_id = b.query_id AND a.i < b.i WHERE a.n * (a.n - 1) // 2 <= 64),
 ring AS (SELECT a.query_id, a.doc_id AS left_id, b.doc_id AS right_id, s.range AS d, a.i, row_number() OVER (PARTITION BY a.query_id, least(a.i, b.i), greatest(a.i, b.i) ORDER BY s.range, a.i) AS seen FROM k a, range(1, 4) s, k b WHERE a.query_id = b.query_id AND b.i = (a.i + s.range) % a.n AND s.range < a.n AND a.n * (a.n - 1) // 2 > 64),
@@ -575,8 +584,10 @@ schedule AS (SELECT query_id, ordinal, left_id, right_id FROM e UNION ALL SELECT
 
 
 def _shortlists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = B.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 7 < F.when(F.col("c_nationkey") % 2 == 0, 1).otherwise(6))
-    return c.select(F.col("c_nationkey").cast("string").alias("query_id"), F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("doc_id"), (F.col("c_acctbal") > 5000).cast("int").alias("label"))
+    """Every customer, in pools of 8 (all pairs meet) and of 20 (a ring) by number."""
+    size = F.when(F.col("c_custkey") % 28 < 8, "-few").otherwise("-many")
+    query_id = F.concat(F.floor(F.col("c_custkey") / 28).cast("string"), size)
+    return B.table(spark, sf_dir, "customer").select(query_id.alias("query_id"), F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("doc_id"), (F.col("c_acctbal") > 5000).cast("int").alias("label"))
 
 
 @query(f"WITH {_SCHED} SELECT * FROM schedule")
@@ -614,14 +625,19 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.request_batches(B.pool(spark, sf_dir), 10).select("query_id", "doc_id", "batch", "position")
 
 
-@query(f"""WITH RECURSIVE {B.SQL['pool']}, cost AS (SELECT query_id, ordinal, least({_tokens_sql('text')}, 4000) AS cost, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS pos FROM pool),
+#: A long context's budget, so that whole documents fit: its tokens, its state's, and the room beside that.
+WINDOW, STATE = 64_000, 1_000
+ROOM = int(WINDOW * budget.MARGIN) - STATE
+
+
+@query(f"""WITH RECURSIVE {B.SQL['pool']}, cost AS (SELECT query_id, ordinal, {_tokens_sql('text')} AS cost, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS pos FROM pool),
 fold(query_id, ordinal, pos, used, n, batch) AS (SELECT query_id, ordinal, pos, cost, 1, 0::BIGINT FROM cost WHERE pos = 1
-  UNION ALL SELECT c.query_id, c.ordinal, c.pos, CASE WHEN f.n >= 8 OR f.used + c.cost > 8982 THEN c.cost ELSE f.used + c.cost END, CASE WHEN f.n >= 8 OR f.used + c.cost > 8982 THEN 1 ELSE f.n + 1 END, f.batch + CASE WHEN f.n >= 8 OR f.used + c.cost > 8982 THEN 1 ELSE 0 END
+  UNION ALL SELECT c.query_id, c.ordinal, c.pos, CASE WHEN f.n >= 8 OR f.used + c.cost > {ROOM} THEN c.cost ELSE f.used + c.cost END, CASE WHEN f.n >= 8 OR f.used + c.cost > {ROOM} THEN 1 ELSE f.n + 1 END, f.batch + CASE WHEN f.n >= 8 OR f.used + c.cost > {ROOM} THEN 1 ELSE 0 END
   FROM fold f JOIN cost c ON c.query_id = f.query_id AND c.pos = f.pos + 1)
 SELECT query_id, ordinal, batch FROM fold""")
 def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = B.pool(spark, sf_dir).select("query_id", "ordinal", F.least(T.estimate_tokens(F.col("text")), F.lit(4000)).alias("cost"))
-    return budget.next_fit_batches(items, 50_000, 8, pair_budget=60_000)
+    items = B.pool(spark, sf_dir).select("query_id", "ordinal", T.estimate_tokens(F.col("text")).alias("cost"))
+    return budget.next_fit_batches(items, STATE, 8, total_budget=WINDOW, pair_budget=2**31)
 
 
 _GREEDY = f"""{B.SQL['pool']}, cand AS (SELECT query_id, ordinal, doc_id, label, length(text) AS chars, (ordinal % 4)::DOUBLE AS useful, (ordinal % 7) / 10.0::DOUBLE AS redundancy, row_number() OVER (PARTITION BY query_id ORDER BY (ordinal % 4) DESC, ordinal) AS pos FROM pool),

@@ -50,13 +50,19 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("quality", F.lit(0)).alias("label"), "question", "text")
 
 
+#: Queries that are put side by side with the vectors at a time.
+QUERY_BLOCK = 1024
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates, document vectors and the vectors of twenty queries."""
+    """Candidates, document vectors and query vectors: ids divisible by 20 ask all vectors, in blocks."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("ql"))
-    d = e.filter("vec_id >= 20").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"), F.col("label").alias("dl"))
-    # each query against every vector: a stated query set, twenty rows
-    candidates = d.select("doc_id", "ordinal", "dl").join(F.broadcast(q.select("query_id", "ql"))).select("query_id", "ordinal", "doc_id", (F.col("ql") == F.col("dl")).cast("int").alias("label"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("ql"))
+    d = e.select(F.col("vec_id").cast("string").alias("doc_id"), F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"), F.col("label").alias("dl"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    asked = q.select("query_id", "ql", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    every = d.select("doc_id", "ordinal", "dl", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    candidates = every.join(asked, "block").select("query_id", "ordinal", "doc_id", (F.col("ql") == F.col("dl")).cast("int").alias("label"))
     return candidates, d.select("doc_id", "vector"), q.select("query_id", "query_vector")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import bootstrap, classify, curves, ranking
+from pairloom.operators import bootstrap, classify, curves, ranking, weighted
 
 SCHEMA = "dataset string, route string, query_id string, doc_id string, ordinal long, label int, score double"
 
@@ -101,8 +101,8 @@ def test_exact_bootstrap_equals_copied_rows(spark):
     a, b = random_rows(5), random_rows(5)
     b = [(q, y, 1 - s) for q, y, s in b]
     ids = sorted({q for q, *_ in a})
-    draws = bootstrap.exact_draws(spark, ids, 8, 3)
-    got = bootstrap.paired_bootstrap(frame(spark, a), frame(spark, b), draws).first()
+    draws = bootstrap.exact_draws(frame(spark, a), 8, 3)
+    got = bootstrap.paired_bootstrap(frame(spark, a), frame(spark, b), draws, samples=8).first()
     rng, diffs = np.random.default_rng(3), []
     for _ in range(8):
         drawn = [ids[i] for i in rng.integers(0, len(ids), len(ids))]
@@ -111,6 +111,31 @@ def test_exact_bootstrap_equals_copied_rows(spark):
     assert [got["low"], got["high"]] == pytest.approx(np.percentile(diffs, [2.5, 97.5]).tolist())
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+@pytest.mark.parametrize("metric", ["pr_auc", "precision"])
+def test_sampled_metrics_equal_copied_rows(spark, monkeypatch, ranges, metric):
+    import numpy as np
+
+    rows = random_rows(9)
+    monkeypatch.setattr(weighted, "RANGE_ROWS", max(1, len(rows) // ranges))
+    monkeypatch.setattr(weighted, "MATRIX_ROWS", 3)
+    draws = bootstrap.hash_draws(frame(spark, rows), 25, 1)
+    table = {}
+    for r in draws.collect():
+        table.setdefault(r["sample"], {})[r["query_id"]] = r["weight"]
+    assert all(sum(x.values()) == len({q for q, *_ in rows}) for x in table.values()) and len(table) == 25
+    got = weighted.sampled_metric(frame(spark, rows), weighted.weights_by_query(draws, 25), 25, metric)
+    for sample, w in table.items():
+        copied = [r for r in rows for _ in range(w.get(r[0], 0))]
+        if metric == "pr_auc":
+            want = brute_ap(copied)
+        else:
+            total = sum(y for _, y, _ in copied)
+            points = [(s, [y for _, y, x in copied if x >= s]) for s in sorted({s for *_, s in copied}, reverse=True)]
+            want = next((sum(y) / len(y) for _, y in points if sum(y) >= 0.9 * total), None) if total else None
+        assert (np.isnan(got[sample]) if want is None else got[sample] == pytest.approx(want)), sample
+
+
 def test_min_max_of_flat_list_is_one(spark):
     rows = frame(spark, [("q", 0, 2), ("q", 1, 2), ("p", 0, 1), ("p", 0, 3)])
     got = [r[0] for r in rows.select(ranking.min_max(F.col("score"), ["query_id"])).collect()]

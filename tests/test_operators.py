@@ -1,5 +1,6 @@
 """Folds, schedules, lexical scores, quality checks, sources and rendering."""
 
+import itertools
 import json
 import random
 
@@ -7,32 +8,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.functions import vectors
 from pairloom.functions.vectors import cosine
 from pairloom.operators import budget, lexical, pairwise, pools, quality, routes
 from pairloom.plans import judge, report
 from pairloom.sources import loaders, runs
 
 
-def loop_schedule(n, opponents=3, limit=64):
-    if n * (n - 1) // 2 <= limit:
-        return [(i, j) for i in range(n) for j in range(i + 1, n)]
-    seen, out = set(), []
-    for d in range(1, min(opponents, n - 1) + 1):
-        for i in range(n):
-            pair = frozenset((i, (i + d) % n))
-            if pair not in seen and len(out) < limit:
-                seen.add(pair)
-                out.append((i, (i + d) % n))
-    return out
-
-
-def test_pair_schedule_equals_loop(spark):
+def test_pair_schedule_properties(spark):
     sizes = [1, 2, 3, 11, 12, 13, 30, 66, 70]
     rows = [(f"q{n}", i, f"{i}") for n in sizes for i in range(n)]
-    got = {}
+    got = {n: [] for n in sizes}
     for r in pairwise.pair_schedule(spark.createDataFrame(rows, "query_id string, ordinal long, doc_id string")).orderBy("query_id", "ordinal").collect():
-        got.setdefault(r["query_id"], []).append((int(r["left_id"]), int(r["right_id"])))
-    assert got == {f"q{n}": loop_schedule(n) for n in sizes if n > 1}
+        got[int(r["query_id"][1:])].append((int(r["left_id"]), int(r["right_id"])))
+    for n, pairs in got.items():
+        possible = n * (n - 1) // 2
+        assert len({frozenset(p) for p in pairs}) == len(pairs) <= pairwise.LIMIT  # none twice, cut at the limit
+        assert all(a != b and max(a, b) < n for a, b in pairs)
+        if possible <= pairwise.LIMIT:
+            assert pairs == list(itertools.combinations(range(n), 2))
+        else:
+            apart = [(b - a) % n for a, b in pairs]
+            assert apart == sorted(apart) and set(apart) <= {1, 2, 3}  # the nearest on the ring first
+            assert len(pairs) == min(pairwise.LIMIT, 3 * n)
+            assert all([a for a, b in pairs if (b - a) % n == d] == list(range(apart.count(d))) for d in set(apart))
 
 
 def test_greedy_context_skips_and_falls_back(spark):
@@ -92,6 +91,60 @@ def test_merge_never_loses_a_success(spark):
     assert got == {"a": (1, None), "b": (2, "again")}
 
 
+def test_one_candidate_keeps_its_score(spark):
+    rows = spark.createDataFrame([("a", 0, "x", 1, 0.7), ("b", 0, "y", 1, 0.6), ("b", 1, "z", 0, 0.9)], "query_id string, ordinal long, doc_id string, label int, score double")
+    verdicts = spark.createDataFrame([("b", "y", "z", 0.2, 0.8)], "query_id string, left_id string, right_id string, p_left double, p_right double")
+    assert {r["doc_id"]: r["score"] for r in pairwise.win_rates(rows, verdicts).collect()} == {"x": 0.7, "y": 0.2, "z": 0.8}
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "QUERY_TILE", 4)
+    monkeypatch.setattr(vectors, "ROW_TILE", 16)
+    x = np.random.default_rng(3).integers(-2, 3, (90, 3)).astype(float)  # with ties and zero vectors
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0, 0.0, 0.0]), (500, None)], "id long, vector array<double>")
+    got = {}
+    for r in vectors.nearest(table, table.filter("id % 9 = 0"), 5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for q in range(0, 90, 9):
+        share = np.round(unit @ unit[q], 12)
+        want = sorted(range(90), key=lambda i: (-share[i], i))[:5]
+        assert [got[q][r] for r in range(1, 6)] == want
+    assert vectors.nearest(table.limit(0), table, 5).count() == 0
+
+
+def test_long_folds_equal_a_loop(spark):
+    rng = random.Random(2)
+    costs = [rng.randrange(1, 60) for _ in range(1500)]
+    items = spark.createDataFrame([("q", i, c) for i, c in enumerate(costs)] + [("p", 0, 5)], "query_id string, ordinal long, cost long")
+    got = {(r["query_id"], r["ordinal"]): r["batch"] for r in budget.next_fit_batches(items, 10, 7, total_budget=200, pair_budget=100).collect()}
+    batch = used = n = 0
+    for i, c in enumerate(costs):
+        if n and (n >= 7 or used + c > 170):
+            batch, used, n = batch + 1, 0, 0
+        used, n = used + c, n + 1
+        assert got["q", i] == batch
+    assert got["p", 0] == 0 and len(got) == 1501
+
+
+@pytest.mark.parametrize("sizes", [[300, 1, 1, 2, 5], [3], [2, 2], [1] * 40])
+def test_distractors_equal_a_walk_round_the_ring(spark, sizes):
+    import hashlib
+
+    place = lambda *x: int(hashlib.md5(":".join(x).encode()).hexdigest()[:8], 16)
+    rows = [(f"q{q}", f"d{i}", "t", 1) for q, n in enumerate(sizes) for i in range(n)]
+    table = spark.createDataFrame(rows, "query_id string, doc_id string, text string, label int")
+    got = sorted((r["query_id"], r["doc_id"], r["own"]) for r in pools.distractor_padding(table, 9, 4).collect())
+    want = [(q, d, True) for q, d, *_ in rows]
+    for q, n in ((f"q{k}", n) for k, n in enumerate(sizes)):
+        start = place("4", "query", q)
+        ring = sorted(((place("4", "doc", o, d) - start) % (1 << 32), d, o) for o, d, *_ in rows)
+        want += [(q, d, False) for _, d, o in [x for x in ring if x[2] != q][: max(0, 9 - n)]]
+    assert got == sorted(want)
+
+
 def test_distractors_are_foreign_and_fill_up(spark):
     rows = [(f"q{q}", f"q{q}-{i}", "t", 1) for q in range(12) for i in range(5)]
     got = pools.distractor_padding(spark.createDataFrame(rows, "query_id string, doc_id string, text string, label int"), 20).collect()
