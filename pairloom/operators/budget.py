@@ -37,22 +37,27 @@ def request_batches(candidates: DataFrame, size: int | Column) -> DataFrame:
     return candidates.withColumn("batch", F.floor(at / size).cast("long")).withColumn("position", (at % size).cast("long"))
 
 
-def next_fit_batches(items: DataFrame, state_tokens: int, max_items: int | None = None, total_budget: int = TOTAL_BUDGET, pair_budget: int = PAIR_BUDGET) -> DataFrame:
+def next_fit_batches(items: DataFrame, state_tokens: int | str, max_items: int | None = None, total_budget: int = TOTAL_BUDGET, pair_budget: int = PAIR_BUDGET) -> DataFrame:
     """Items in order into requests; a request that an item would overfill is closed.
 
-    ``items``: query_id, ordinal, cost. Raises where the state alone, or the state and one
-    item, is over its budget. A fold over each query's costs, since it is no prefix sum.
+    ``items``: query_id, ordinal, cost. ``state_tokens``: a number, or the column that has each
+    query's. Raises where the state alone, or the state and one item, is over its budget. A fold
+    over each query's costs, since it is no prefix sum.
     """
-    room = int(total_budget * MARGIN) - state_tokens
-    if room <= 0:
+    most, limit = max_items or 2**31 - 1, int(total_budget * MARGIN)
+    if isinstance(state_tokens, int) and limit <= state_tokens:
         raise ValueError("the state alone is over the budget")
-    most = max_items or 2**31 - 1
-    lists = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("cost").cast("long").alias("cost")))).alias("items"))
+    tokens = F.lit(state_tokens) if isinstance(state_tokens, int) else F.max(state_tokens)
+    item = F.struct("ordinal", F.col("cost").cast("long").alias("cost"))
+    lists = items.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), tokens.cast("long").alias("state"))
+    over = F.raise_error(F.lit("the state alone is over the budget")).cast("long")
+    lists = lists.withColumn("state", F.when(F.col("state") >= limit, over).otherwise(F.col("state")))
     start = F.expr("named_struct('batch', 0L, 'used', 0L, 'n', 0)")
 
     def step(a: Column, x: Column) -> tuple[Column, Column]:
-        cost = F.when(x["cost"] + state_tokens > pair_budget, F.raise_error(F.lit("an item is over the budget beside the state")).cast("long")).otherwise(x["cost"])
-        close = (a["n"] > 0) & ((a["n"] >= most) | (a["used"] + cost > room))
+        too_much = F.raise_error(F.lit("an item is over the budget beside the state")).cast("long")
+        cost = F.when(x["cost"] + F.col("state") > pair_budget, too_much).otherwise(x["cost"])
+        close = (a["n"] > 0) & ((a["n"] >= most) | (a["used"] + cost > limit - F.col("state")))
         batch = a["batch"] + close.cast("long")
         used = F.when(close, F.lit(0).cast("long")).otherwise(a["used"]) + cost
         after = F.struct(batch.alias("batch"), used.alias("used"), (F.when(close, F.lit(0)).otherwise(a["n"]) + 1).alias("n"))

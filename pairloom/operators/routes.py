@@ -2,14 +2,13 @@
 
 A scorer answers typed questions about candidates. The offline scorer looks answers up in a
 scripted table, so every route can be run and tested without a service; a hosted one plugs
-in as a function over Arrow batches that opens its client once per task.
+in through :mod:`pairloom.services`, which opens its client once per task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +55,43 @@ def pointwise(candidates: DataFrame, scorer: Scorer, batch_size: int | None = 10
     """A probability per candidate, asked in batches that fit the request; unanswered ones are 0.
 
     ``candidates``: KEY and text. The scorer gets them with question_id, batch and position,
-    and returns question_id and value.
+    and returns question_id and value, and may add error: a query with a failed request has no
+    rows then, and is counted by :func:`quality.dropped_pairs`.
     """
     costs = candidates.select("query_id", "ordinal", budget.json_cost(F.col("text")).alias("cost"))
     fits = budget.fitting_batch_size(costs, overhead)
     size = F.col("fits") if batch_size is None else F.least(F.col("fits"), F.lit(batch_size))
     asked = budget.request_batches(candidates.join(fits, "query_id"), size).drop("fits", "candidates").withColumn("question_id", F.concat_ws("/", "query_id", "doc_id"))
-    answers = scorer(asked).select("question_id", "value").dropDuplicates(["question_id"])
-    return asked.join(answers, "question_id", "left").select(*KEY, "batch", "position", F.coalesce("value", F.lit(0.0)).alias("score"))
+    said = scorer(asked)
+    answers = said.select("question_id", "value").dropDuplicates(["question_id"])
+    rows = asked.join(answers, "question_id", "left").select(*KEY, "batch", "position", F.coalesce("value", F.lit(0.0)).alias("score"))
+    if "error" not in said.columns:
+        return rows
+    failed = asked.join(said.filter("error is not null").select("question_id"), "question_id", "left_semi").select("query_id").distinct()
+    return rows.join(failed, "query_id", "left_anti")
+
+
+def hosted_rerank(candidates: DataFrame, service: Scorer) -> DataFrame:
+    """Whole lists ranked by a service in one call each; its order is trusted and not sorted again.
+
+    ``candidates``: KEY, question and text. The service gets query_id, question and documents (in
+    input order), and returns query_id, results (array of index and score, best first) and error.
+    Candidates that it leaves out have no row, nor have queries that failed or have no candidate.
+    """
+    docs = F.array_sort(F.collect_list(F.struct("ordinal", "doc_id", "label", "text")))
+    lists = candidates.groupBy("query_id").agg(F.first("question").alias("question"), docs.alias("docs"))
+    said = service(lists.select("query_id", "question", F.transform("docs", lambda d: d["text"]).alias("documents")))
+    found = said.filter("error is null").select("query_id", F.posexplode("results").alias("at", "r"))
+    rows = lists.join(found, "query_id").withColumn("d", F.get("docs", F.col("r.index"))).filter("d is not null")
+    delta = F.col("r.index") - F.col("at")
+    return rows.select("query_id", F.col("d.ordinal").alias("ordinal"), F.col("d.doc_id").alias("doc_id"), F.col("d.label").alias("label"), F.col("r.score").alias("score"), (F.col("at") + 1).alias("rank"), delta.alias("rank_delta"))
 
 
 def crossencode(candidates: DataFrame, scorer: Scorer, grades: Scorer | None = None) -> DataFrame:
     """One request a pair; ties by the grade, where one is asked for, then by input order."""
+    asked = budget.request_batches(candidates, 1).withColumn("question_id", F.concat_ws("/", "query_id", "doc_id"))
     rows = pointwise(candidates, scorer, 1).withColumn("question_id", F.concat_ws("/", "query_id", "doc_id"))
-    grade = grades(rows).select("question_id", F.col("score").alias("grade")) if grades else None
+    grade = grades(asked).select("question_id", F.col("score").alias("grade")) if grades else None
     rows = rows.join(grade, "question_id", "left") if grades else rows.withColumn("grade", F.lit(0.0))
     return ranking.ranked(rows.select(*KEY, "score", F.coalesce("grade", F.lit(0.0)).alias("grade")), ["query_id"], ("score", "grade"))
 
@@ -100,27 +122,6 @@ def score_fusion(candidates: DataFrame, grades: DataFrame, weight: float = 0.3,
     return ranking.ranked(rows, ["query_id"])
 
 
-def hosted(call: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> Scorer:
-    """A scorer out of a service: ``call`` opens a client in the task and answers Arrow batches.
-
-    Retries belong in the client; a task that Spark runs again asks again.
-    """
-
-    def scorer(asked: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            answer = call()
-            yield from map(answer, batches)
-
-        return asked.mapInArrow(run, schema)
-
-    return scorer
-
-
-def should_retry(status: int) -> bool:
-    """Statuses that a client asks again for."""
-    return status in (408, 409, 425, 429) or status >= 500
-
-
 def baselines(pool: DataFrame, dataset: str = "pool") -> DataFrame:
     return lexical.baseline_scores(pool, dataset)
 

@@ -6,13 +6,16 @@ Metrics are rounded to nine digits on both sides, since sums of doubles differ i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
 from pairloom.functions import vectors
-from pairloom.operators import bootstrap, budget, classify, curves, lexical, pairwise, pools, quality, ranking, routes
+from pairloom.operators import answers, bootstrap, budget, classify, curves, lexical, pairwise, pools, quality, ranking, registry, routes
+from pairloom.plans import judge
+from pairloom.services import client, fake, prompts, scorers
 from pairloom.sources import bindings as B
 from pairloom.sources import loaders
 
@@ -706,6 +709,97 @@ def score_fusion_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(digits=12, df=routes.score_fusion(rows, grades).select("query_id", "doc_id", "score"))
 
 
+# --- services, answers and dilution ----------------------------------------------------------------
+
+
+def _by_number(**how: object) -> Callable[[], fake.ByNumber]:
+    return partial(fake.ByNumber, **how)
+
+
+@query(f"""{B.with_sql('pool')}, {_FITS}, {_pool_in_order()} SELECT c.query_id, c.doc_id, c.label, c.pos // f.size AS batch, c.pos % f.size AS position, (ordinal % 101) / 100.0::DOUBLE AS score
+    FROM cand c JOIN fits f ON c.query_id = f.query_id WHERE NOT starts_with(c.query_id, 'q7')""")
+def service_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over a played service: busy at first, and refusing a few queries, which have no rows then."""
+    scorer = scorers.noul_scorer(_by_number(refused="q7", broken=1), prompts.RELEVANT, retry=client.Retry(wait=0))
+    return routes.pointwise(B.pool(spark, sf_dir), scorer).select("query_id", "doc_id", "label", "batch", "position", "score")
+
+
+@query(f"""{B.with_sql('pool')}, {_pool_in_order()} SELECT query_id, pos // 10 AS batch, md5('{{"query":' || to_json(question)::VARCHAR || ',"candidates":[' || string_agg('{{"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY pos) || ']}}') AS state_md5
+    FROM cand GROUP BY query_id, question, pos // 10""")
+def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.request_payload(budget.request_batches(B.pool(spark, sf_dir), 10)).select("query_id", "batch", F.md5("state").alias("state_md5"))
+
+
+_SAID = """said AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"type": "noul", "value": ' || (event_id % 100) / 100.0::DOUBLE || '}'
+  WHEN 1 THEN '{"type": "choice", "choice": "' || event_type || '", "probabilities": {"a": 0.25, "b": 0.75}}' ELSE '{"type": "score", "score": ' || (event_id % 4) || ', "legend": ["x"]}' END AS answer FROM events)"""
+
+
+@query(f"""WITH {_SAID} SELECT event_id, json_extract_string(answer, '$.type') AS type, CASE WHEN event_id % 3 = 0 THEN (answer ->> '$.value')::DOUBLE END AS noul, CASE WHEN event_id % 3 = 1 THEN answer ->> '$.choice' END AS choice,
+    CASE WHEN event_id % 3 = 2 THEN (answer ->> '$.score')::DOUBLE END AS score, (answer ->> '$.probabilities.b')::DOUBLE AS b FROM said""")
+def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = B.table(spark, sf_dir, "events"), F.col("event_id")
+    noul = F.to_json(F.struct(F.lit("noul").alias("type"), ((k % 100) / 100.0).alias("value")))
+    options = F.create_map(F.lit("a"), F.lit(0.25), F.lit("b"), F.lit(0.75))
+    choice = F.to_json(F.struct(F.lit("choice").alias("type"), F.col("event_type").alias("choice"), options.alias("probabilities")))
+    score = F.to_json(F.struct(F.lit("score").alias("type"), (k % 4).alias("score"), F.array(F.lit("x")).alias("legend")))
+    rows = e.select("event_id", F.when(k % 3 == 0, noul).when(k % 3 == 1, choice).otherwise(score).alias("answer"))
+    return routes.parse_answers(rows).select("event_id", "type", "noul", "choice", "score", F.try_element_at("probabilities", F.lit("b")).alias("b"))
+
+
+_LISTED = "listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, pos) AS rank FROM cand)"
+
+
+@query(f"{B.with_sql('pool')}, {_pool_in_order()}, {_LISTED} SELECT query_id, doc_id, label, length(text)::DOUBLE AS score, CAST(rank AS INTEGER) AS rank, CAST(pos - (rank - 1) AS INTEGER) AS rank_delta FROM listed")
+def hosted_rerank_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = registry.offline(spark.createDataFrame([], "question_id string, value double, grade double, winner string")).build(["hosted_rerank"])["hosted_rerank"]
+    return listed(B.pool(spark, sf_dir)).select("query_id", "doc_id", "label", "score", "rank", "rank_delta")
+
+
+_ANSWERED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, ordinal) AS rank FROM pool),
+top AS (SELECT query_id, max(label) > 0 AS evidence, string_agg('- ' || text, chr(10) || chr(10) ORDER BY rank) AS passages FROM ranked WHERE rank <= 3 GROUP BY query_id),
+asked AS (SELECT 'q' || item_id AS query_id, item_id, text AS question, coalesce(evidence, false) AS evidence, coalesce(passages, '') AS passages FROM benchmark LEFT JOIN top ON query_id = 'q' || item_id)"""
+
+
+def _ranked_by_length(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pool = B.pool(spark, sf_dir)
+    ranked = registry.in_rank_order(pool.withColumn("score", F.length("text"))).select("query_id", "rank", "text", "label")
+    items = B.table(spark, sf_dir, "benchmark")
+    return ranked, items.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("question"), F.array("text").alias("answers"), "item_id")
+
+
+@query(f"{B.with_sql('pool')}, {_ANSWERED} SELECT query_id, evidence AS evidence_in_prompt, md5('# Passages' || chr(10) || passages || chr(10) || chr(10) || '# Question' || chr(10) || question) AS prompt_md5 FROM asked")
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, asked = _ranked_by_length(spark, sf_dir)
+    return answers.prompts(ranked, asked, 3).select("query_id", "evidence_in_prompt", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"{B.with_sql('pool')}, {_ANSWERED} SELECT query_id, evidence AS evidence_in_prompt, item_id % 4 = 0 AS correct, item_id % 4 IN (0, 2) AS contains, item_id % 4 IN (0, 2) AS parsed, CASE item_id % 4 WHEN 3 THEN 'throttled' END AS error FROM asked")
+def answer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, asked = _ranked_by_length(spark, sf_dir)
+    k, q = F.col("item_id") % 4, F.col("question")
+    right, more = F.concat(F.lit("<answer>"), q, F.lit("</answer>")), F.concat(F.lit("<answer>so "), q, F.lit(" it is</answer>"))
+    said = asked.select("query_id", F.when(k == 0, right).when(k == 1, "nothing tagged").when(k == 2, more).alias("generated"), F.when(k == 3, "throttled").alias("error"))
+    return answers.answer_queries(ranked, asked, answers.scripted(said), 3).select("query_id", "evidence_in_prompt", "correct", "contains", "parsed", "error")
+
+
+_OWN_POOL = "own_pool AS (SELECT query_id || '.' AS query_id, query_id || '.' || doc_id AS doc_id, label FROM pool)"
+
+
+@query(f"""{B.with_sql('pool')}, {_OWN_POOL}, own AS (SELECT query_id, count(*) AS own, CAST('0x' || substr(md5('0:query:' || query_id), 1, 8) AS BIGINT) AS start FROM own_pool GROUP BY 1),
+ring AS (SELECT query_id AS of_, doc_id, CAST('0x' || substr(md5('0:doc:' || query_id || ':' || doc_id), 1, 8) AS BIGINT) AS pos FROM own_pool),
+drawn AS (SELECT o.query_id, r.doc_id, row_number() OVER (PARTITION BY o.query_id ORDER BY (r.pos - o.start + 4294967296) % 4294967296, r.doc_id, r.of_) AS n, o.own FROM own o JOIN ring r ON r.of_ <> o.query_id),
+every AS (SELECT query_id, doc_id, label, true AS mine FROM own_pool UNION ALL SELECT query_id, doc_id, 0, false FROM drawn WHERE n <= 60 - own),
+scored AS (SELECT *, (regexp_extract(doc_id, '[0-9]+$')::BIGINT % 101) / 100.0::DOUBLE AS score FROM every), mine AS (SELECT * FROM scored WHERE mine), {_curve_sql('mine')}
+SELECT 60 AS pool, 25 AS batch, (SELECT round({_AP}, 9) FROM curve) AS pr_auc, (SELECT count_if(NOT mine)::BIGINT FROM scored) AS count, (SELECT round(avg((score >= 0.5)::INTEGER) FILTER (NOT mine), 9) FROM scored) AS share_at_half,
+  (SELECT sum(ceil(n / 25.0))::BIGINT FROM (SELECT count(*) AS n FROM every GROUP BY query_id)) AS requests""")
+def dilution_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = B.pool(spark, sf_dir).withColumn("query_id", F.concat("query_id", F.lit("."))).withColumn("doc_id", F.concat("query_id", "doc_id"))
+    value = (F.regexp_extract("doc_id", "[0-9]+$", 0).cast("long") % 101) / 100.0
+    scorer = lambda asked: asked.select("question_id", value.alias("value"))
+    rows = judge.run_dilution(judge.dilution_pools(pool, ((60, 25),)), lambda n: lambda p: routes.pointwise(p, scorer, n))
+    return rounded(rows.select("pool", "batch", "pr_auc", "count", "share_at_half", "requests"))
+
+
 # --- pools, samples and quality ------------------------------------------------------------------
 
 

@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import schema
+from pairloom.functions.text import passage_text
 from pairloom.operators.pools import capped_candidates, shuffle_key
 
 
+def in_file_order() -> Column:
+    """A sort key of rows read from files: file, split, and place in the split.
+
+    A split's rows are read by one task, one after the other, so the running id orders them.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_flat(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Queries and candidates of flat Parquet rows; the last question and answers of a query win."""
+    """Queries and candidates of flat Parquet rows, in file order; the last question and answers of a query win."""
     rows = spark.read.schema(schema.FLAT).parquet(path)
-    return flat_queries(rows.withColumn("ordinal", F.monotonically_increasing_id()), cap)
+    return flat_queries(rows.select("*", in_file_order().alias("ordinal")), cap)
 
 
 def flat_queries(rows: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -22,13 +31,27 @@ def flat_queries(rows: DataFrame, cap: int | None = None) -> tuple[DataFrame, Da
     return queries, capped_candidates(candidates, cap)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line): the non-blank lines of text files, numbered from 0 in file order.
+
+    Lines are numbered within the splits that tasks read, and raised by the splits before; no
+    file is read as one row.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), in_file_order().alias("k")).filter(F.trim("line") != "")
+    split = Window.partitionBy("k.file", "k.block").orderBy("k.at")
+    sizes = lines.groupBy(F.col("k.file").alias("file"), F.col("k.block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    base = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    rows = lines.select("line", F.col("k.file").alias("file"), F.col("k.block").alias("block"), (F.row_number().over(split) - 1).alias("n"))
+    return rows.join(F.broadcast(base), ["file", "block"]).select((F.col("base") + F.col("n")).cast("int").alias("at"), "line")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """One file of JSON lines: question, answer, positive and negative texts.
+    """JSON lines: question, answer, positive and negative texts.
 
-    Ids count the non-blank lines, those dropped for want of a positive included; the file
-    is read as one text, since only its line order gives the ids.
+    Ids count the non-blank lines, those dropped for want of a positive included.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("at", "line"))
+    lines = numbered_lines(spark, path)
     rows = lines.select("at", F.from_json("line", schema.JSONL).alias("r")).select("at", "r.*")
     numbered = rows.withColumn("query_id", F.format_string("jr-%03d", "at")).filter(F.size("positive") > 0)
     queries = numbered.select("query_id", "question", F.when(F.length("answer") > 0, F.array("answer")).otherwise(F.expr("cast(array() as array<string>)")).alias("answers"))
@@ -54,9 +77,38 @@ def judged_ids(qrels: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Passages of (gzipped) JSON-line shards that are wanted; of repeated ids one stays."""
-    rows = spark.read.schema(schema.CORPUS).json(path)
-    return rows.join(wanted, "docid", "left_semi").dropDuplicates(["docid"])
+    """Passages of (gzipped) JSON-line shards that are wanted; of repeated ids the last one wins."""
+    rows = spark.read.schema(schema.CORPUS).json(path).select("*", in_file_order().alias("__at"))
+    last = rows.join(wanted, "docid", "left_semi").groupBy("docid").agg(F.max_by(F.struct("title", "text"), "__at").alias("p"))
+    return last.select("docid", "p.title", "p.text")
+
+
+def cached_passages(spark: SparkSession, path: str, shards: str, wanted: DataFrame) -> DataFrame:
+    """The wanted passages, from the Parquet table at ``path``, or from the shards and saved there.
+
+    A saved table that lacks wanted ids is as good as none: it is made anew.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        have = spark.read.schema(schema.CORPUS).parquet(path)
+        if wanted.join(have, "docid", "left_anti").isEmpty():
+            return have.join(wanted, "docid", "left_semi")
+    read_corpus(spark, shards, wanted).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema.CORPUS).parquet(path)
+
+
+def public_bundle(spark: SparkSession, root: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Queries and candidates of each public set under ``root``: lines.jsonl, and judged/ (qrels.tsv,
+    topics.tsv, corpus/*.jsonl.gz, with the passages kept in judged/passages)."""
+    qrels = read_tsv(spark, f"{root}/judged/qrels.tsv", schema.QRELS)
+    topics = read_tsv(spark, f"{root}/judged/topics.tsv", schema.TOPICS)
+    passages = cached_passages(spark, f"{root}/judged/passages", f"{root}/judged/corpus", judged_ids(qrels))
+    pairs = load_judged(qrels, passages, topics)
+    queries = pairs.select("query_id", "question", F.expr("cast(array() as array<string>)").alias("answers")).distinct()
+    text = passage_text(F.col("title"), F.col("text"))
+    candidates = hash_shuffled(pairs.select("query_id", "question", "doc_id", text.alias("text"), "label"))
+    lines = read_jsonl(spark, f"{root}/lines.jsonl")
+    return {"lines": lines, "judged": (queries, candidates.withColumn("ordinal", F.col("position")))}
 
 
 def missing_passages(qrels: DataFrame, passages: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def save_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Saved pairs; columns that only some routes have (as a service's rank) are null elsewhere."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

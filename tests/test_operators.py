@@ -11,7 +11,7 @@ from pairloom.functions import text as T
 from pairloom.functions import vectors
 from pairloom.functions.vectors import cosine
 from pairloom.operators import budget, lexical, pairwise, pools, quality, routes
-from pairloom.plans import judge, report
+from pairloom.plans import judge
 from pairloom.sources import loaders, runs
 
 
@@ -166,8 +166,7 @@ def test_route_names():
     assert routes.batch_of("pointwise@all") is None and routes.batch_of("pointwise@5") == 5 and routes.batch_of("pointwise") == 10
     with pytest.raises(ValueError):
         routes.known_route("nothing")
-    assert routes.should_retry(429) and routes.should_retry(503) and not routes.should_retry(400)
-
+    
 
 def synthetic(tmp_path, role="positive"):
     docs = [{"doc_id": "a-001-d1", "role": role, "contains_facts": ["f1"], "text": "one"}, {"doc_id": "a-001-d2", "role": "negative", "contains_facts": [], "near_miss": "x", "text": "two"}]
@@ -221,6 +220,48 @@ def test_judged_sources(spark, tmp_path):
         loaders.load_judged(qrels, passages, topics)
 
 
+def test_corpus_keeps_the_last_of_repeated_passages(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "c").mkdir()
+    for n, texts in (("docs-0", ["old", "other"]), ("docs-1", ["new", "newest"])):
+        lines = [{"docid": "d1", "title": "t", "text": t} for t in texts] + [{"docid": n, "title": "", "text": n}]
+        with gzip.open(tmp_path / f"c/{n}.jsonl.gz", "wt") as f:
+            f.write("\n".join(map(json.dumps, lines)))
+    wanted = spark.createDataFrame([("d1",), ("docs-0",)], "docid string")
+    got = {r["docid"]: r["text"] for r in loaders.read_corpus(spark, str(tmp_path / "c"), wanted).collect()}
+    assert got == {"d1": "newest", "docs-0": "docs-0"}
+    at = str(tmp_path / "cache")
+    assert {r["docid"]: r["text"] for r in loaders.cached_passages(spark, at, str(tmp_path / "c"), wanted).collect()} == got
+    assert loaders.cached_passages(spark, at, "/nowhere", wanted.limit(1)).count() == 1  # read from the cache
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    want = []
+    for name in ("a", "b"):
+        lines = [f"{name}{i} " + "x" * (i % 50) for i in range(400)]
+        (tmp_path / f"t/{name}.txt").write_text("\n\n".join(lines) + "\n \n")
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = loaders.numbered_lines(spark, str(tmp_path / "t")).orderBy("at").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["line"] for r in got] == want and [r["at"] for r in got] == list(range(800))
+
+
+def test_request_payload_and_answers(spark):
+    asked = spark.createDataFrame([("q", 0, 1, "b", "why"), ("q", 0, 0, "a \"x\"", "why"), ("q", 1, 0, "c", "why")], "query_id string, batch int, position int, text string, question string")
+    got = {r["batch"]: json.loads(r["state"]) for r in routes.request_payload(asked).collect()}
+    assert got[0] == {"query": "why", "candidates": [{"text": 'a "x"'}, {"text": "b"}]} and got[1]["candidates"] == [{"text": "c"}]
+    rows = spark.createDataFrame([('{"type": "noul", "value": 0.5}',), ('{"type": "choice", "choice": "a", "probabilities": {"a": 1}}',)], "answer string")
+    assert [(r["noul"], r["choice"]) for r in routes.parse_answers(rows).collect()] == [(0.5, None), (None, "a")]
+    with pytest.raises(Exception, match="unknown answer type"):
+        routes.parse_answers(spark.createDataFrame([('{"type": "other"}',)], "answer string")).collect()
+
+
 def test_flat_rows_last_question_wins(spark):
     rows = [("q", "old", ["a"], "10", "", "t", 0, 0), ("q", "new", ["b"], "9", "", "t", 1, 1), ("r", "x", [], "1", "", "t", 0, 2)]
     queries, candidates = loaders.flat_queries(spark.createDataFrame(rows, "q_id string, question string, answers array<string>, passage_row_id string, title string, text string, label int, ordinal long"), 1)
@@ -251,10 +292,3 @@ def test_runs_resume_by_route(spark, tmp_path):
     assert len(calls) == 1 and got["pointwise"]["pr_auc"] == 1.0 and got["pointwise"]["brier"] is not None and got["bm25"]["brier"] is None
     assert "no service" in got["crossencode"]["error"]
     assert runs.datasets(spark, path, ["x", "d"]) == ["d"]
-
-
-def test_rendering():
-    assert report.difference(0.5, 0.7) == "−0.200" and report.number(None) == "-"
-    row = {"route": "r", "mean_ndcg": 0.5, "stderr_ndcg": 0.1, "n": 3}
-    assert "| r | 0.500±0.100 | 3 |" in report.comparison_table([row], "r", ["ndcg"])
-    assert report.answers_table([{"name": "x"}], "y").startswith("no results")
