@@ -35,13 +35,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table survives lost executors, is compressed, and cuts the lineage.
-    Tables are removed when the driver's Python ends, or by :func:`drop_tables`.
+    Tables are removed by :func:`release`, :func:`drop_tables`, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def fresh_name(taken: Iterable[str], name: str) -> str:
@@ -57,14 +59,23 @@ def tasks_for(rows: int, rows_a_task: int = 250_000, least: int = 8) -> int:
     return max(least, -(-rows // rows_a_task))
 
 
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    with contextlib.suppress(Exception):  # the session may have ended
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of :func:`stage_table` that no DataFrame still to be run reads."""
+    for table in tables:
+        _remove(table.staged_at)
+
+
 def drop_tables() -> None:
     """Remove every table that :func:`stage_table` wrote; call it when their results are saved."""
-    for path, spark in list(_written.items()):
-        with contextlib.suppress(Exception):  # the session may have ended
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _written.pop(path, None)
+    for path in list(_written):
+        _remove(path)
 
 
 atexit.register(drop_tables)

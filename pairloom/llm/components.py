@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import stage_table, tasks_for
+from ._stage import release, stage_table, tasks_for
 
 
 def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_steps):
-        edges = stage_table(_star(_star(edges, True, tasks), False, tasks), "edges")
+        before, edges = edges, stage_table(_star(_star(edges, True, tasks), False, tasks), "edges")
+        release(before)
         # settled when every node hangs on one root, and no root hangs on another
         roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf")))
         if roles.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("low")).coalesce(tasks).filter("up > 1 or (up = 1 and low = 0)").isEmpty():

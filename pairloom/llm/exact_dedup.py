@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import fresh_name, stage_table
+from ._stage import fresh_name, release, stage_table
 from .salted import back_to_rows, salt_of
 
 
@@ -41,7 +41,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     narrow = rows.select("id", "digest", salt_of("id").alias("salt"), sha256(F.col("norm")).alias("sha"), F.monotonically_increasing_id().alias("tie"))
     columns = ["id", "sha", "keep_id", "group_size", "tie"]
     if clashes.isEmpty():
-        return stage_table(narrow.join(back_to_rows(table), ["digest", "salt"]).select(columns), "found")
+        found = stage_table(narrow.join(back_to_rows(table), ["digest", "salt"]).select(columns), "found")
+        release(table)
+        return found
     plain = narrow.join(back_to_rows(table.join(clashes, "digest", "left_anti")), ["digest", "salt"]).select(columns)
     mixed = rows.join(clashes, "digest", "left_semi").withColumn("sha", sha256(F.col("norm"))).withColumn("tie", F.monotonically_increasing_id())
     exact = mixed.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import fresh_name, stage_table
+from ._stage import fresh_name, release, stage_table
 from ._words import U, blocks, counted, mix, shingles, words
 from .components import connected_components
 from .salted import back_to_rows, salt_bit, salt_of, with_group
@@ -210,7 +210,9 @@ def _buckets(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     )
     one = shared.groupBy("n", "total", "x1", "x2").agg(F.min("key").alias("key"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES))
-    return stage_table(keyed.join(one.select("key", "n", parts.alias("parts")), "key"), "bucket")
+    bucket = stage_table(keyed.join(one.select("key", "n", parts.alias("parts")), "key"), "bucket")
+    release(signed)
+    return bucket
 
 
 def _dealt(bucket: DataFrame) -> DataFrame:
@@ -259,10 +261,11 @@ def _roots(texts: DataFrame, threshold: float, bands: int, rows: int, size: int)
     links = linked(_dealt(bucket))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     large = bucket.filter("parts > 1")
-    if large.isEmpty():
-        return roots
-    links = links.unionByName(linked(_in_pairs_of_parts(large, roots)))
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    if not large.isEmpty():
+        links = links.unionByName(linked(_in_pairs_of_parts(large, roots)))
+        roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    release(bucket, sets)
+    return roots
 
 
 def _text_classes(rows: DataFrame, threshold: float, bands: int, shape: int, size: int) -> DataFrame:

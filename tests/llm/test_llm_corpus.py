@@ -472,3 +472,30 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, d, sf)
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * table.count()
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from pairloom.llm import _stage
+
+    before = set(_stage._written)
+    got = minhash.near_duplicate_classes(docs(spark, near_rows(9))).count()
+    left = {p.rsplit("/", 1)[1] for p in set(_stage._written) - before}
+    assert got > 0 and left <= {"texts", "edges", "links"}  # what the result still reads, and the last links
+    _stage.drop_tables()
+    assert not any(os.path.exists(p) for p in before)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from pairloom.llm import _stage
+
+    session = lambda master, at=None: SimpleNamespace(
+        sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": at} if at else {}, getCheckpointDir=lambda: "x"), conf=SimpleNamespace(get=lambda k, d: d)
+    )
+    assert _stage.shared_dir(session("local[4]")) == _stage.DEFAULT_DIR and _stage.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            _stage.shared_dir(session(master))
