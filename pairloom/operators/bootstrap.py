@@ -6,7 +6,7 @@ md5 and can be told in SQL; ``exact`` draws come from NumPy's generator.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,31 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, draws: DataFrame, metric: str =
     return a.sparkSession.createDataFrame([row], "difference double, low double, high double, samples long, queries long")
 
 
+Metric = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def bootstrap_by_metric(a: DataFrame, b: DataFrame, draws: DataFrame, metric: Metric) -> DataFrame:
+    """The like of :func:`paired_bootstrap` for a metric of one's own.
+
+    ``metric`` gets pairs with ``weight`` and the keys to group by, and returns the keys and
+    ``value`` (no row or null where it is undefined). It sees a query drawn twice as one query of
+    weight 2, so a mean by query is over the distinct queries drawn unless it uses the weight.
+    Pairs and draws are joined as rows here; the built-in metrics need no such join.
+    """
+    shared = a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id")
+    sampled, whole = [], []
+    for rows in (a, b):
+        rows = rows.join(shared, "query_id", "left_semi")
+        found = metric(rows.join(draws, "query_id"), ["sample"])
+        sampled.append(found.select("sample", "value"))
+        point = metric(rows.withColumn("weight", F.lit(1).cast("long")).withColumn("sample", F.lit(0)), ["sample"])
+        whole.append(point.select("sample", "value"))
+    less = lambda x, y: x.join(y.withColumnRenamed("value", "other"), "sample").select((F.col("value") - F.col("other")).alias("difference"))
+    point = less(*whole).agg(F.first("difference").alias("difference"))
+    queries = shared.agg(F.count(F.lit(1)).alias("queries"))
+    return point.join(F.broadcast(interval(less(*sampled)))).join(F.broadcast(queries))
+
+
 def bootstrap_mean_diff(a: DataFrame, b: DataFrame, draws: DataFrame) -> DataFrame:
     """Interval of the mean of per-query differences; a query drawn twice counts twice.
 

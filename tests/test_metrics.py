@@ -136,6 +136,20 @@ def test_sampled_metrics_equal_copied_rows(spark, monkeypatch, ranges, metric):
         assert (np.isnan(got[sample]) if want is None else got[sample] == pytest.approx(want)), sample
 
 
+def test_a_metric_of_ones_own(spark):
+    good = frame(spark, [r for q in range(20) for r in ((f"q{q}", 1, 0.9), (f"q{q}", 0, 0.1))])
+    poor = frame(spark, [r for q in range(20) for r in ((f"q{q}", 1, 0.1), (f"q{q}", 0, 0.9))])
+    draws = bootstrap.hash_draws(good, 30)
+    got = bootstrap.bootstrap_by_metric(good, poor, draws, lambda rows, keys: classify.mean_per_query(rows, "pr_auc", keys)).first()
+    assert tuple(got) == (0.5, 0.5, 0.5, 30, 20)
+    pooled = lambda rows, keys: curves.average_precision(curves.curve(rows, keys, F.col("weight"), ranges=1), keys, "value")
+    a, b = frame(spark, random_rows(5)), frame(spark, [(q, y, 1 - s) for q, y, s in random_rows(5)])
+    draws = bootstrap.hash_draws(a, 12)
+    own = bootstrap.bootstrap_by_metric(a, b, draws, pooled).first()
+    built_in = bootstrap.paired_bootstrap(a, b, draws, samples=12).first()
+    assert [own[c] for c in ("difference", "low", "high", "samples")] == pytest.approx([built_in[c] for c in ("difference", "low", "high", "samples")])
+
+
 def test_min_max_of_flat_list_is_one(spark):
     rows = frame(spark, [("q", 0, 2), ("q", 1, 2), ("p", 0, 1), ("p", 0, 3)])
     got = [r[0] for r in rows.select(ranking.min_max(F.col("score"), ["query_id"])).collect()]
