@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum joined back to the edges, so no component or neighbour list
-is ever held in one task; a hub's edges are one row each and AQE may split them.
+Every step is a grouped minimum joined back to the edges, by node and salt, so no component,
+neighbour list or hub is ever held in one task.
 """
 
 from __future__ import annotations
@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import release, stage_table, tasks_for
+from .salted import with_group
 
 
 def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
-    """Link each node's larger (or all other) neighbours to the least node around it."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    joined = both.join(least, "u").coalesce(tasks)
-    out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Link each node's larger (or all other) neighbours to the least node around it.
+
+    A hub's neighbours are dealt over salts on the way to the least of them and back.
+    """
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    joined = with_group(both, "u", "v", F.min("v").alias("low"), F.min("low").alias("low")).coalesce(tasks)
+    joined = joined.select("u", "v", F.least("u", "low").alias("m"))
+    out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct().coalesce(tasks)
 
 
