@@ -11,13 +11,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom import schema
 from pairloom.functions import text as T
 from pairloom.functions import vectors
 from pairloom.operators import answers, bootstrap, budget, classify, curves, lexical, pairwise, pools, quality, ranking, registry, routes
 from pairloom.plans import judge
 from pairloom.services import client, fake, prompts, scorers
 from pairloom.sources import bindings as B
-from pairloom.sources import loaders
+from pairloom.sources import loaders, runs, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -885,3 +886,203 @@ SELECT round(avg(exact::INTEGER) FILTER (NOT failed), 9) AS accuracy, round(avg(
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir).withColumn("s", T.score_answer(F.col("generated"), F.col("golds")))
     return rounded(quality.answer_summary(rows.select(F.col("s.exact").alias("correct"), "s.contains", "s.parsed", (F.col("turn") % 4 == 1).alias("evidence_in_prompt"), F.when(F.col("conv_id") % 9 == 2, "failed").alias("error"))))
+
+
+# --- files and runs: the tables written as a source's files, and read as that source -----------------
+
+
+_CHATS = """chats AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS line, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS question,
+  CASE WHEN conv_id % 7 <> 3 THEN list(text ORDER BY turn) FILTER (role = 'assistant') END AS positive, coalesce(list(text ORDER BY turn) FILTER (role <> 'assistant'), []) AS negative FROM conversations GROUP BY conv_id),
+kept AS (SELECT *, 'jr-' || CASE WHEN line < 1000 THEN lpad(line::VARCHAR, 3, '0') ELSE line::VARCHAR END AS query_id, list_concat(positive, negative) AS texts FROM chats WHERE len(positive) > 0),
+flat AS (SELECT query_id, question, positive, texts, unnest(range(len(texts))) AS i FROM kept),
+named AS (SELECT query_id, question, query_id || '-c' || CASE WHEN i < 100 THEN lpad(i::VARCHAR, 2, '0') ELSE i::VARCHAR END AS doc_id, i AS ordinal, texts[i + 1] AS text, CAST(i < len(positive) AS INTEGER) AS label FROM flat)"""
+
+
+def _chat_lines(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """A record a conversation in id order: what users ask, assistants' texts as positives, the rest as negatives."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    said = lambda keep: F.transform(F.filter("turns", lambda t: keep(t["role"])), lambda t: t["text"])
+    rows = B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    record = F.struct(
+        F.array_join(said(lambda r: r == "user"), "\n").alias("question"),
+        F.lit("").alias("answer"),
+        F.when(F.col("conv_id") % 7 != 3, said(lambda r: r == "assistant")).otherwise(F.array().cast("array<string>")).alias("positive"),
+        said(lambda r: r != "assistant").alias("negative"),
+    )
+    rows.orderBy("conv_id").select(F.to_json(record)).write.text(path)
+    return path
+
+
+@query(f"WITH {_CHATS} SELECT query_id, doc_id, label, md5(text) AS text_md5, md5(question) AS question_md5, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || ':' || doc_id), doc_id) - 1 AS position FROM named")
+def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, candidates = loaders.read_jsonl(spark, _chat_lines(spark, sf_dir, scratch.folder(spark, "chats")))
+    rows = candidates.join(asked.select("query_id", "question"), "query_id")
+    return rows.select("query_id", "doc_id", "label", F.md5("text").alias("text_md5"), F.md5("question").alias("question_md5"), "position")
+
+
+@query("""SELECT 'item ' || item_id AS q, item_id::VARCHAR || chr(9) || '"' || text || '"' AS text FROM benchmark WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13))
+    UNION ALL SELECT 'name ' || c_custkey, c_name FROM customer""")
+def tsv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with quotes and tabs inside quoted fields, and plain ones."""
+    items = B.table(spark, sf_dir, "benchmark").filter(~F.col("text").rlike(r"[\n\r]"))
+    inner = F.concat(F.col("item_id").cast("string"), F.lit('\t"'), "text", F.lit('"'))
+    quoted = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit('\t"'), F.replace(inner, F.lit('"'), F.lit('""')), F.lit('"'))
+    plain = F.concat(F.lit("name "), F.col("c_custkey").cast("string"), F.lit("\t"), "c_name")
+    path = scratch.folder(spark, "topics")
+    items.select(quoted.alias("value")).unionByName(B.table(spark, sf_dir, "customer").select(plain.alias("value"))).write.text(path)
+    return loaders.read_tsv(spark, path, "q string, text string")
+
+
+_SHARDS = "shards AS (SELECT doc_id::VARCHAR AS docid, source AS title, CASE WHEN doc_id % 5 = 0 THEN 'again: ' ELSE '' END || text AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
+
+
+def _shards(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, DataFrame]:
+    """Gzipped shards of the documents, every fifth once more with another text further on; and the judged ids."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    again = docs.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("again: "), "text"))
+    rows = docs.withColumn("turn", F.lit(0)).unionByName(again.withColumn("turn", F.lit(1)))
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("docid"), F.col("source").alias("title"), "text"))
+    rows.orderBy("turn", "doc_id").select(record).write.option("compression", "gzip").text(path)
+    return path, B.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("docid")).distinct()
+
+
+@query(f"WITH {_SHARDS} SELECT docid, title, text FROM shards")
+def corpus_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaders.read_corpus(spark, *_shards(spark, sf_dir, scratch.folder(spark, "corpus")))
+
+
+@query(f"WITH {_SHARDS} SELECT docid, title, text FROM shards")
+def passage_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards read once; the second reading takes the saved table, for no shard is there."""
+    shards, wanted = _shards(spark, sf_dir, scratch.folder(spark, "corpus"))
+    path = scratch.folder(spark, "passages")
+    loaders.cached_passages(spark, path, shards, wanted)
+    return loaders.cached_passages(spark, path, scratch.folder(spark, "none"), wanted)
+
+
+_JUDGED = "judged AS (SELECT DISTINCT 'q' || l.doc_id % 20 AS query_id, 'topic ' || l.doc_id % 20 AS question, l.doc_id::VARCHAR AS doc_id, CASE WHEN length(s.title) > 0 THEN regexp_replace(s.title || ' ' || s.text, '^\\s+|\\s+$', '', 'g') ELSE s.text END AS text, CAST(max(l.quality) OVER (PARTITION BY l.doc_id) > 0 AS INTEGER) AS label FROM labels l JOIN shards s ON s.docid = l.doc_id::VARCHAR)"
+
+
+@query(f"""WITH {_CHATS}, {_SHARDS}, {_JUDGED} SELECT 'lines' AS name, query_id, doc_id, label, md5(text) AS text_md5, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || ':' || doc_id), doc_id) - 1 AS position FROM named
+    UNION ALL SELECT 'judged', query_id, doc_id, label, md5(text), row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || ':' || doc_id), doc_id) - 1 FROM judged""")
+def public_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both public sets of a folder: JSON lines, and judgements with topics and corpus shards."""
+    root = scratch.folder(spark, "bundle")
+    judged = B.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("rel"))
+    judged = judged.join(B.table(spark, sf_dir, "documents"), "doc_id", "left_semi")
+    topic = (F.col("doc_id") % 20).cast("string")
+    judged.select(F.concat(F.lit("q"), topic, F.lit("\t0\t"), F.col("doc_id").cast("string"), F.lit("\t"), F.col("rel").cast("string"))).write.text(f"{root}/judged/qrels.tsv")
+    judged.select(topic.alias("t")).distinct().select(F.concat(F.lit("q"), "t", F.lit("\ttopic "), "t")).write.text(f"{root}/judged/topics.tsv")
+    _shards(spark, sf_dir, f"{root}/judged/corpus")
+    _chat_lines(spark, sf_dir, f"{root}/lines.jsonl")
+    out = [c.select(F.lit(name).alias("name"), "query_id", "doc_id", "label", F.md5("text").alias("text_md5"), "position") for name, (_, c) in loaders.public_bundle(spark, root).items()]
+    return out[0].unionByName(out[1])
+
+
+_RECORDS = """facts AS (SELECT item_id, 'x-' || item_id AS id, text AS question FROM benchmark),
+records AS (SELECT f.id, f.question, d.doc_id::VARCHAR AS doc_id, d.text, d.doc_id % 3 = 0 AS good FROM facts f JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = f.item_id)"""
+
+
+def _record_files(spark: SparkSession, sf_dir: str, keep: str) -> str:
+    """A JSON file for each benchmark item that ``keep`` holds for: its documents, a third of them positive."""
+    pool = B.pool(spark, sf_dir).withColumn("item", F.substring("query_id", 2, 20).cast("long")).filter(keep)
+    good, none = F.col("ordinal") % 3 == 0, F.array().cast("array<string>")
+    doc = F.struct("doc_id", F.when(good, "positive").otherwise("distractor").alias("role"), F.when(good, F.array(F.lit("f1"))).otherwise(none).alias("contains_facts"), F.lit("near").alias("near_miss"), "text")
+    facts = F.array(F.struct(F.lit("f1").alias("id"), F.lit("a fact").alias("fact")))
+    rows = pool.groupBy("item", "question").agg(F.collect_list(doc).alias("documents")).withColumn("id", F.concat(F.lit("x-"), F.col("item").cast("string")))
+    record = F.to_json(F.struct("id", F.lit("d").alias("domain"), F.lit("why").alias("question_type"), "question", facts.alias("required_facts"), "documents"))
+    path = scratch.folder(spark, "records")
+    rows.select("item", record.alias("value")).write.partitionBy("item").text(path)
+    return f"{path}/item=*"
+
+
+@query(f"WITH {_RECORDS} SELECT id AS query_id, doc_id, CAST(good AS INTEGER) AS label, md5(text) AS text_md5, md5(question) AS question_md5, row_number() OVER (PARTITION BY id ORDER BY md5(id || ':' || doc_id), doc_id) - 1 AS position FROM records")
+def synthetic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generators' folders, one JSON file a question."""
+    _, candidates, _ = loaders.read_synthetic(spark, _record_files(spark, sf_dir, "item % 2 = 0"), _record_files(spark, sf_dir, "item % 2 = 1"))
+    return candidates.select("query_id", "doc_id", "label", F.md5("text").alias("text_md5"), F.md5("question").alias("question_md5"), "position")
+
+
+@query(f"WITH {_RECORDS} SELECT id, doc_id, md5(text) AS text_md5, 'a fact' AS fact, row_number() OVER (PARTITION BY id ORDER BY md5('0:' || id || ':' || doc_id), doc_id) - 1 AS position FROM records")
+def verifier_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a half of the questions, then of all: those that are there stay as they are."""
+    target = scratch.folder(spark, "views")
+    loaders.write_views(spark, _record_files(spark, sf_dir, "item % 2 = 0"), target)
+    loaders.write_views(spark, _record_files(spark, sf_dir, "true"), target)
+    views = spark.read.schema(schema.VIEWS).parquet(target)
+    return views.select("id", F.col("required_facts")[0]["fact"].alias("fact"), F.posexplode("documents").alias("position", "d")).select("id", "d.doc_id", F.md5("d.text").alias("text_md5"), "fact", F.col("position").cast("long").alias("position"))
+
+
+@query(f"{B.with_sql('pairs_b', 'pairs_c')} SELECT 'events' AS dataset, 'informed' AS route, query_id, doc_id, ordinal, label, score FROM pairs_c UNION ALL SELECT 'events', 'other', query_id, doc_id, ordinal, label, score FROM pairs_b")
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two routes saved one by one, the second again: only its own rows are replaced."""
+    path = scratch.folder(spark, "runs")
+    for rows in (B.pairs_c(spark, sf_dir), B.pairs_b(spark, sf_dir).withColumn("score", F.lit(0.0)), B.pairs_b(spark, sf_dir)):
+        runs.save_pairs(rows, path)
+    [found] = runs.datasets(spark, path, ["absent", "events"])
+    return runs.load_pairs(spark, path).filter(F.col("dataset") == found).select(*B.pairs(spark, sf_dir).columns)
+
+
+def _played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, registry.Route]]:
+    """The pools, and two routes of a registry whose services are played from a table."""
+    pool = B.pool(spark, sf_dir)
+    known = pool.filter("ordinal % 5 <> 0").select(F.concat_ws("/", "query_id", "doc_id").alias("question_id"), ((F.col("ordinal") * 37 % 101) / 100.0).alias("value"), F.lit(None).cast("double").alias("grade"), F.lit(None).cast("string").alias("winner"))
+    return pool, registry.offline(known).build(["pointwise@5", "hosted_rerank"])
+
+
+def _judged_sql(name: str, source: str, sure: bool) -> str:
+    """One row of judge_metrics for a route of ``source`` (query_id, ordinal, label, score)."""
+    rows, curve_ = f"{name}_rows AS (SELECT query_id, ordinal, label, score FROM {source})", _curve_sql(f"{name}_rows").replace("points", f"{name}_points").replace("curve AS", f"{name}_curve AS")
+    by_query = f"{name}_q AS (SELECT query_id, score, sum(label) AS tp, count(*) AS n FROM {name}_rows GROUP BY ALL), {name}_qc AS (SELECT *, sum(tp) OVER (PARTITION BY query_id ORDER BY score DESC) AS ctp, sum(tp) OVER (PARTITION BY query_id) AS p, sum(n) OVER (PARTITION BY query_id) AS total FROM {name}_q), {name}_qa AS (SELECT query_id, {_ROC} AS value FROM {name}_qc GROUP BY query_id)"
+    half = f"(SELECT round(count_if(score >= 0.5 AND label = 1)::DOUBLE / greatest(count_if(score >= 0.5), 1), 9) FROM {name}_rows) AS precision_at_half, (SELECT round(avg((score - label) * (score - label)), 9) FROM {name}_rows) AS brier" if sure else "NULL::DOUBLE AS precision_at_half, NULL::DOUBLE AS brier"
+    row = f"{name}_row AS (SELECT (SELECT count(*) FROM {name}_rows) AS pairs, round({_AP}, 9) AS pr_auc, round({_ROC}, 9) AS roc_auc, round(max({_F1}), 9) AS best_f1, (SELECT round(avg(value), 9) FROM {name}_qa) AS per_query_roc_auc, (SELECT count(value) FROM {name}_qa) AS per_query_count, {half} FROM {name}_curve)"
+    return ", ".join((rows, curve_, by_query, row))
+
+
+_ROUTED = f"""noul AS (SELECT *, {_NOUL} AS score FROM pool), by_length AS (SELECT query_id, ordinal, label, CAST(length(text) AS DOUBLE) AS score FROM pool)"""
+
+
+@query(f"""{B.with_sql('pool')}, {_ROUTED}, {_OVERLAP}, {_BM25}, ov AS (SELECT query_id, doc_id AS ordinal, label, score FROM overlap), bm AS (SELECT query_id, doc_id AS ordinal, label, score FROM bm25),
+{_judged_sql('a', 'by_length', False)}, {_judged_sql('b', 'ov', False)}, {_judged_sql('c', 'noul', True)}, {_judged_sql('d', 'by_length', False)}
+SELECT 'length' AS route, * FROM a_row UNION ALL SELECT 'term_overlap', * FROM b_row UNION ALL SELECT 'pointwise@5', * FROM c_row UNION ALL SELECT 'hosted_rerank', * FROM d_row""")
+def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judging run: baselines and two routes scored, saved and measured. BM25's own query holds its scores."""
+    pool, found = _played(spark, sf_dir)
+    rows = judge.run_judge(spark, pool, found, scratch.folder(spark, "judged"), "pool").filter("route <> 'bm25'")
+    return rounded(rows.select("route", "pairs", "pr_auc", "roc_auc", "best_f1", "per_query_roc_auc", "per_query_count", "precision_at_half", "brier"))
+
+
+def _summary_sql(name: str, source: str, k: int) -> str:
+    """Means and errors of rank metrics of a route of ``source`` at ``k``."""
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM {source}),
+{name}_m AS (SELECT query_id, sum(label) AS relevant, coalesce(sum(label / log2(rank + 1.0::DOUBLE)) FILTER (label > 0 AND rank <= {k}), 0.0::DOUBLE) AS dcg, coalesce(max(1.0::DOUBLE / rank) FILTER (label > 0 AND rank <= {k}), 0.0::DOUBLE) AS mrr, count(*) FILTER (label > 0 AND rank <= {k})::DOUBLE AS hits FROM {name}_r GROUP BY query_id),
+{name}_s AS (SELECT CASE WHEN relevant > 0 THEN dcg / list_sum(list_transform(range(1, least({k}, relevant)::BIGINT + 1), lambda x: 1.0::DOUBLE / log2(x + 1.0::DOUBLE))) ELSE 0.0::DOUBLE END AS ndcg, mrr, CASE WHEN relevant > 0 THEN hits / relevant ELSE 0.0::DOUBLE END AS recall FROM {name}_m),
+{name}_row AS (SELECT count(*) AS n, round(avg(ndcg), 9) AS mean_ndcg, round(avg(mrr), 9) AS mean_mrr, round(avg(recall), 9) AS mean_recall, round(coalesce(stddev_samp(ndcg) / sqrt(count(*)), 0), 9) AS stderr_ndcg, round(coalesce(stddev_samp(mrr) / sqrt(count(*)), 0), 9) AS stderr_mrr, round(coalesce(stddev_samp(recall) / sqrt(count(*)), 0), 9) AS stderr_recall FROM {name}_s)"""
+
+
+@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'noul', 10)}, {_summary_sql('d', 'by_length', 10)} SELECT 'pointwise@5' AS route, * FROM c_row UNION ALL SELECT 'hosted_rerank', * FROM d_row")
+def route_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes over the same pools, each saved when it is done, and the rank metrics of what is saved."""
+    pool, found = _played(spark, sf_dir)
+    rows, errors = judge.evaluate(spark, pool, found, scratch.folder(spark, "evaluated"), "pool")
+    if errors:
+        raise RuntimeError(str(errors))
+    return rounded(rows.drop("dataset"))
+
+
+@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'noul', 10)} SELECT s.route, c_row.* FROM c_row, (VALUES ('pointwise@1'), ('pointwise@5'), ('pointwise@10')) s(route)")
+def route_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same route by candidates a request; scripted answers don't depend on the request."""
+    pool, _ = _played(spark, sf_dir)
+    known = pool.filter("ordinal % 5 <> 0").select(F.concat_ws("/", "query_id", "doc_id").alias("question_id"), ((F.col("ordinal") * 37 % 101) / 100.0).alias("value"))
+    found = judge.sweep(registry.Registry(scorer=lambda: lambda asked: routes.offline_noul(asked, known)), [1, 5, 10])
+    rows, errors = judge.evaluate(spark, pool, found, scratch.folder(spark, "swept"), "pool")
+    if errors:
+        raise RuntimeError(str(errors))
+    return rounded(rows.drop("dataset"))
+
+
+@query("SELECT range::INTEGER AS status, range IN (408, 409, 425, 429) OR range >= 500 AS again FROM range(100, 600)")
+def retry_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = {n: client.should_retry(n) for n in range(100, 600)}
+    return spark.createDataFrame(list(said.items()), "status int, again boolean")
