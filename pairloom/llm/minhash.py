@@ -315,15 +315,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null ids lose to any id; of texts with the least id the one of the least digest stays, and
     of rows that repeat id and text any one. Columns of ``docs`` may have any names.
     """
-    node, other = fresh_name(docs.columns, "node"), fresh_name(docs.columns, "other")
-    found = stage_table(_text_classes(_rows(docs, id_col, text_col), threshold, BANDS, ROWS, SHINGLE).filter("not stays or n > 1").select("node", "id", "stays"), "found")
+    node, salt, other = (fresh_name(docs.columns, x) for x in ("node", "salt", "other"))
+    found = _text_classes(_rows(docs, id_col, text_col), threshold, BANDS, ROWS, SHINGLE).filter("not stays or n > 1")
+    found = stage_table(back_to_rows(found.select("node", "salts", "id", "stays")), "found")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    gone = found.filter("not stays").select(F.col("node").alias(node))
-    out = docs.withColumn(node, node_of(text)).join(gone, node, "left_anti")
-    copied = found.filter("stays").select(F.col("node").alias(node), F.struct("id").alias(other))
+    key = [F.col("node").alias(node), F.col("salt").alias(salt)]
+    out = docs.withColumn(node, node_of(text)).withColumn(salt, salt_of(f"`{id_col}`"))
+    out = out.join(found.filter("not stays").select(key), [node, salt], "left_anti")
+    copied = found.filter("stays").select(*key, F.struct("id").alias(other))
     columns = [f"`{c}`" for c in docs.columns]
     if copied.isEmpty():
         return out.select(columns)
-    out = out.join(copied, node, "left").filter(F.col(other).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(other)["id"]))
+    out = out.join(copied, [node, salt], "left").filter(F.col(other).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(other)["id"]))
     single = out.filter(F.col(other).isNull()).select(columns)
     return single.unionByName(out.filter(F.col(other).isNotNull()).dropDuplicates([node]).select(columns))

@@ -101,7 +101,7 @@ def resolved(base: Column, target: Column) -> Column:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (u, v) between urls: canonical links and refresh redirects in the html, by alias key.
 
-    Relative targets are resolved against the page's url (a ``base`` tag isn't looked at); null
+    Of several canonical links, or refreshes, of a page the first counts. Relative targets are resolved against the page's url (a ``base`` tag isn't looked at); null
     urls and html, and targets of other schemes without ``://``, give none.
     """
     html, url = F.col(html_col), F.col(url_col)

@@ -171,13 +171,19 @@ def test_near_duplicates_of_edge_cases(spark):
     got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicate_classes(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 5), (5, 4, 5), (6, 4, 5), (6, 4, 5), (None, 4, 5), (7, 7, 2), (8, 7, 2), (9, 9, 1), (9, 9, 1), (None, None, 1)], key=str)
     assert minhash.near_duplicate_classes(docs(spark, [])).count() == 0
-    table = docs(spark, [*rows, (4, "one two", "y")]).withColumn("__gone", F.lit(1)).withColumn("node", F.lit("clash")).withColumn("other", F.lit(0))
+    table = docs(spark, [*rows, (4, "one two", "y")]).withColumn("__gone", F.lit(1)).withColumn("node", F.lit("clash")).withColumn("salt", F.lit(0)).withColumn("other", F.lit(0))
     kept = minhash.drop_near_duplicates(table)
     assert sorted(((r["doc_id"], r["text"][:9] if r["text"] else r["text"]) for r in kept.collect()), key=str) == sorted([(1, None), (3, " \n"), (4, "one two"), (7, "w w w w w"), (9, "other tex"), (9, "text othe"), (None, "lonely on")], key=str)
     assert kept.columns == table.columns
     assert minhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_hot_copies_leave_one_row(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text, "x") for k in range(5, 305)] + [(3, f"{text} more", "x"), (3, f"{text} more", "x"), (400, f"{text} less", "x"), (2, "another text of its own", "x")]
+    assert sorted((r["doc_id"], r["text"][-4:]) for r in minhash.drop_near_duplicates(docs(spark, rows)).collect()) == [(2, " own"), (3, "more")]
+
+
 @pytest.mark.parametrize("times", [1, 10, 40, 100])
 def test_repeated_lines_lose_no_link(spark, times):
     line, rest = "the same line is said here time and again", " ".join(f"w{k}" for k in range(200))
