@@ -1,4 +1,4 @@
-"""The queries opN_<name> of the ten operators, over whole tables, and the SQL that some have."""
+"""The queries opN_<name> of the thirteen operators, over whole tables, and the SQL that some have."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, minhash, nbest, packing, pii, quality_rules, sampling, url_filter
+from . import chat, collocations, exact_dedup, language_id, line_dedup, minhash, nbest, packing, pii, quality_rules, sampling, url_filter, vector_codes
 
 #: Demonstration key; a deployment passes its own secret.
 PII_KEY = "pairloom-demonstration-key"
@@ -72,8 +72,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, model = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    summed = vector_codes.with_label_error(coded)
+    return summed.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(model.sha256).alias("codebooks_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_best_fit_packing, op3_minhash_near_dedup, op4_url_filters, op5_quality_rules, op6_pii, op7_exact_dedup, op8_sentencepiece, op9_quality_classifier, op10_language_id)
+    found = (op1_chat_formatting, op2_best_fit_packing, op3_minhash_near_dedup, op4_url_filters, op5_quality_rules, op6_pii, op7_exact_dedup, op8_sentencepiece, op9_quality_classifier, op10_language_id, op11_line_dedup, op12_vector_codes, op13_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -134,6 +149,83 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+_OP11 = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+found AS (
+  SELECT key, min(doc_id) AS low FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT r) >= 2)
+SELECT k.doc_id, count(*) AS n_lines,
+  count(*) FILTER (f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.low) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL OR k.doc_id IS NOT DISTINCT FROM f.low), '')) AS kept_sha256
+FROM keyed k LEFT JOIN found f ON k.key = f.key GROUP BY k.r, k.doc_id
+"""
+
+_OP12 = r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, label, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM kept, range(16) t(p)),
+book0 AS (
+  SELECT p, e, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+near0 AS (
+  SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT, e := e)) AS hit
+  FROM parts JOIN book0 USING (p) GROUP BY vec_id, p),
+mean0 AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, hit.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM near0, range(1, 4097) t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY p, e),
+book1 AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book0 b LEFT JOIN mean0 m ON b.p = m.p AND b.e = m.e),
+near1 AS (
+  SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT, e := e)) AS hit
+  FROM parts JOIN book1 USING (p) GROUP BY vec_id, p),
+mean1 AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, hit.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM near1, range(1, 4097) t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY p, e),
+book2 AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book1 b LEFT JOIN mean1 m ON b.p = m.p AND b.e = m.e),
+near2 AS (
+  SELECT vec_id, label, p, min(struct_pack(d := list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT, e := e)) AS hit
+  FROM parts JOIN book2 USING (p) GROUP BY vec_id, label, p),
+coded AS (
+  SELECT vec_id, label, string_agg(format('{:02x}', hit.e), '' ORDER BY p) AS code, sum(hit.d)::BIGINT AS error FROM near2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM coded
+"""
+
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, m, unnest([array_to_string(words[s:s + m - 1], ' ') FOR s IN range(1, len(words) - m + 2)]) AS phrase
+  FROM split, range(1, 5) t(m) WHERE len(words) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT AS score
+  FROM candidates c, range(1, 4) t(k)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:], ' ') WHERE k < c.m),
+lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts),
+spans AS (
+  SELECT lang, array_to_string(words[s:s + len - 1], ' ') AS phrase, a
+  FROM candidates, range(2, 4) t(len), range(1, 4) u(s) WHERE len < m AND s + len - 1 <= m),
+longer AS (SELECT lang, phrase, max(a) AS most FROM spans GROUP BY lang, phrase),
+ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank,
+    c.phrase, c.a, c.l, c.r, t.n, c.score
+  FROM lowest c JOIN totals t ON t.lang = c.lang LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase
+  WHERE c.nth = 1 AND (g.most IS NULL OR 100::HUGEINT * g.most < 80::HUGEINT * c.a))
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op4_url_filters": _OP4, "op7_exact_dedup": _OP7}
+    return {"op1_chat_formatting": _OP1, "op4_url_filters": _OP4, "op7_exact_dedup": _OP7, "op11_line_dedup": _OP11, "op12_vector_codes": _OP12, "op13_collocations": _OP13}
