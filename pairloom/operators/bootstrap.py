@@ -1,7 +1,7 @@
 """Bootstrap over queries, by integer weights instead of copied rows.
 
-A draw table says how often each query is drawn in each sample. ``hash`` draws come from
-md5 and can be told in SQL; ``exact`` draws come from NumPy's generator.
+Draws say how often each query is drawn in each sample: ``draws.tree_draws`` make them anywhere out
+of a seed, and SQL can tell them; ``exact_draws`` are those of NumPy's generator, as a table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import curves, weighted
 from .classify import mixed_queries, per_query
+from .draws import Draws, TableDraws
 
 SAMPLES, SEED = 2000, 0
 
@@ -24,34 +25,8 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
-def numbered(queries: DataFrame) -> DataFrame:
-    """(query_id, at): the distinct ids numbered from 0, by order of md5 bucket and id.
-
-    Ids are numbered within 4,096 buckets, and raised by the sizes of the buckets before; only
-    the buckets themselves are ever sorted as a whole.
-    """
-    ids = queries.select("query_id").distinct().withColumn("bucket", F.substring(F.md5("query_id"), 1, 3))
-    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("query_id")) - 1
-    return ids.withColumn("within", within).join(base, "bucket").select("query_id", (F.col("base") + F.col("within")).alias("at"))
-
-
-def hash_draws(queries: DataFrame, samples: int, seed: int = SEED) -> DataFrame:
-    """(sample, query_id, weight): as many draws in each sample as there are queries.
-
-    Draws are made where the queries are: draw number ``i`` of a sample picks the query at
-    md5(seed:sample:i) modulo their number, by the order of :func:`numbered`.
-    """
-    ids = numbered(queries)
-    size = queries.agg(F.count_distinct("query_id").alias("size"))
-    draws = ids.join(F.broadcast(size)).select(F.col("at").alias("i"), "size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    draws = draws.select("sample", (hash_int(F.lit(seed), F.col("sample"), F.col("i")) % F.col("size")).alias("at")).groupBy("sample", "at").agg(F.count(F.lit(1)).alias("weight"))
-    return draws.join(ids, "at").select("sample", "query_id", "weight")
-
-
-def exact_draws(queries: DataFrame, samples: int, seed: int = SEED) -> DataFrame:
-    """The same table from ``numpy.random.default_rng(seed)``, samples in order over sorted ids.
+def exact_draws(queries: DataFrame, samples: int, seed: int = SEED) -> TableDraws:
+    """The draws of ``numpy.random.default_rng(seed)``, samples in order over sorted ids.
 
     The generator is one stream, so one task makes all draws, and streams them out by sample;
     nothing is held on the driver.
@@ -67,43 +42,44 @@ def exact_draws(queries: DataFrame, samples: int, seed: int = SEED) -> DataFrame
                 yield pa.record_batch({"sample": pa.array(np.full(len(at), sample, np.int32)), "at": pa.array(at.astype(np.int64)), "weight": pa.array(weight.astype(np.int64))})
 
     draws = size.coalesce(1).mapInArrow(run, "sample int, at long, weight long")
-    return draws.join(ids, "at").select("sample", "query_id", "weight")
+    return TableDraws(draws.join(ids, "at").select("sample", "query_id", "weight"), samples)
+
+
+def _spread(sampled: np.ndarray) -> tuple[float | None, float | None, int]:
+    """2.5th and 97.5th percentiles (linear) of the samples in which the value is defined; their number."""
+    ok = sampled[~np.isnan(sampled)]
+    low, high = np.percentile(ok, [2.5, 97.5]).tolist() if len(ok) else (None, None)
+    return low, high, len(ok)
 
 
 def interval(diffs: DataFrame, value: str = "difference") -> DataFrame:
-    """2.5th and 97.5th percentiles (linear) of the samples; null without any."""
+    """The same of a table with one row a sample; null without any."""
     both = diffs.agg(F.expr(f"percentile({value}, array(0.025D, 0.975D))").alias("p"), F.count(value).alias("samples"))
     return both.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "samples")
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, draws: DataFrame, metric: str = "pr_auc", samples: int = SAMPLES, keep: float = 0.9) -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, drawn: Draws, metric: str = "pr_auc", keep: float = 0.9) -> DataFrame:
     """Difference of a pooled metric (``pr_auc`` or ``precision``), its interval and the shared queries.
 
-    ``draws`` of (sample, query_id, weight) with samples from 0 to ``samples`` - 1. Samples in
-    which the metric is undefined for a route are passed over. A query drawn twice counts twice.
+    Samples in which the metric is undefined for a route are passed over. A query drawn twice counts twice.
     """
     shared = a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id")
-    weights = weighted.weights_by_query(draws, samples).persist()  # read by every pass over the pairs
     point, sampled = [], []
     for rows in (a, b):
         rows = rows.join(shared, "query_id", "left_semi")
         points = curves.curve(rows, [])
         whole = curves.average_precision(points, [], "value") if metric == "pr_auc" else curves.precision_at_recall(points, [], keep).select(F.col("precision").alias("value"))
         point.append(whole.first()["value"])
-        sampled.append(weighted.sampled_metric(rows, weights, samples, metric, keep))
-    weights.unpersist()
-    diffs = sampled[0] - sampled[1]
-    diffs = diffs[~np.isnan(diffs)]
-    low, high = np.percentile(diffs, [2.5, 97.5]).tolist() if len(diffs) else (None, None)
+        sampled.append(weighted.sampled_metric(rows, drawn, metric, keep))
     difference = None if None in point else point[0] - point[1]
-    row = (difference, low, high, len(diffs), shared.count())
+    row = (difference, *_spread(sampled[0] - sampled[1]), shared.count())
     return a.sparkSession.createDataFrame([row], "difference double, low double, high double, samples long, queries long")
 
 
 Metric = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def bootstrap_by_metric(a: DataFrame, b: DataFrame, draws: DataFrame, metric: Metric) -> DataFrame:
+def bootstrap_by_metric(a: DataFrame, b: DataFrame, drawn: Draws, metric: Metric) -> DataFrame:
     """The like of :func:`paired_bootstrap` for a metric of one's own.
 
     ``metric`` gets pairs with ``weight`` and the keys to group by, and returns the keys and
@@ -115,7 +91,7 @@ def bootstrap_by_metric(a: DataFrame, b: DataFrame, draws: DataFrame, metric: Me
     sampled, whole = [], []
     for rows in (a, b):
         rows = rows.join(shared, "query_id", "left_semi")
-        found = metric(rows.join(draws, "query_id"), ["sample"])
+        found = metric(rows.join(drawn.rows(), "query_id"), ["sample"])
         sampled.append(found.select("sample", "value"))
         point = metric(rows.withColumn("weight", F.lit(1).cast("long")).withColumn("sample", F.lit(0)), ["sample"])
         whole.append(point.select("sample", "value"))
@@ -125,20 +101,20 @@ def bootstrap_by_metric(a: DataFrame, b: DataFrame, draws: DataFrame, metric: Me
     return point.join(F.broadcast(interval(less(*sampled)))).join(F.broadcast(queries))
 
 
-def bootstrap_mean_diff(a: DataFrame, b: DataFrame, draws: DataFrame) -> DataFrame:
-    """Interval of the mean of per-query differences; a query drawn twice counts twice.
+def bootstrap_mean_diff(a: DataFrame, b: DataFrame, drawn: Draws, distinct: bool = False) -> DataFrame:
+    """Interval of the mean of per-query differences; a query drawn twice counts twice, or once if ``distinct``.
 
     ``a`` and ``b``: query_id, value.
     """
-    diffs = a.join(b.withColumnRenamed("value", "other"), "query_id").select("query_id", (F.col("value") - F.col("other")).alias("d"))
-    means = diffs.join(draws, "query_id").groupBy("sample").agg((F.sum(F.col("d") * F.col("weight")) / F.sum("weight")).alias("difference"))
-    point = diffs.agg(F.avg("d").alias("difference"), F.count(F.lit(1)).alias("queries"))
-    return point.join(F.broadcast(interval(means)))
+    diffs = a.join(b.withColumnRenamed("value", "other"), "query_id").select("query_id", (F.col("value") - F.col("other")).alias("value"))
+    point = diffs.agg(F.avg("value").alias("difference"), F.count(F.lit(1)).alias("queries")).first()
+    row = (*point, *_spread(weighted.sampled_mean(diffs, drawn, distinct)))
+    return a.sparkSession.createDataFrame([row], "difference double, queries long, low double, high double, samples long")
 
 
-def mean_over_drawn(a: DataFrame, b: DataFrame, draws: DataFrame) -> DataFrame:
+def mean_over_drawn(a: DataFrame, b: DataFrame, drawn: Draws) -> DataFrame:
     """The like over the distinct queries drawn: one drawn twice is one group all the same."""
-    return bootstrap_mean_diff(a, b, draws.withColumn("weight", F.lit(1).cast("long")))
+    return bootstrap_mean_diff(a, b, drawn, distinct=True)
 
 
 def random_query_pr_auc(pairs: DataFrame, draws: int = 100, seed: int = SEED, keys: list[str] | None = None) -> DataFrame:

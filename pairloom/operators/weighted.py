@@ -1,53 +1,38 @@
 """Pooled metrics of all bootstrap samples at once.
 
-A query's weights in all samples are one byte string, and come to its (query, score) sums by one
-join: a row for each pair, and not one for each pair and sample. The rows are dealt over score
-ranges and read from the highest score on, a few hundred at a time, as matrices of rows by
-samples; what the ranges above hold is told by one vector of each range. The driver gets vectors
-of samples only: two or three for each range.
+Only (query, score) sums with the query's number are shuffled: they are dealt over score ranges,
+and a range's task makes the weights of its own queries in all samples. It reads its rows from the
+highest score on, a few hundred at a time, as matrices of rows by samples; what the ranges above
+hold is told by one vector of each range. A score that fills several ranges is a range by itself,
+dealt over several tasks: its sums are all that is needed of it. The driver gets vectors of samples
+only: two or three for each range.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Score ranges at most, rows of a range that are wished for, and rows of a matrix.
-RANGES, RANGE_ROWS, MATRIX_ROWS = 512, 2_000, 256
+from .draws import Draws, Lookup
 
+#: Score ranges at most, rows of a range that are wished for, and rows of a matrix.
+RANGES, RANGE_ROWS, MATRIX_ROWS = 4096, 8_000, 256
 
-def weights_by_query(draws: DataFrame, samples: int) -> DataFrame:
-    """(query_id, weights): each sample's weight as 16-bit numbers, one after the other."""
-    lists = draws.groupBy("query_id").agg(F.collect_list(F.struct(F.col("sample").cast("int").alias("sample"), F.col("weight").cast("int").alias("weight"))).alias("drawn"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drawn = batch.column(1)
-            out = []
-            for k in range(batch.num_rows):
-                flat = drawn[k].values
-                row = np.zeros(samples, np.int64)
-                row[flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-                if row.max(initial=0) > 65_535:
-                    raise OverflowError("a query is drawn over 65,535 times in a sample")
-                out.append(row.astype("<u2").tobytes())
-            yield pa.record_batch({"query_id": batch.column(0), "weights": pa.array(out, pa.binary())})
-
-    return lists.mapInArrow(run, "query_id string, weights binary")
-
-
-def _points(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(range, scores, tp, n) of runs of distinct scores, falling within a range; tp and n by sample."""
+def _points(batches: Iterator[pa.RecordBatch], weights: Lookup) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, tp, n) of runs of distinct scores, falling within a range; tp and n by score and sample."""
     open_: tuple | None = None  # the score that may go on in the next rows
     for batch in batches:
+        drawn, row = weights(batch.column(4))
         for first in range(0, batch.num_rows, MATRIX_ROWS):
             part = batch.slice(first, MATRIX_ROWS)
             at, score = part.column(0).to_numpy(), part.column(1).to_numpy()
-            w = np.frombuffer(b"".join(part.column(4).to_pylist()), "<u2").reshape(-1, samples).astype(np.int32)
+            w = drawn[row[first : first + MATRIX_ROWS]].astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (score[1:] != score[:-1])])
             tp = np.add.reduceat(w * part.column(2).to_numpy()[:, None], cuts, axis=0)
             n = np.add.reduceat(w * part.column(3).to_numpy()[:, None], cuts, axis=0)
@@ -56,57 +41,98 @@ def _points(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[tuple[i
                 tp[0] += open_[2]
                 n[0] += open_[3]
             elif open_:
-                yield open_[0], np.array([open_[1]]), open_[2][None], open_[3][None]
+                yield open_[0], open_[2][None], open_[3][None]
             open_ = (at[-1], score[-1], tp[-1].copy(), n[-1].copy())
             for k in np.unique(at[:-1]):
                 of = np.flatnonzero(at[:-1] == k)
-                yield k, score[of], tp[of], n[of]
+                yield k, tp[of], n[of]
     if open_:
-        yield open_[0], np.array([open_[1]]), open_[2][None], open_[3][None]
+        yield open_[0], open_[2][None], open_[3][None]
+
 
+def _sums(batches: Iterator[pa.RecordBatch], weights: Lookup) -> dict[int, np.ndarray]:
+    """By range: positives and pairs in all samples; counts by query, times the queries' weights."""
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        drawn, row = weights(batch.column(4))
+        at, parts = batch.column(0).to_numpy(), [batch.column(k).to_numpy() for k in (2, 3)]
+        for k in np.unique(at).tolist():
+            of = at == k
+            counts = np.array([np.bincount(row[of], x[of], len(drawn)) for x in parts])
+            held = np.flatnonzero(counts[1])
+            found = sum((counts[:, own] @ drawn[own] for own in np.array_split(held, len(held) // 4096 + 1)), np.zeros((2, drawn.shape[1])))
+            out[k] = out[k] + found if k in out else found
+    return out
 
-def _vectors(rows: DataFrame, samples: int, make: Callable[[int], Callable]) -> dict[int, np.ndarray]:
-    """By range: the vectors that ``make(range)`` gives after it saw all of its points."""
+
+def _vectors(rows: DataFrame, draws: Draws, tasks: int, make: Callable[[int], Callable] | None = None) -> dict[int, np.ndarray]:
+    """By range: its sums, or the vectors that ``make(range)`` gives after it saw all of its points; pieces are added up."""
+    weights = draws.lookup()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Callable] = {}
-        last: dict[int, np.ndarray] = {}
-        for k, score, tp, n in _points(batches, samples):
-            last[k] = seen.setdefault(k, make(k))(score, tp, n)
+        if make is None:
+            last = _sums(batches, weights)
+        else:
+            seen: dict[int, Callable] = {}
+            last = {}
+            for k, tp, n in _points(batches, weights):
+                last[k] = seen.setdefault(k, make(k))(tp, n)
         for k, found in last.items():
             yield pa.record_batch({"range": pa.array([k], pa.int32()), "found": pa.array([found.astype(float).tobytes()], pa.binary())})
 
-    rows = rows.repartition("range").sortWithinPartitions("range", F.desc("score"))
-    found = rows.mapInArrow(run, "range int, found binary").collect()  # a few vectors of samples for each range
-    return {r["range"]: np.frombuffer(r["found"], float).reshape(-1, samples) for r in found}
+    dealt = rows.repartition(tasks, "range", "piece")
+    if make is not None:
+        dealt = dealt.sortWithinPartitions("range", F.desc("score"))
+    out: dict[int, np.ndarray] = {}
+    for r in dealt.drop("piece").mapInArrow(run, "range int, found binary").collect():  # a few vectors of samples for each range
+        found = np.frombuffer(r["found"], float).reshape(-1, draws.samples)
+        out[r["range"]] = out[r["range"]] + found if r["range"] in out else found
+    return out
+
+
+def _ranges(bounds: list[float]) -> tuple[Column, Column, set[int]]:
+    """A score's range, ascending with it; the piece of the range that a row goes to; the ranges of one score.
+
+    ``bounds`` are percentiles: one that comes twice or more is a score that fills whole ranges.
+    """
+    times = Counter(bounds)
+    cuts = sorted(times)
+    if not cuts:
+        return F.lit(0), F.lit(0), set()
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col("score")))
+    hot = {k: times[b] for k, b in enumerate(cuts) if times[b] > 1}
+    full = F.coalesce(F.col("score").isin([cuts[k] for k in hot]), F.lit(False)) if hot else F.lit(False)
+    most = max(hot.values(), default=1)
+    piece = F.when(full, F.pmod(F.xxhash64("query_id"), F.lit(most))).otherwise(0)
+    return 2 * below + full.cast("int"), piece.cast("int"), {2 * k + 1 for k in hot}
 
 
-def sampled_metric(pairs: DataFrame, weights: DataFrame, samples: int, metric: str, keep: float = 0.9) -> np.ndarray:
-    """The metric of each sample, NaN where it is undefined; ``weights`` of :func:`weights_by_query`.
+def sampled_metric(pairs: DataFrame, draws: Draws, metric: str, keep: float = 0.9) -> np.ndarray:
+    """The metric of each sample, NaN where it is undefined.
 
     ``pr_auc``: both classes are needed. ``precision``: at the highest score from which on
     ``keep`` of the positives survive; a positive is needed.
     """
+    samples = draws.samples
     small = pairs.groupBy("query_id", "score").agg(F.sum("label").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
-    size = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNull()).alias("none")).first()
-    if not size["n"]:
+    size, percentiles = pairs.agg(F.count(F.lit(1)), F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000)).first()
+    if not size:
         return np.full(samples, np.nan)
-    ranges = max(1, min(RANGES, size["n"] // RANGE_ROWS))
-    bounds = pairs.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first()["b"] if ranges > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("score"))) if bounds else F.lit(0)
-    rows = small.join(weights, "query_id").select(at.cast("int").alias("range"), "score", "tp", "n", "weights")
+    ranges = max(1, min(RANGES, size // RANGE_ROWS))
+    bounds = [percentiles[k * RANGES // ranges - 1] for k in range(1, ranges)] if percentiles else []
+    at, piece, single = _ranges(bounds)
+    rows = draws.joined(small.select("query_id", at.cast("int").alias("range"), "score", "tp", "n", piece.alias("piece"))).select("range", "score", "tp", "n", "drawn", "piece")
 
-    def totals(_: int) -> Callable:
-        sums = np.zeros((2, samples))
-
-        def add(score: np.ndarray, tp: np.ndarray, n: np.ndarray) -> np.ndarray:
-            sums[0] += tp.sum(axis=0)
-            sums[1] += n.sum(axis=0)
-            return sums
+    rows = rows.persist()
+    try:
+        return _metric(rows, draws, ranges, single, metric, keep)
+    finally:
+        rows.unpersist()
 
-        return add
 
-    by_range = _vectors(rows, samples, totals)
+def _metric(rows: DataFrame, draws: Draws, ranges: int, single: set[int], metric: str, keep: float) -> np.ndarray:
+    samples = draws.samples
+    by_range = _vectors(rows, draws, ranges)
     if not by_range:
         return np.full(samples, np.nan)
     p, total = sum(by_range.values())
@@ -117,7 +143,7 @@ def sampled_metric(pairs: DataFrame, weights: DataFrame, samples: int, metric: s
     def area(k: int) -> Callable:
         base, out = above[k].copy(), np.zeros((1, samples))
 
-        def add(score: np.ndarray, tp: np.ndarray, n: np.ndarray) -> np.ndarray:
+        def add(tp: np.ndarray, n: np.ndarray) -> np.ndarray:
             ctp, cn = base[0] + np.cumsum(tp, axis=0), base[1] + np.cumsum(n, axis=0)
             out[0] += (tp / np.maximum(p, 1) * (ctp / np.maximum(cn, 1))).sum(axis=0)
             base[0], base[1] = ctp[-1], cn[-1]
@@ -128,7 +154,7 @@ def sampled_metric(pairs: DataFrame, weights: DataFrame, samples: int, metric: s
     def crossing(k: int) -> Callable:
         base, out = above[k].copy(), np.full((1, samples), np.nan)
 
-        def add(score: np.ndarray, tp: np.ndarray, n: np.ndarray) -> np.ndarray:
+        def add(tp: np.ndarray, n: np.ndarray) -> np.ndarray:
             ctp, cn = base[0] + np.cumsum(tp, axis=0), base[1] + np.cumsum(n, axis=0)
             drawn = n > 0  # a score that no drawn query has is no threshold
             ok = drawn & (ctp >= keep * p)
@@ -141,10 +167,37 @@ def sampled_metric(pairs: DataFrame, weights: DataFrame, samples: int, metric: s
 
         return add
 
+    step = area if metric == "pr_auc" else crossing
+    found = [step(k)(by_range[k][:1], by_range[k][1:])[0] for k in by_range if k in single]  # one point each
+    if len(found) < len(by_range):
+        rest = rows.filter(~F.col("range").isin(list(single))) if single else rows
+        found += [x[0] for x in _vectors(rest, draws, ranges, step).values()]
     if metric == "pr_auc":
-        value = sum(_vectors(rows, samples, area).values())[0]
-        return np.where((p > 0) & (p < total), value, np.nan)
+        return np.where((p > 0) & (p < total), sum(found), np.nan)
     value = np.full(samples, np.nan)
-    for found in _vectors(rows, samples, crossing).values():
-        value = np.where(np.isnan(value), found[0], value)
+    for x in found:
+        value = np.where(np.isnan(value), x, value)
     return np.where(p > 0, value, np.nan)
+
+
+def sampled_mean(values: DataFrame, draws: Draws, distinct: bool = False) -> np.ndarray:
+    """The mean of ``value`` by query over the queries drawn in each sample, NaN where none is.
+
+    A query drawn twice counts twice, or once if ``distinct``. Each task sends two vectors.
+    """
+    weights, samples = draws.lookup(), draws.samples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, samples))
+        for batch in batches:
+            drawn, row = weights(batch.column(1))
+            for k in range(0, batch.num_rows, MATRIX_ROWS):
+                w = drawn[row[k : k + MATRIX_ROWS]]
+                w = (w > 0).astype(float) if distinct else w.astype(float)
+                sums += [batch.column(0).slice(k, MATRIX_ROWS).to_numpy() @ w, w.sum(axis=0)]
+        yield pa.record_batch({"found": pa.array([sums.tobytes()], pa.binary())})
+
+    total = np.zeros((2, samples))
+    for r in draws.joined(values.select("query_id", F.col("value").cast("double").alias("value"))).select("value", "drawn").mapInArrow(run, "found binary").collect():
+        total += np.frombuffer(r["found"], float).reshape(2, samples)
+    return np.where(total[1] > 0, total[0] / np.where(total[1] > 0, total[1], 1), np.nan)

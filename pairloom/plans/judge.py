@@ -98,7 +98,7 @@ def dilution_difference(path: str, spark: SparkSession, samples: int, seed: int,
     by_query = [classify.per_query(x, "pr_auc").select("query_id", "value") for x in (a, b)]
     means = [x.agg(F.avg("value")).first()[0] for x in by_query]
     points = [classify.judge_metrics(x, True).first()["pr_auc"] for x in (a, b)]
-    spans = bootstrap.bootstrap_mean_diff(*by_query, draws).first().asDict(), bootstrap.paired_bootstrap(a, b, draws, "pr_auc", samples).first().asDict()
+    spans = bootstrap.bootstrap_mean_diff(*by_query, draws).first().asDict(), bootstrap.paired_bootstrap(a, b, draws, "pr_auc").first().asDict()
     return {n: s | {"first": v[0], "second": v[1]} for n, v, s in zip(("by query", "of all"), (means, points), spans, strict=True)}
 
 

@@ -43,7 +43,7 @@ class Dataset:
 
     def interval(self, first: str, second: str, metric: str) -> dict:
         a, b = self.of(first), self.of(second)
-        return bootstrap.paired_bootstrap(a, b, self._draws(a, b), metric, self.samples).first().asDict()
+        return bootstrap.paired_bootstrap(a, b, self._draws(a, b), metric).first().asDict()
 
     def interval_of_means(self, first: str, second: str) -> dict:
         a, b = (classify.per_query(self.of(r), "pr_auc").select("query_id", "value") for r in (first, second))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pairloom import schema
 from pairloom.functions import text as T
 from pairloom.functions import vectors
-from pairloom.operators import answers, bootstrap, budget, classify, curves, lexical, pairwise, pools, quality, ranking, registry, routes
+from pairloom.operators import answers, bootstrap, budget, classify, curves, draws, lexical, pairwise, pools, quality, ranking, registry, routes
 from pairloom.plans import judge
 from pairloom.services import client, fake, prompts, scorers
 from pairloom.sources import bindings as B
@@ -499,8 +499,50 @@ def paired_query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bootstrap -----------------------------------------------------------------------------------
 
 
-_DRAWS = f"""ids AS (SELECT query_id, row_number() OVER (ORDER BY substr(md5(query_id), 1, 3), query_id) - 1 AS pos FROM (SELECT DISTINCT query_id FROM {{}})),
-draws AS (SELECT sample, query_id, count(*) AS weight FROM (SELECT s.range AS sample, CAST('0x' || substr(md5('0:' || s.range || ':' || i.pos), 1, 8) AS BIGINT) % (SELECT count(*) FROM ids) AS pos FROM ids i, range({SAMPLES}) s) JOIN ids USING (pos) GROUP BY ALL)"""
+def _mixed_sql(source: str, more: str, columns: str) -> str:
+    """``columns`` of ``source`` with its two 32-bit lanes a and b mixed, in three steps; ``more`` goes along."""
+    first = ", ".join(f"(xor({x}, {x} >> 16) * 2246822507) % 4294967296 AS {x}" for x in "ab")
+    second = ", ".join(f"(xor({x}, {x} >> 13) * 3266489909) % 4294967296 AS {x}" for x in "ab")
+    return f"SELECT {columns} FROM (SELECT {more}, {second} FROM (SELECT {more}, {first} FROM {source}))"
+
+
+def _key_sql(text: str) -> str:
+    return ", ".join(f"CAST('0x' || substr(md5({text}), {at}, 8) AS UBIGINT) AS {x}" for at, x in ((1, "a"), (9, "b")))
+
+
+_NODE_MIX = _mixed_sql(
+    "(SELECT w.low, w.high, w.sample, w.n, xor(k.a, s.a) AS a, xor(k.b, s.b) AS b FROM walk w JOIN node_keys k ON k.low = w.low AND k.high = w.high JOIN sample_keys s ON s.sample = w.sample WHERE w.high - w.low > 1)",
+    "low, high, sample, n",
+    "low, high, sample, n, xor(a, a >> 16) AS a, xor(b, b >> 16) AS b",
+)
+_BIT_MIX = _mixed_sql(
+    f"(SELECT m.low, m.high, m.sample, m.n, p.power, xor(m.a, p.a) AS a, xor(m.b, p.b) AS b FROM ({_NODE_MIX}) m JOIN power_keys p ON (m.n >> p.power) & 1 = 1)",
+    "low, high, sample, n, power",
+    "low, high, sample, n, power, ((xor(a, a >> 16) << 20) + (xor(b, b >> 16) >> 12) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u",
+)
+#: The draws of a splitting tree: binomials of the nodes' lower halves, from distribution functions.
+_DRAWS = f"""
+ids AS (
+  SELECT query_id, row_number() OVER (ORDER BY substr(md5(query_id), 1, 3), query_id) - 1 AS pos FROM (SELECT DISTINCT query_id FROM {{}})),
+size AS (SELECT count(*) AS size FROM ids),
+nodes(low, high) AS (
+  SELECT 0::BIGINT, size FROM size
+  UNION ALL SELECT unnest([low, low + (high - low + 1) // 2]), unnest([low + (high - low + 1) // 2, high]) FROM nodes WHERE high - low > 1),
+node_keys AS (SELECT low, high, {_key_sql("'0:' || low || ':' || high")} FROM nodes),
+sample_keys AS (SELECT range AS sample, {_key_sql("'0:sample:' || range")} FROM range({SAMPLES})),
+power_keys AS (SELECT range AS power, {_key_sql("'0:bit:' || range")} FROM range(63) WHERE power <= (SELECT log2(size) FROM size)),
+masses AS (
+  SELECT width, power, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS mass
+  FROM (SELECT width, power, k, p, 1 << power AS n
+    FROM (SELECT DISTINCT high - low AS width, ((high - low + 1) // 2)::DOUBLE / (high - low) AS p FROM nodes WHERE high - low > 1), power_keys, range((SELECT size FROM size)) t(k)) WHERE k < n),
+distributions AS (
+  SELECT width, power, list(c ORDER BY k) AS c FROM (SELECT width, power, k, sum(mass) OVER (PARTITION BY width, power ORDER BY k) AS c FROM masses) GROUP BY width, power),
+walk(low, high, sample, n) AS (
+  SELECT 0::BIGINT, size, sample, size FROM size, sample_keys
+  UNION ALL SELECT unnest([low, mid]), unnest([mid, high]), sample, unnest([lower, n - lower]) FROM (
+    SELECT low, high, low + (high - low + 1) // 2 AS mid, sample, n, sum(len(list_filter(d.c, lambda x: x < u)))::BIGINT AS lower
+    FROM ({_BIT_MIX}) m JOIN distributions d ON d.width = m.high - m.low AND d.power = m.power GROUP BY low, high, sample, n)),
+draws AS (SELECT sample, query_id, n AS weight FROM walk JOIN ids ON low = pos WHERE high - low = 1 AND n > 0)"""
 
 
 def _sampled_sql(name: str, metric: str) -> str:
@@ -516,14 +558,14 @@ _PAR = "max_by(ctp::DOUBLE / cn, score) FILTER (ctp >= 0.9::DOUBLE * p AND p > 0
 
 
 def _bootstrap_sql(metric: str) -> str:
-    return f"""{B.with_sql('pairs_c', 'pairs_b')}, {_DRAWS.format('pairs_c')}, {_sampled_sql('pairs_c', metric)}, {_sampled_sql('pairs_b', metric)},
+    return f"""{B.with_sql('pairs_c', 'pairs_b').replace('WITH', 'WITH RECURSIVE')}, {_DRAWS.format('pairs_c')}, {_sampled_sql('pairs_c', metric)}, {_sampled_sql('pairs_b', metric)},
 diffs AS (SELECT a.value - b.value AS d FROM pairs_c_s a JOIN pairs_b_s b ON a.sample = b.sample)
 SELECT round((SELECT value FROM pairs_c_v) - (SELECT value FROM pairs_b_v), 9) AS difference, round((SELECT quantile_cont(d, 0.025) FROM diffs), 9) AS low, round((SELECT quantile_cont(d, 0.975) FROM diffs), 9) AS high, (SELECT count(d) FROM diffs) AS samples, (SELECT count(*) FROM ids) AS queries"""
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     a, b = B.pairs_c(spark, sf_dir), B.pairs_b(spark, sf_dir)
-    return rounded(bootstrap.paired_bootstrap(a, b, bootstrap.hash_draws(a, SAMPLES), metric, SAMPLES))
+    return rounded(bootstrap.paired_bootstrap(a, b, draws.tree_draws(a, SAMPLES), metric))
 
 
 @query(_bootstrap_sql(_AP))
@@ -537,7 +579,7 @@ def paired_bootstrap_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mean_diff_sql(weight: str) -> str:
-    return f"""{B.with_sql('pairs_c', 'pairs_b')}, {_DRAWS.format('pairs_c')}, a AS (SELECT query_id, avg(score) AS v FROM pairs_c GROUP BY 1), b AS (SELECT query_id, avg(score) AS v FROM pairs_b GROUP BY 1),
+    return f"""{B.with_sql('pairs_c', 'pairs_b').replace('WITH', 'WITH RECURSIVE')}, {_DRAWS.format('pairs_c')}, a AS (SELECT query_id, avg(score) AS v FROM pairs_c GROUP BY 1), b AS (SELECT query_id, avg(score) AS v FROM pairs_b GROUP BY 1),
 d AS (SELECT a.query_id, a.v - b.v AS d FROM a JOIN b ON a.query_id = b.query_id), m AS (SELECT sample, sum(d * {weight}) / sum({weight}) AS m FROM d JOIN draws USING (query_id) GROUP BY 1)
 SELECT round((SELECT avg(d) FROM d), 9) AS difference, (SELECT count(*) FROM d) AS queries, round((SELECT quantile_cont(m, 0.025) FROM m), 9) AS low, round((SELECT quantile_cont(m, 0.975) FROM m), 9) AS high, (SELECT count(*) FROM m) AS samples"""
 
@@ -548,12 +590,12 @@ def _means(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 @query(_mean_diff_sql("weight"))
 def bootstrap_mean_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.bootstrap_mean_diff(*_means(spark, sf_dir), bootstrap.hash_draws(B.pairs_c(spark, sf_dir), SAMPLES)))
+    return rounded(bootstrap.bootstrap_mean_diff(*_means(spark, sf_dir), draws.tree_draws(B.pairs_c(spark, sf_dir), SAMPLES)))
 
 
 @query(_mean_diff_sql("1"))
 def bootstrap_mean_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.mean_over_drawn(*_means(spark, sf_dir), bootstrap.hash_draws(B.pairs_c(spark, sf_dir), SAMPLES)))
+    return rounded(bootstrap.mean_over_drawn(*_means(spark, sf_dir), draws.tree_draws(B.pairs_c(spark, sf_dir), SAMPLES)))
 
 
 @query(f"""{B.with_sql('pairs')}, rnd AS (SELECT query_id, s.range AS draw, label, CAST('0x' || substr(md5('0:' || s.range || ':' || query_id || ':' || ordinal), 1, 8) AS BIGINT) AS score FROM pairs, range({RANDOM_DRAWS}) s),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import bootstrap, classify, curves, ranking, weighted
+from pairloom.operators import bootstrap, draws, classify, curves, ranking, weighted
 
 SCHEMA = "dataset string, route string, query_id string, doc_id string, ordinal long, label int, score double"
 
@@ -101,30 +101,34 @@ def test_exact_bootstrap_equals_copied_rows(spark):
     a, b = random_rows(5), random_rows(5)
     b = [(q, y, 1 - s) for q, y, s in b]
     ids = sorted({q for q, *_ in a})
-    draws = bootstrap.exact_draws(frame(spark, a), 8, 3)
-    got = bootstrap.paired_bootstrap(frame(spark, a), frame(spark, b), draws, samples=8).first()
+    drawn = bootstrap.exact_draws(frame(spark, a), 8, 3)
+    got = bootstrap.paired_bootstrap(frame(spark, a), frame(spark, b), drawn, "pr_auc").first()
     rng, diffs = np.random.default_rng(3), []
     for _ in range(8):
-        drawn = [ids[i] for i in rng.integers(0, len(ids), len(ids))]
-        diffs.append(brute_ap([r for q in drawn for r in a if r[0] == q]) - brute_ap([r for q in drawn for r in b if r[0] == q]))
+        copied = [ids[i] for i in rng.integers(0, len(ids), len(ids))]
+        diffs.append(brute_ap([r for q in copied for r in a if r[0] == q]) - brute_ap([r for q in copied for r in b if r[0] == q]))
     assert got["difference"] == pytest.approx(brute_ap(a) - brute_ap(b))
     assert [got["low"], got["high"]] == pytest.approx(np.percentile(diffs, [2.5, 97.5]).tolist())
 
 
 @pytest.mark.parametrize("ranges", [1, 2, 7])
 @pytest.mark.parametrize("metric", ["pr_auc", "precision"])
-def test_sampled_metrics_equal_copied_rows(spark, monkeypatch, ranges, metric):
+@pytest.mark.parametrize("hot", [False, True])
+def test_sampled_metrics_equal_copied_rows(spark, monkeypatch, ranges, metric, hot):
     import numpy as np
 
     rows = random_rows(9)
     monkeypatch.setattr(weighted, "RANGE_ROWS", max(1, len(rows) // ranges))
     monkeypatch.setattr(weighted, "MATRIX_ROWS", 3)
-    draws = bootstrap.hash_draws(frame(spark, rows), 25, 1)
+    if hot:  # a score that fills several ranges
+        rows = [(q, y, 0.5 if k % 3 else s) for k, (q, y, s) in enumerate(rows)]
+    drawn = draws.tree_draws(frame(spark, rows), 25, 1)
     table = {}
-    for r in draws.collect():
+    for r in drawn.rows().collect():
         table.setdefault(r["sample"], {})[r["query_id"]] = r["weight"]
     assert all(sum(x.values()) == len({q for q, *_ in rows}) for x in table.values()) and len(table) == 25
-    got = weighted.sampled_metric(frame(spark, rows), weighted.weights_by_query(draws, 25), 25, metric)
+    got = weighted.sampled_metric(frame(spark, rows), drawn, metric)
+    assert got.tolist() == pytest.approx(weighted.sampled_metric(frame(spark, rows), draws.TableDraws(drawn.rows(), 25), metric).tolist(), nan_ok=True)
     for sample, w in table.items():
         copied = [r for r in rows for _ in range(w.get(r[0], 0))]
         if metric == "pr_auc":
@@ -136,17 +140,57 @@ def test_sampled_metrics_equal_copied_rows(spark, monkeypatch, ranges, metric):
         assert (np.isnan(got[sample]) if want is None else got[sample] == pytest.approx(want)), sample
 
 
+def test_tree_draws_are_multinomial():
+    import numpy as np
+
+    size, samples = 37, 4000
+    w = draws.tree_weights(np.arange(size), size, samples, 5).astype(int)
+    assert (w.sum(axis=0) == size).all()
+    assert abs(w.mean(axis=1) - 1).max() < 0.07 and abs(w.var(axis=1) - (1 - 1 / size)).max() < 0.12
+    assert abs(np.corrcoef(w)[~np.eye(size, dtype=bool)] + 1 / (size - 1)).max() < 0.08
+    # a task that holds some queries only finds the same numbers, whatever else it holds
+    some = np.array([0, 3, 4, 20, 36])
+    assert (draws.tree_weights(some, size, samples, 5) == w[some]).all()
+    assert (draws.tree_weights(some, size, 50, 5) == w[some, :50]).all()
+    large = draws.tree_weights(np.array([5, 999_999]), 1_000_000, 2000, 0)
+    assert abs(large.mean(axis=1) - 1).max() < 0.1 and abs(large.var(axis=1) - 1).max() < 0.15
+
+
+def test_tree_draws_split_large_ranges_exactly():
+    import numpy as np
+
+    # the binomial of a million draws: mean, variance and a tail as they should be
+    keys = np.array([draws._key(f"1:sample:{s}") for s in range(5000)], np.uint32)
+    n = np.full((1, 5000), 1_000_001)
+    got = draws._binomials(n, np.array([0]), np.array([3]), keys, 1)[0]
+    z = (got - 1_000_001 * 2 / 3) / np.sqrt(1_000_001 * 2 / 9)
+    assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.04 and 0.035 < (abs(z) > 1.96).mean() < 0.065
+
+
+def test_sampled_mean_equals_table(spark):
+    import numpy as np
+
+    values = spark.createDataFrame([(f"q{k}", float(k * k)) for k in range(23)], "query_id string, value double").repartition(3)
+    drawn = draws.tree_draws(values, 40, 2)
+    table = {}
+    for r in drawn.rows().collect():
+        table.setdefault(r["sample"], {})[int(r["query_id"][1:])] = r["weight"]
+    for distinct in (False, True):
+        got = weighted.sampled_mean(values, drawn, distinct)
+        want = [np.average([q * q for q in table[s]], weights=[1 if distinct else w for w in table[s].values()]) for s in range(40)]
+        assert got.tolist() == pytest.approx(want)
+
+
 def test_a_metric_of_ones_own(spark):
     good = frame(spark, [r for q in range(20) for r in ((f"q{q}", 1, 0.9), (f"q{q}", 0, 0.1))])
     poor = frame(spark, [r for q in range(20) for r in ((f"q{q}", 1, 0.1), (f"q{q}", 0, 0.9))])
-    draws = bootstrap.hash_draws(good, 30)
-    got = bootstrap.bootstrap_by_metric(good, poor, draws, lambda rows, keys: classify.mean_per_query(rows, "pr_auc", keys)).first()
+    got = bootstrap.bootstrap_by_metric(good, poor, draws.tree_draws(good, 30), lambda rows, keys: classify.mean_per_query(rows, "pr_auc", keys)).first()
     assert tuple(got) == (0.5, 0.5, 0.5, 30, 20)
     pooled = lambda rows, keys: curves.average_precision(curves.curve(rows, keys, F.col("weight"), ranges=1), keys, "value")
     a, b = frame(spark, random_rows(5)), frame(spark, [(q, y, 1 - s) for q, y, s in random_rows(5)])
-    draws = bootstrap.hash_draws(a, 12)
-    own = bootstrap.bootstrap_by_metric(a, b, draws, pooled).first()
-    built_in = bootstrap.paired_bootstrap(a, b, draws, samples=12).first()
+    drawn = draws.tree_draws(a, 12)
+    own = bootstrap.bootstrap_by_metric(a, b, drawn, pooled).first()
+    built_in = bootstrap.paired_bootstrap(a, b, drawn).first()
     assert [own[c] for c in ("difference", "low", "high", "samples")] == pytest.approx([built_in[c] for c in ("difference", "low", "high", "samples")])
 
 
