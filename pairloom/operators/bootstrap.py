@@ -1,21 +1,20 @@
 """Bootstrap over queries, by integer weights instead of copied rows.
 
 Draws say how often each query is drawn in each sample: ``draws.tree_draws`` make them anywhere out
-of a seed, and SQL can tell them; ``exact_draws`` are those of NumPy's generator, as a table.
+of a seed, and SQL can tell them; ``streams.exact_draws`` are those of NumPy's generator, as a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import curves, weighted
 from .classify import mixed_queries, per_query
-from .draws import Draws, TableDraws
+from .draws import Draws
 
 SAMPLES, SEED = 2000, 0
 
@@ -25,26 +24,6 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
-def exact_draws(queries: DataFrame, samples: int, seed: int = SEED) -> TableDraws:
-    """The draws of ``numpy.random.default_rng(seed)``, samples in order over sorted ids.
-
-    The generator is one stream, so one task makes all draws, and streams them out by sample;
-    nothing is held on the driver.
-    """
-    ids = queries.select("query_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("query_id")).cast("long") - 1)
-    size = queries.agg(F.count_distinct("query_id").alias("size"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n in (x for batch in batches for x in batch.column(0).to_pylist() if x):
-            rng = np.random.default_rng(seed)
-            for sample in range(samples):
-                at, weight = np.unique(rng.integers(0, n, n), return_counts=True)
-                yield pa.record_batch({"sample": pa.array(np.full(len(at), sample, np.int32)), "at": pa.array(at.astype(np.int64)), "weight": pa.array(weight.astype(np.int64))})
-
-    draws = size.coalesce(1).mapInArrow(run, "sample int, at long, weight long")
-    return TableDraws(draws.join(ids, "at").select("sample", "query_id", "weight"), samples)
-
-
 def _spread(sampled: np.ndarray) -> tuple[float | None, float | None, int]:
     """2.5th and 97.5th percentiles (linear) of the samples in which the value is defined; their number."""
     ok = sampled[~np.isnan(sampled)]

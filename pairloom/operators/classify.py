@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import curves
+from . import curves, scan
 
 ROUTE = ["dataset", "route"]
 BINS, HALF = 10, 0.5
@@ -19,7 +19,7 @@ def mixed_queries(pairs: DataFrame, keys: list[str] = ROUTE) -> DataFrame:
 
 def per_query(pairs: DataFrame, metric: str, keys: list[str] = ROUTE) -> DataFrame:
     """``pr_auc`` or ``roc_auc`` of each mixed query."""
-    points = curves.curve(pairs, [*keys, "query_id"], ranges=1)
+    points = curves.curve(pairs, [*keys, "query_id"], small=True)
     found = (curves.average_precision if metric == "pr_auc" else curves.roc_auc)(points, [*keys, "query_id"], "value")
     return found.filter("value is not null")
 
@@ -42,19 +42,14 @@ def at_half(pairs: DataFrame, keys: list[str] = ROUTE) -> DataFrame:
     return pairs.groupBy(*keys).agg(*half_columns())
 
 
-def calibration_bins(pairs: DataFrame, keys: list[str] = ROUTE, bins: int = BINS, ranges: int = curves.RANGES) -> DataFrame:
+def calibration_bins(pairs: DataFrame, keys: list[str] = ROUTE, bins: int = BINS) -> DataFrame:
     """Equal-count bins by (score, ordinal): bin, count, mean_score, positive_rate.
 
     Rows are ranked within score ranges and raised by the ranges below, so that no task
     sorts all pairs; the first ``rows mod bins`` bins hold one row more.
     """
-    rows = pairs.select(*keys, "score", "ordinal", "label")
-    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"), F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 1000).alias("__bounds"))
-    rows = rows.join(bounds, keys).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col("score")))).drop("__bounds")
-    below = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("n")).select(*keys, "__range", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("score", "ordinal")) - 1 + F.col("__base")
-    rows = rows.join(base, [*keys, "__range"]).withColumn("__rank", rank)
+    rows = scan.ranged(pairs.select(*keys, "score", "ordinal", "label"), keys, "score", F.count(F.lit(1)).alias("__total"))
+    rows = scan.with_totals_before(rows, keys, [F.asc("score"), F.asc("ordinal")], {"__rank": F.lit(1)})
     small, more = F.floor(F.col("__total") / bins), F.col("__total") % bins
     edge = more * (small + 1)
     at = F.when(F.col("__rank") < edge, F.floor(F.col("__rank") / (small + 1))).otherwise(more + F.floor((F.col("__rank") - edge) / F.greatest(small, F.lit(1))))

@@ -1,8 +1,8 @@
 """Score curves: running counts over distinct scores, the base of every threshold metric.
 
 Pairs are first added up by distinct score, with a weight. A curve of few groups is long, so
-its running sums are taken in score ranges: bounds from approximate percentiles, a total per
-range, then a window within each range. No window ever holds a whole pooled curve.
+its running sums are those of score ranges (``scan``), as many as it has scores for. No window ever
+holds a whole pooled curve.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score ranges that a pooled curve is dealt over.
-RANGES = 64
+from . import scan
 
 
 def by_score(pairs: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
@@ -20,27 +19,19 @@ def by_score(pairs: DataFrame, keys: list[str], weight: Column | None = None) ->
     return pairs.groupBy(*keys, "score").agg(F.sum(w * F.col("label")).cast("long").alias("tp"), F.sum(w).cast("long").alias("n"))
 
 
-def curve(pairs: DataFrame, keys: list[str], weight: Column | None = None, ranges: int = RANGES) -> DataFrame:
+def curve(pairs: DataFrame, keys: list[str], weight: Column | None = None, small: bool = False) -> DataFrame:
     """By keys and score: tp, n, ctp and cn (running from the highest score), p and total.
 
-    ``ranges`` of 1 is for curves of many small groups, as one for each query.
+    ``small`` is for curves of many small groups, as one for each query; else groups are few, and long.
     """
     points = by_score(pairs, keys, weight)
-    totals = points.groupBy(*keys).agg(F.sum("tp").alias("p"), F.sum("n").alias("total"), *([F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 1000).alias("bounds")] if ranges > 1 else []))
-    if not keys:
-        points, totals = points.withColumn("__all", F.lit(1)), totals.withColumn("__all", F.lit(1))
-    on = keys or ["__all"]
-    points = points.join(totals, on)
-    down = Window.partitionBy(*on).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    if ranges <= 1:
-        return points.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).drop("__all")
-    points = points.withColumn("__range", F.size(F.filter("bounds", lambda b: b < F.col("score")))).drop("bounds")
-    above = Window.partitionBy(*on).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = points.groupBy(*on, "__range").agg(F.sum("tp").alias("__tp"), F.sum("n").alias("__n"))
-    sums = sums.select(*on, "__range", F.coalesce(F.sum("__tp").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__n"))
-    here = Window.partitionBy(*on, "__range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    points = points.join(sums, [*on, "__range"]).withColumn("ctp", F.col("__tp") + F.sum("tp").over(here)).withColumn("cn", F.col("__n") + F.sum("n").over(here))
-    return points.drop("__range", "__tp", "__n", "__all")
+    if small:
+        group = Window.partitionBy(*keys)
+        down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        return points.withColumns({"p": F.sum("tp").over(group), "total": F.sum("n").over(group), "ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    points = scan.ranged(points, keys, "score", F.sum("tp").alias("p"), F.sum("n").alias("total"))
+    points = scan.with_totals_before(points, keys, [F.desc("score")], {"ctp": F.col("tp"), "cn": F.col("n")}, descending=True)
+    return points.withColumns({"ctp": F.col("ctp") + F.col("tp"), "cn": F.col("cn") + F.col("n")})
 
 
 def _both() -> Column:

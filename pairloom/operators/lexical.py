@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import term_bag, terms
 
+from . import scan
+
 K1, B = 1.5, 0.75
 KEY = ["query_id", "ordinal", "doc_id", "label"]
 
@@ -51,4 +53,6 @@ def baseline_scores(pool: DataFrame, dataset: str = "pool") -> DataFrame:
 def sanity_report(pool: DataFrame) -> DataFrame:
     """Count, mean and exact median of length and overlap by label."""
     rows = length(pool).withColumn("measure", F.lit("length")).unionByName(overlap(pool).withColumn("measure", F.lit("term_overlap")))
-    return rows.groupBy("measure", "label").agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.expr("percentile(score, 0.5D)").alias("median"))
+    by = ["measure", "label"]
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"))
+    return found.join(scan.quantile(rows, by, "score", 0.5, "median"), by, "left")

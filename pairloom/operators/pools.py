@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import streams
+
 
 def shuffle_key(*parts: Column) -> Column:
     """Hash order: md5 of the parts joined by colons."""
     return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))
 
 
-def capped_candidates(rows: DataFrame, cap: int | None = None) -> DataFrame:
+def capped_candidates(rows: DataFrame, cap: int | None = None, exact: bool = False) -> DataFrame:
     """Candidates of each query, relevant ones first where there are more than ``cap``, in hash order.
 
     ``rows``: query_id, doc_id (compared as text), ordinal, label. Queries without a relevant
-    candidate are dropped.
+    candidate are dropped. ``exact``: in the order of Python's ``random``, seeded by the query and its size.
     """
     by_query = Window.partitionBy("query_id")
     rows = rows.withColumn("__relevant", F.sum("label").over(by_query)).filter("__relevant > 0").drop("__relevant")
     if cap:
         rows = rows.withColumn("__at", F.row_number().over(by_query.orderBy(F.desc("label"), "ordinal"))).filter(F.col("__at") <= cap).drop("__at")
+    if exact:
+        return streams.exact_shuffled(rows, [F.col("doc_id").cast("string"), F.desc("label"), F.asc("ordinal")] if cap else [F.col("doc_id").cast("string"), F.asc("ordinal")], with_size=True)
     size = F.count(F.lit(1)).over(by_query)
     rows = rows.withColumn("__n", size)
     order = by_query.orderBy(shuffle_key(F.col("query_id"), F.col("__n"), F.col("doc_id")), F.col("doc_id").cast("string"), "ordinal")
@@ -32,22 +36,6 @@ def sample_queries(queries: DataFrame, count: int, seed: int = 0) -> DataFrame:
     return queries.orderBy(shuffle_key(F.lit(seed), F.col("query_id")), "query_id").limit(count)
 
 
-def exact_sample(ids: list[str], count: int, seed: int = 0) -> list[str]:
-    """The sample that ``random.Random(seed)`` draws of a bounded list of ids."""
-    import random
-
-    return list(ids) if count >= len(ids) else random.Random(seed).sample(list(ids), count)
-
-
-def exact_shuffle(ids: list[str], seed: str) -> list[str]:
-    """The order that ``random.Random(seed)`` gives a bounded list."""
-    import random
-
-    out = list(ids)
-    random.Random(seed).shuffle(out)
-    return out
-
-
 #: Buckets of the hash ring that places are numbered in (the highest bits of a place).
 RING_BITS = 12
 

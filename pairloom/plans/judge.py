@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import answers, bootstrap, classify, lexical, pools, quality, ranking, routes
+from pairloom.operators import answers, bootstrap, classify, lexical, pools, quality, ranking, routes, streams
 from pairloom.operators.registry import Registry, Route, in_rank_order
 from pairloom.sources import runs
 
@@ -94,7 +94,7 @@ def dilution_difference(path: str, spark: SparkSession, samples: int, seed: int,
         return None
     pairs = runs.load_pairs(spark, path).filter(F.col("dataset") == "dilution").filter(F.col("doc_id").startswith(F.col("query_id")))
     a, b = (pairs.filter(F.col("route") == r) for r in (first, second))
-    draws = bootstrap.exact_draws(a, samples, seed)
+    draws = streams.exact_draws(a, samples, seed)
     by_query = [classify.per_query(x, "pr_auc").select("query_id", "value") for x in (a, b)]
     means = [x.agg(F.avg("value")).first()[0] for x in by_query]
     points = [classify.judge_metrics(x, True).first()["pr_auc"] for x in (a, b)]

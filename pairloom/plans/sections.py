@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators import bootstrap, classify, curves, ranking
+from pairloom.operators import bootstrap, classify, curves, ranking, streams
 
 from .report import PERCENT, POINTS, THREE, TWO, grid
 
@@ -39,7 +39,7 @@ class Dataset:
 
     def _draws(self, a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.select("query_id").join(b.select("query_id").distinct(), "query_id", "left_semi")
-        return bootstrap.exact_draws(both, self.samples, self.seed)
+        return streams.exact_draws(both, self.samples, self.seed)
 
     def interval(self, first: str, second: str, metric: str) -> dict:
         a, b = self.of(first), self.of(second)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom import schema
 from pairloom.functions.text import passage_text
+from pairloom.operators import streams
 from pairloom.operators.pools import capped_candidates, shuffle_key
 
 
@@ -18,17 +19,17 @@ def in_file_order() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
-def read_flat(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def read_flat(spark: SparkSession, path: str, cap: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Queries and candidates of flat Parquet rows, in file order; the last question and answers of a query win."""
     rows = spark.read.schema(schema.FLAT).parquet(path)
-    return flat_queries(rows.select("*", in_file_order().alias("ordinal")), cap)
+    return flat_queries(rows.select("*", in_file_order().alias("ordinal")), cap, exact)
 
 
-def flat_queries(rows: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def flat_queries(rows: DataFrame, cap: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """``rows``: FLAT and ordinal. Queries without a relevant passage are dropped."""
     queries = rows.groupBy(F.col("q_id").alias("query_id")).agg(F.max_by("question", "ordinal").alias("question"), F.max_by("answers", "ordinal").alias("answers"), F.min("ordinal").alias("first"), F.sum("label").alias("relevant")).filter("relevant > 0").drop("relevant")
     candidates = rows.select(F.col("q_id").alias("query_id"), F.col("passage_row_id").alias("doc_id"), "ordinal", "title", "text", "label")
-    return queries, capped_candidates(candidates, cap)
+    return queries, capped_candidates(candidates, cap, exact)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +47,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(base), ["file", "block"]).select((F.col("base") + F.col("n")).cast("int").alias("at"), "line")
 
 
-def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """JSON lines: question, answer, positive and negative texts.
 
-    Ids count the non-blank lines, those dropped for want of a positive included.
+    Ids count the non-blank lines, those dropped for want of a positive included. ``exact``: candidates in
+    the order of Python's ``random``, seeded by the query's id; else in hash order.
     """
     lines = numbered_lines(spark, path)
     rows = lines.select("at", F.from_json("line", schema.JSONL).alias("r")).select("at", "r.*")
@@ -58,7 +60,7 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     texts = F.concat(F.transform("positive", lambda t: F.struct(t.alias("text"), F.lit(1).alias("label"))), F.transform(F.coalesce("negative", F.expr("cast(array() as array<string>)")), lambda t: F.struct(t.alias("text"), F.lit(0).alias("label"))))
     flat = numbered.select("query_id", F.posexplode(texts).alias("i", "c"))
     candidates = flat.select("query_id", F.concat("query_id", F.format_string("-c%02d", "i")).alias("doc_id"), F.col("i").cast("long").alias("ordinal"), F.col("c.text").alias("text"), F.col("c.label").alias("label"))
-    return queries, hash_shuffled(candidates)
+    return queries, streams.exact_shuffled(candidates, [F.asc("ordinal")], with_size=False) if exact else hash_shuffled(candidates)
 
 
 def hash_shuffled(candidates: DataFrame, seed: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import bootstrap, draws, classify, curves, ranking, weighted
+from pairloom.operators import bootstrap, classify, curves, draws, pools, ranking, scan, streams, weighted
 
 SCHEMA = "dataset string, route string, query_id string, doc_id string, ordinal long, label int, score double"
 
@@ -37,9 +37,10 @@ def brute_auc(rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("ranges", [1, 5, 64])
-def test_curve_metrics_match_brute_force(spark, seed, ranges):
+def test_curve_metrics_match_brute_force(spark, monkeypatch, seed, ranges):
     rows = random_rows(seed)
-    points = curves.curve(frame(spark, rows), ["route"], ranges=ranges)
+    monkeypatch.setattr(scan, "RANGE_ROWS", max(1, len(rows) // ranges))
+    points = curves.curve(frame(spark, rows), ["route"], small=ranges == 1)
     assert curves.average_precision(points, ["route"]).first()["pr_auc"] == pytest.approx(brute_ap(rows))
     assert curves.roc_auc(points, ["route"]).first()["roc_auc"] == pytest.approx(brute_auc(rows))
     best = max(((2 * k / (len(kept) + p), -s) for s in {s for *_, s in rows} for kept in [[y for _, y, x in rows if x >= s]] for k, p in [(sum(kept), sum(y for _, y, _ in rows))]))
@@ -101,7 +102,7 @@ def test_exact_bootstrap_equals_copied_rows(spark):
     a, b = random_rows(5), random_rows(5)
     b = [(q, y, 1 - s) for q, y, s in b]
     ids = sorted({q for q, *_ in a})
-    drawn = bootstrap.exact_draws(frame(spark, a), 8, 3)
+    drawn = streams.exact_draws(frame(spark, a), 8, 3)
     got = bootstrap.paired_bootstrap(frame(spark, a), frame(spark, b), drawn, "pr_auc").first()
     rng, diffs = np.random.default_rng(3), []
     for _ in range(8):
@@ -186,7 +187,7 @@ def test_a_metric_of_ones_own(spark):
     poor = frame(spark, [r for q in range(20) for r in ((f"q{q}", 1, 0.1), (f"q{q}", 0, 0.9))])
     got = bootstrap.bootstrap_by_metric(good, poor, draws.tree_draws(good, 30), lambda rows, keys: classify.mean_per_query(rows, "pr_auc", keys)).first()
     assert tuple(got) == (0.5, 0.5, 0.5, 30, 20)
-    pooled = lambda rows, keys: curves.average_precision(curves.curve(rows, keys, F.col("weight"), ranges=1), keys, "value")
+    pooled = lambda rows, keys: curves.average_precision(curves.curve(rows, keys, F.col("weight"), small=True), keys, "value")
     a, b = frame(spark, random_rows(5)), frame(spark, [(q, y, 1 - s) for q, y, s in random_rows(5)])
     drawn = draws.tree_draws(a, 12)
     own = bootstrap.bootstrap_by_metric(a, b, drawn, pooled).first()
@@ -209,3 +210,88 @@ def test_empty_pairs(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert curves.average_precision(curves.curve(none, ["route"]), ["route"]).count() == 0
     assert classify.judge_metrics(none, True).count() == 0
+
+
+# --- scans and exact streams ---
+
+
+@pytest.mark.parametrize("rows_a_range", [7, 1000])
+def test_running_totals_numbers_and_quantiles(spark, rows_a_range):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.choice([rng.random(), 0.5, None])) for g in ("a", "b") for k in range(150)]
+    table = spark.createDataFrame(rows, "g string, k long, v double").repartition(4)
+    got = scan.running_total(table.drop("v").withColumn("one", F.col("k") * 2), ["g"], "k", "one", "before", rows_a_range).collect()
+    assert len(got) == 300 and all(r["before"] == r["k"] * (r["k"] - 1) for r in got)
+    for p in (0.0, 0.3, 0.5, 1.0):
+        found = {r["g"]: r["q"] for r in scan.quantile(table, ["g"], "v", p, "q", rows_a_range).collect()}
+        assert found == {g: pytest.approx(np.percentile([v for h, _, v in rows if h == g and v is not None], 100 * p)) for g in ("a", "b")}
+    ids = spark.createDataFrame([(x,) for x in ["b", "a", "é", "\U0001f600", "B", "a"] + [f"q{k}" for k in range(90)]], "query_id string")
+    numbers = {r["query_id"]: r["at"] for r in scan.numbered_in_order(ids, rows_a_range=rows_a_range).collect()}
+    assert sorted(numbers, key=numbers.get) == sorted(numbers) and sorted(numbers.values()) == list(range(95))
+
+
+def test_curve_plan_has_no_cartesian_product(spark, capsys):
+    rows = frame(spark, random_rows(1)).withColumn("dataset", F.lit("d")).withColumn("route", F.lit("r"))
+    curves.curve(rows, ["dataset", "route"]).explain()
+    assert "Cartesian" not in capsys.readouterr().out
+
+
+def test_exact_random_scores_equal_the_plain_loop(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(scan, "RANGE_ROWS", 5)
+    monkeypatch.setattr(streams, "HELD", 40)
+    rng = random.Random(8)
+    rows = [(f"q{q}", 10 * q + k, int(rng.random() < 0.4)) for q in rng.sample(range(40), 40) for k in range(rng.randint(1, 9))]
+    gen, values = np.random.default_rng(11), []
+    for q in sorted({int(q[1:]) for q, *_ in rows}):
+        labels = [y for p, _, y in sorted(rows, key=lambda r: r[1]) if p == f"q{q}"]
+        if 0 < sum(labels) < len(labels):
+            values.append(np.mean([brute_ap([(q, y, s) for y, s in zip(labels, gen.random(len(labels)), strict=True)]) for _ in range(20)]))
+    got = streams.exact_random_query_pr_auc(spark.createDataFrame(rows, "query_id string, ordinal long, label int").repartition(5), 20, 11).first()
+    assert got["queries"] == len(values) and abs(got["value"] - np.mean(values)) < 1e-12
+
+
+@pytest.mark.parametrize("n, samples, stretch", [(1, 4, 64), (2, 9, 64), (3, 50, 64), (1000, 12, 1024), (10_000, 3, 4096)])
+def test_exact_draws_equal_the_plain_loop(spark, monkeypatch, n, samples, stretch):
+    import numpy as np
+
+    monkeypatch.setattr(streams, "STRETCH", stretch)
+    ids = sorted(f"id {k}" for k in range(n))
+    drawn = streams.exact_draws(spark.createDataFrame([(x,) for x in ids], "query_id string"), samples, 6)
+    got = {(r["sample"], r["query_id"]): r["weight"] for r in drawn.rows().collect()}
+    gen, want = np.random.default_rng(6), {}
+    for s in range(samples):
+        for i in gen.integers(0, n, n):
+            want[s, ids[i]] = want.get((s, ids[i]), 0) + 1
+    assert got == want
+
+
+def test_words_are_passed_over_as_numpy_does():
+    import numpy as np
+
+    n = 3_000_000_000  # three words in ten are passed over
+    want = np.random.default_rng(2).integers(0, n, 5000)
+    assert (streams._accepted(2, 0, n)[:5000] == want).all()
+
+
+def test_exact_orders_equal_pythons(spark):
+    rows = [(f"q{q}", f"d{k * 7 % 11}", k, int(k % 3 == 0)) for q in range(6) for k in range(q + 2)]
+    table = spark.createDataFrame(rows, "query_id string, doc_id string, ordinal long, label int").repartition(3)
+    got = {q: [r["doc_id"] for r in sorted(streams.exact_shuffled(table, [F.asc("ordinal")], False).filter(F.col("query_id") == q).collect(), key=lambda r: r["position"])] for q in ("q0", "q5")}
+    for q, found in got.items():
+        want = [d for p, d, *_ in rows if p == q]
+        random.Random(q).shuffle(want)
+        assert found == want
+    capped = pools.capped_candidates(table, 4, exact=True).collect()
+    for q in range(6):
+        own = [r for r in rows if r[0] == f"q{q}"]
+        own = sorted(([r for r in own if r[3]] + [r for r in own if not r[3]])[:4], key=lambda r: r[1])
+        random.Random(f"q{q}:{len(own)}").shuffle(own)
+        assert [r["doc_id"] for r in sorted((r for r in capped if r["query_id"] == f"q{q}"), key=lambda r: r["position"])] == [r[1] for r in own]
+    for count in (3, 6, 9):
+        got = sorted(streams.exact_sample(table.withColumn("first", F.substring("query_id", 2, 9).cast("int")), "first", count, 4).collect(), key=lambda r: r["position"])
+        ids = [f"q{k}" for k in range(6)]
+        assert [r["query_id"] for r in got] == (ids if count >= 6 else random.Random(4).sample(ids, count))
