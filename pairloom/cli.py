@@ -55,8 +55,8 @@ def services(spark: SparkSession, a: argparse.Namespace) -> registry.Registry:
         return registry.offline(_scripted(spark, a), vectors)
     ask = _connect(a, "/questions")
     parts = {
-        "scorer": lambda: scorers.noul_scorer(ask, prompts.RELEVANT, a.model),
-        "plain": lambda: scorers.noul_scorer(ask, prompts.RELEVANT_PLAIN, a.model),
+        "scorer": lambda: scorers.probability_scorer(ask, prompts.RELEVANT, a.model),
+        "plain": lambda: scorers.probability_scorer(ask, prompts.RELEVANT_PLAIN, a.model),
         "grader": lambda: scorers.grade_scorer(ask, prompts.GRADE, a.model),
         "chooser": lambda: lambda pool: scorers.choice_scorer(pool, ask, prompts.BETTER, a.model),
         "reranker": lambda: scorers.reranker(_connect(a, "/rerank"), a.model),
@@ -69,10 +69,10 @@ def checks(a: argparse.Namespace) -> dict:
     if not a.url:
         return dict.fromkeys(("scorer", "reranker", "generator"), lambda: "offline") | ({"vectors": lambda: a.vectors} if a.vectors else {})
     question = {"ok": prompts.RELEVANT_PLAIN | {"instructions": "Is the passage at candidates[0].text relevant to the query?"}}
-    state = {"query": "the red planet", "candidates": [{"text": "Mars is called the red planet."}]}
+    state = {"query": "boiling point of water", "candidates": [{"text": "At sea level water boils at 100 degrees Celsius."}]}
     small = {
         "scorer": ("/questions", {"model": a.model, "state": state, "questions": question}),
-        "reranker": ("/rerank", {"model": a.model, "query": "the red planet", "documents": ["Mars"]}),
+        "reranker": ("/rerank", {"model": a.model, "query": "boiling point of water", "documents": ["100 degrees"]}),
         "generator": ("/answers", {"model": a.model, "system": prompts.ANSWER, "prompt": "# Passages\n\n# Question\nready?", "max_tokens": 64}),
     }
     found = {name: lambda at=at, body=body: client.ask(_connect(a, at)(), body) for name, (at, body) in small.items()}
@@ -209,11 +209,9 @@ def _diluted(spark: SparkSession, path: str, samples: int, seed: int) -> tuple[l
 
 def report_judge(spark: SparkSession, path: str, datasets: list[str], first: str, second: str, samples: int, seed: int, plain: str = "pointwise_plain", dilution_path: str | None = None) -> str:
     """Every section of the saved datasets, in the order given; raises where none is saved."""
-    sets = []
-    for name in runs.datasets(spark, path, datasets):
-        sets.append(sections.Dataset(name, runs.load_pairs(spark, path).filter(F.col("dataset") == name), samples, seed))
     diluted = _diluted(spark, dilution_path, samples, seed) if dilution_path and runs.exists(spark, dilution_path) else None
-    return report.report(sections.judge_sections(sets, first, second, plain, diluted))
+    found = runs.datasets(spark, path, datasets)
+    return report.report(sections.judge_sections(runs.load_pairs(spark, path), found, first, second, plain, samples, seed, diluted))
 
 
 def report_ranks(spark: SparkSession, a: argparse.Namespace) -> int:

@@ -82,7 +82,7 @@ def in_rank_order(scored: DataFrame) -> DataFrame:
 
 def offline(scripted: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> Registry:
     """Every service played from a table: question_id, and value, grade or winner where there is one."""
-    nouls = scripted.filter("value is not null")
+    probabilities = scripted.filter("value is not null")
 
     def listed(lists: DataFrame) -> DataFrame:
         by_size = F.array_sort(F.transform("documents", lambda d, i: F.struct((-F.length(d)).alias("k"), i.alias("i"))))
@@ -90,8 +90,8 @@ def offline(scripted: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = N
         return lists.select("query_id", results.alias("results"), F.lit(None).cast("string").alias("error"))
 
     parts = {
-        "scorer": lambda: lambda asked: routes.offline_noul(asked, nouls),
-        "plain": lambda: lambda asked: routes.offline_noul(asked, nouls),
+        "scorer": lambda: lambda asked: routes.offline_probability(asked, probabilities),
+        "plain": lambda: lambda asked: routes.offline_probability(asked, probabilities),
         "grader": lambda: lambda asked: routes.offline_score(asked, scripted.filter("grade is not null").select("question_id", F.col("grade").alias("value"))),
         "chooser": lambda: lambda pool: lambda asked: routes.offline_choice(asked, scripted.filter("winner is not null"), ("a", "b")),
         "reranker": lambda: listed,

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import cosine
+from pairloom.schema import PROBABILITY
 
 from . import budget, lexical, pairwise, ranking
 
 #: Names of the routes; those that end in probabilities are calibrated (fixed values).
 ROUTES = ("embedding", "hosted_rerank", "pointwise", "pointwise_plain", "crossencode", "pairwise", "hybrid", *("length", "term_overlap", "bm25"))
 PROBABILISTIC = ("pointwise", "pointwise_plain", "crossencode", "pairwise", "hybrid")
-CONFIDENCE, DEFAULT_NOUL, LEVELS = 0.9, 0.5, 4
+CONFIDENCE, DEFAULT_PROBABILITY, LEVELS = 0.9, 0.5, 4
 KEY = ["query_id", "ordinal", "doc_id", "label"]
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -30,14 +31,14 @@ def embedding(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) ->
     return rows.select(*KEY, cosine(F.col("query_vector"), F.col("vector")).alias("score"))
 
 
-def offline_noul(asked: DataFrame, scripted: DataFrame, default: float = DEFAULT_NOUL) -> DataFrame:
+def offline_probability(asked: DataFrame, scripted: DataFrame, default: float = DEFAULT_PROBABILITY) -> DataFrame:
     """``asked`` with ``value``: the scripted one of question_id, or the default."""
     return asked.join(scripted.select("question_id", F.col("value").alias("__v")), "question_id", "left").withColumn("value", F.coalesce("__v", F.lit(default))).drop("__v")
 
 
 def offline_score(asked: DataFrame, scripted: DataFrame) -> DataFrame:
     """``asked`` with ``score``: the scripted one of question_id, or 0."""
-    return offline_noul(asked, scripted, 0.0).withColumnRenamed("value", "score")
+    return offline_probability(asked, scripted, 0.0).withColumnRenamed("value", "score")
 
 
 def offline_choice(asked: DataFrame, winners: DataFrame, options: tuple[str, ...], confidence: float = CONFIDENCE) -> DataFrame:
@@ -148,7 +149,7 @@ def request_payload(asked: DataFrame, question_col: str = "question") -> DataFra
 
 
 def parse_answers(rows: DataFrame, json_col: str = "answer") -> DataFrame:
-    """Typed answers out of JSON: noul, choice, score or probabilities; an unknown type raises."""
+    """Typed answers out of JSON: probability, choice, score or probabilities; an unknown type raises."""
     x = F.from_json(json_col, "type string, value double, choice string, score double, legend array<string>, probabilities map<string,double>")
-    kind = F.when(x["type"].isin("noul", "choice", "score"), x["type"]).otherwise(F.raise_error(F.concat(F.lit("unknown answer type "), F.coalesce(x["type"], F.lit("none")))))
-    return rows.select("*", kind.alias("type"), F.when(x["type"] == "noul", x["value"]).alias("noul"), F.when(x["type"] == "choice", x["choice"]).alias("choice"), F.when(x["type"] == "score", x["score"]).alias("score"), x["probabilities"].alias("probabilities"))
+    kind = F.when(x["type"].isin(PROBABILITY, "choice", "score"), x["type"]).otherwise(F.raise_error(F.concat(F.lit("unknown answer type "), F.coalesce(x["type"], F.lit("none")))))
+    return rows.select("*", kind.alias("type"), F.when(x["type"] == PROBABILITY, x["value"]).alias("probability"), F.when(x["type"] == "choice", x["choice"]).alias("choice"), F.when(x["type"] == "score", x["score"]).alias("score"), x["probabilities"].alias("probabilities"))

@@ -6,7 +6,6 @@ Metrics are rounded to nine digits on both sides, since sums of doubles differ i
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 from pairloom import schema
 from pairloom.functions import text as T
 from pairloom.functions import vectors
-from pairloom.operators import answers, bootstrap, budget, classify, curves, draws, lexical, pairwise, pools, quality, ranking, registry, routes
+from pairloom.operators import answers, bootstrap, budget, classify, curves, draws, lexical, pairwise, pools, quality, ranking, registry, routes, streams
 from pairloom.plans import judge
-from pairloom.services import client, fake, prompts, scorers
+from pairloom.services import prompts
 from pairloom.sources import bindings as B
 from pairloom.sources import loaders, runs, scratch
 
@@ -605,6 +604,18 @@ def random_query_pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.random_query_pr_auc(B.pairs(spark, sf_dir), RANDOM_DRAWS))
 
 
+@query()
+def random_query_pr_auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by NumPy's one seeded stream, as published: no SQL has that generator."""
+    return streams.exact_random_query_pr_auc(B.pairs(spark, sf_dir), RANDOM_DRAWS)
+
+
+@query()
+def bootstrap_mean_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of means by NumPy's own draws."""
+    return bootstrap.bootstrap_mean_diff(*_means(spark, sf_dir), streams.exact_draws(B.pairs_c(spark, sf_dir), SAMPLES))
+
+
 _CORRECT = "correct AS (SELECT user_id AS q, count_if(event_type = 'purchase') > 12 AS a, count_if(event_type = 'click') > 12 AS b, CASE WHEN user_id % 10 = 3 THEN 'failed' END AS error FROM events GROUP BY user_id)"
 
 
@@ -716,7 +727,7 @@ def context_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offline_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = B.table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("question_id"))
     scripted = asked.filter("event_id % 3 = 0").select("question_id", ((F.col("event_id") % 100) / 100.0).alias("value"))
-    return routes.offline_noul(asked, scripted).select("event_id", "value")
+    return routes.offline_probability(asked, scripted).select("event_id", "value")
 
 
 @query("SELECT e.event_id, coalesce(CAST(l.quality AS DOUBLE), 0) AS score FROM events e LEFT JOIN labels l ON e.event_id = l.doc_id")
@@ -727,19 +738,19 @@ def answers_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scripted(asked: DataFrame) -> DataFrame:
     known = asked.filter(F.col("ordinal") % 5 != 0).select("question_id", ((F.col("ordinal") * 37 % 101) / 100.0).alias("value"))
-    return routes.offline_noul(asked, known)
+    return routes.offline_probability(asked, known)
 
 
-_NOUL = "CASE WHEN ordinal % 5 <> 0 THEN (ordinal * 37 % 101) / 100.0::DOUBLE ELSE 0.5 END"
+_PROBABILITY = "CASE WHEN ordinal % 5 <> 0 THEN (ordinal * 37 % 101) / 100.0::DOUBLE ELSE 0.5 END"
 _FITS = f"cost AS (SELECT *, {_COST} AS cost FROM pool), used AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY ordinal) AS used FROM cost), fits AS (SELECT query_id, least(greatest(count_if(used <= 28400), 1), 10) AS size FROM used GROUP BY 1)"
 
 
-@query(f"{B.with_sql('pool')}, {_FITS}, {_pool_in_order()} SELECT c.query_id, c.doc_id, c.label, c.pos // f.size AS batch, c.pos % f.size AS position, {_NOUL} AS score FROM cand c JOIN fits f ON c.query_id = f.query_id")
+@query(f"{B.with_sql('pool')}, {_FITS}, {_pool_in_order()} SELECT c.query_id, c.doc_id, c.label, c.pos // f.size AS batch, c.pos % f.size AS position, {_PROBABILITY} AS score FROM cand c JOIN fits f ON c.query_id = f.query_id")
 def pointwise_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.pointwise(B.pool(spark, sf_dir), _scripted).select("query_id", "doc_id", "label", "batch", "position", "score")
 
 
-@query(f"{B.with_sql('pool')}, s AS (SELECT *, {_NOUL} AS score, (ordinal % 4)::DOUBLE AS grade FROM pool) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grade DESC, ordinal) AS INTEGER) AS rank FROM s")
+@query(f"{B.with_sql('pool')}, s AS (SELECT *, {_PROBABILITY} AS score, (ordinal % 4)::DOUBLE AS grade FROM pool) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grade DESC, ordinal) AS INTEGER) AS rank FROM s")
 def crossencode_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = lambda rows: rows.select("question_id", (F.col("ordinal") % 4).cast("double").alias("score"))
     return routes.crossencode(B.pool(spark, sf_dir), _scripted, grades).select("query_id", "doc_id", "score", "rank")
@@ -755,38 +766,26 @@ def score_fusion_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- services, answers and dilution ----------------------------------------------------------------
 
 
-def _by_number(**how: object) -> Callable[[], fake.ByNumber]:
-    return partial(fake.ByNumber, **how)
-
-
-@query(f"""{B.with_sql('pool')}, {_FITS}, {_pool_in_order()} SELECT c.query_id, c.doc_id, c.label, c.pos // f.size AS batch, c.pos % f.size AS position, (ordinal % 101) / 100.0::DOUBLE AS score
-    FROM cand c JOIN fits f ON c.query_id = f.query_id WHERE NOT starts_with(c.query_id, 'q7')""")
-def service_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests over a played service: busy at first, and refusing a few queries, which have no rows then."""
-    scorer = scorers.noul_scorer(_by_number(refused="q7", broken=1), prompts.RELEVANT, retry=client.Retry(wait=0))
-    return routes.pointwise(B.pool(spark, sf_dir), scorer).select("query_id", "doc_id", "label", "batch", "position", "score")
-
-
 @query(f"""{B.with_sql('pool')}, {_pool_in_order()} SELECT query_id, pos // 10 AS batch, md5('{{"query":' || to_json(question)::VARCHAR || ',"candidates":[' || string_agg('{{"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY pos) || ']}}') AS state_md5
     FROM cand GROUP BY query_id, question, pos // 10""")
 def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.request_payload(budget.request_batches(B.pool(spark, sf_dir), 10)).select("query_id", "batch", F.md5("state").alias("state_md5"))
 
 
-_SAID = """said AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"type": "noul", "value": ' || (event_id % 100) / 100.0::DOUBLE || '}'
-  WHEN 1 THEN '{"type": "choice", "choice": "' || event_type || '", "probabilities": {"a": 0.25, "b": 0.75}}' ELSE '{"type": "score", "score": ' || (event_id % 4) || ', "legend": ["x"]}' END AS answer FROM events)"""
+_SAID = """said AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"type": "PROBABILITY", "value": ' || (event_id % 100) / 100.0::DOUBLE || '}'
+  WHEN 1 THEN '{"type": "choice", "choice": "' || event_type || '", "probabilities": {"a": 0.25, "b": 0.75}}' ELSE '{"type": "score", "score": ' || (event_id % 4) || ', "legend": ["x"]}' END AS answer FROM events)""".replace("PROBABILITY", schema.PROBABILITY)
 
 
-@query(f"""WITH {_SAID} SELECT event_id, json_extract_string(answer, '$.type') AS type, CASE WHEN event_id % 3 = 0 THEN (answer ->> '$.value')::DOUBLE END AS noul, CASE WHEN event_id % 3 = 1 THEN answer ->> '$.choice' END AS choice,
+@query(f"""WITH {_SAID} SELECT event_id, json_extract_string(answer, '$.type') AS type, CASE WHEN event_id % 3 = 0 THEN (answer ->> '$.value')::DOUBLE END AS probability, CASE WHEN event_id % 3 = 1 THEN answer ->> '$.choice' END AS choice,
     CASE WHEN event_id % 3 = 2 THEN (answer ->> '$.score')::DOUBLE END AS score, (answer ->> '$.probabilities.b')::DOUBLE AS b FROM said""")
 def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = B.table(spark, sf_dir, "events"), F.col("event_id")
-    noul = F.to_json(F.struct(F.lit("noul").alias("type"), ((k % 100) / 100.0).alias("value")))
+    sure = F.to_json(F.struct(F.lit(schema.PROBABILITY).alias("type"), ((k % 100) / 100.0).alias("value")))
     options = F.create_map(F.lit("a"), F.lit(0.25), F.lit("b"), F.lit(0.75))
     choice = F.to_json(F.struct(F.lit("choice").alias("type"), F.col("event_type").alias("choice"), options.alias("probabilities")))
     score = F.to_json(F.struct(F.lit("score").alias("type"), (k % 4).alias("score"), F.array(F.lit("x")).alias("legend")))
-    rows = e.select("event_id", F.when(k % 3 == 0, noul).when(k % 3 == 1, choice).otherwise(score).alias("answer"))
-    return routes.parse_answers(rows).select("event_id", "type", "noul", "choice", "score", F.try_element_at("probabilities", F.lit("b")).alias("b"))
+    rows = e.select("event_id", F.when(k % 3 == 0, sure).when(k % 3 == 1, choice).otherwise(score).alias("answer"))
+    return routes.parse_answers(rows).select("event_id", "type", "probability", "choice", "score", F.try_element_at("probabilities", F.lit("b")).alias("b"))
 
 
 _LISTED = "listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, pos) AS rank FROM cand)"
@@ -856,6 +855,25 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.hash_shuffled(B.pairs(spark, sf_dir), F.lit(3)).select("query_id", "doc_id", "position")
 
 
+@query()
+def sample_queries_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample that Python's ``random`` draws; no SQL has that generator."""
+    return streams.exact_sample(B.pairs(spark, sf_dir), "ordinal", 25, 7)
+
+
+@query()
+def group_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped pools in the order of Python's ``random``, seeded by query and size."""
+    return pools.capped_candidates(B.pairs(spark, sf_dir), 60, exact=True).select("query_id", "doc_id", "label", "position")
+
+
+@query()
+def jsonl_source_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with candidates in the order of Python's ``random``, seeded by the query."""
+    _, candidates = loaders.read_jsonl(spark, _chat_lines(spark, sf_dir, scratch.folder(spark, "chats_exact")), exact=True)
+    return candidates.select("query_id", "doc_id", "label", F.md5("text").alias("text_md5"), "position")
+
+
 _RING = """own AS (SELECT query_id, count(*) AS own, CAST('0x' || substr(md5('5:query:' || query_id), 1, 8) AS BIGINT) AS start FROM pool GROUP BY 1),
 ring AS (SELECT query_id AS of_, doc_id, CAST('0x' || substr(md5('5:doc:' || query_id || ':' || doc_id), 1, 8) AS BIGINT) AS pos FROM pool),
 drawn AS (SELECT o.query_id, r.doc_id, row_number() OVER (PARTITION BY o.query_id ORDER BY (r.pos - o.start + 4294967296) % 4294967296, r.doc_id, r.of_) AS n, o.own FROM own o JOIN ring r ON r.of_ <> o.query_id)"""
@@ -962,11 +980,11 @@ def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "doc_id", "label", F.md5("text").alias("text_md5"), F.md5("question").alias("question_md5"), "position")
 
 
-@query("""SELECT 'item ' || item_id AS q, item_id::VARCHAR || chr(9) || '"' || text || '"' AS text FROM benchmark WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13))
+@query("""SELECT 'item ' || item_id AS q, item_id::VARCHAR || chr(9) || '"' || text || '"' AS text FROM benchmark
     UNION ALL SELECT 'name ' || c_custkey, c_name FROM customer""")
 def tsv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics with quotes and tabs inside quoted fields, and plain ones."""
-    items = B.table(spark, sf_dir, "benchmark").filter(~F.col("text").rlike(r"[\n\r]"))
+    """Topics with quotes, tabs and line breaks inside quoted fields, and plain ones."""
+    items = B.table(spark, sf_dir, "benchmark")
     inner = F.concat(F.col("item_id").cast("string"), F.lit('\t"'), "text", F.lit('"'))
     quoted = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit('\t"'), F.replace(inner, F.lit('"'), F.lit('""')), F.lit('"'))
     plain = F.concat(F.lit("name "), F.col("c_custkey").cast("string"), F.lit("\t"), "c_name")
@@ -1081,11 +1099,11 @@ def _judged_sql(name: str, source: str, sure: bool) -> str:
     return ", ".join((rows, curve_, by_query, row))
 
 
-_ROUTED = f"""noul AS (SELECT *, {_NOUL} AS score FROM pool), by_length AS (SELECT query_id, ordinal, label, CAST(length(text) AS DOUBLE) AS score FROM pool)"""
+_ROUTED = f"""sure AS (SELECT *, {_PROBABILITY} AS score FROM pool), by_length AS (SELECT query_id, ordinal, label, CAST(length(text) AS DOUBLE) AS score FROM pool)"""
 
 
 @query(f"""{B.with_sql('pool')}, {_ROUTED}, {_OVERLAP}, {_BM25}, ov AS (SELECT query_id, doc_id AS ordinal, label, score FROM overlap), bm AS (SELECT query_id, doc_id AS ordinal, label, score FROM bm25),
-{_judged_sql('a', 'by_length', False)}, {_judged_sql('b', 'ov', False)}, {_judged_sql('c', 'noul', True)}, {_judged_sql('d', 'by_length', False)}
+{_judged_sql('a', 'by_length', False)}, {_judged_sql('b', 'ov', False)}, {_judged_sql('c', 'sure', True)}, {_judged_sql('d', 'by_length', False)}
 SELECT 'length' AS route, * FROM a_row UNION ALL SELECT 'term_overlap', * FROM b_row UNION ALL SELECT 'pointwise@5', * FROM c_row UNION ALL SELECT 'hosted_rerank', * FROM d_row""")
 def judge_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judging run: baselines and two routes scored, saved and measured. BM25's own query holds its scores."""
@@ -1102,7 +1120,7 @@ def _summary_sql(name: str, source: str, k: int) -> str:
 {name}_row AS (SELECT count(*) AS n, round(avg(ndcg), 9) AS mean_ndcg, round(avg(mrr), 9) AS mean_mrr, round(avg(recall), 9) AS mean_recall, round(coalesce(stddev_samp(ndcg) / sqrt(count(*)), 0), 9) AS stderr_ndcg, round(coalesce(stddev_samp(mrr) / sqrt(count(*)), 0), 9) AS stderr_mrr, round(coalesce(stddev_samp(recall) / sqrt(count(*)), 0), 9) AS stderr_recall FROM {name}_s)"""
 
 
-@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'noul', 10)}, {_summary_sql('d', 'by_length', 10)} SELECT 'pointwise@5' AS route, * FROM c_row UNION ALL SELECT 'hosted_rerank', * FROM d_row")
+@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'sure', 10)}, {_summary_sql('d', 'by_length', 10)} SELECT 'pointwise@5' AS route, * FROM c_row UNION ALL SELECT 'hosted_rerank', * FROM d_row")
 def route_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes over the same pools, each saved when it is done, and the rank metrics of what is saved."""
     pool, found = _played(spark, sf_dir)
@@ -1112,19 +1130,13 @@ def route_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.drop("dataset"))
 
 
-@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'noul', 10)} SELECT s.route, c_row.* FROM c_row, (VALUES ('pointwise@1'), ('pointwise@5'), ('pointwise@10')) s(route)")
+@query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'sure', 10)} SELECT s.route, c_row.* FROM c_row, (VALUES ('pointwise@1'), ('pointwise@5'), ('pointwise@10')) s(route)")
 def route_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same route by candidates a request; scripted answers don't depend on the request."""
     pool, _ = _played(spark, sf_dir)
     known = pool.filter("ordinal % 5 <> 0").select(F.concat_ws("/", "query_id", "doc_id").alias("question_id"), ((F.col("ordinal") * 37 % 101) / 100.0).alias("value"))
-    found = judge.sweep(registry.Registry(scorer=lambda: lambda asked: routes.offline_noul(asked, known)), [1, 5, 10])
+    found = judge.sweep(registry.Registry(scorer=lambda: lambda asked: routes.offline_probability(asked, known)), [1, 5, 10])
     rows, errors = judge.evaluate(spark, pool, found, scratch.folder(spark, "swept"), "pool")
     if errors:
         raise RuntimeError(str(errors))
     return rounded(rows.drop("dataset"))
-
-
-@query("SELECT range::INTEGER AS status, range IN (408, 409, 425, 429) OR range >= 500 AS again FROM range(100, 600)")
-def retry_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = {n: client.should_retry(n) for n in range(100, 600)}
-    return spark.createDataFrame(list(said.items()), "status int, again boolean")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+#: The services' name of an answer that is a probability: its type, and the field that holds it (a fixed value).
+PROBABILITY = "noul"
 #: Scored pairs: ``ordinal`` is the input order, which breaks ties everywhere.
 PAIRS = "dataset string, route string, query_id string, doc_id string, ordinal long, label int, score double"
 CANDIDATES = "query_id string, ordinal long, doc_id string, title string, text string, label int"
@@ -16,4 +18,4 @@ QRELS = "q string, iter string, docid string, rel int"
 TOPICS = "q string, text string"
 CORPUS = "docid string, title string, text string"
 #: Answers of a scorer: one of the value columns is set, by ``type``.
-ANSWERS = "question_id string, type string, noul double, choice string, score double, probabilities map<string,double>"
+ANSWERS = f"question_id string, type string, {PROBABILITY} double, choice string, score double, probabilities map<string,double>"

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 
+from pairloom.schema import PROBABILITY
+
 RELEVANT = {
-    "type": "noul",
-    "instructions": "Does the passage at {path} hold what is needed to answer the query?",
+    "type": PROBABILITY,
+    "instructions": "Could someone who reads only the passage at {path} settle the query, or a part of it?",
     "criteria": {
-        "true": "It states a fact that the answer rests on, even if it is a part of it.",
-        "false": "It is about the same subject, or shares words with the query, without such a fact.",
+        "true": "Something that settles the query or a part of it can be quoted from the passage.",
+        "false": "Nothing in it can be quoted for that, whatever its subject or wording.",
     },
 }
-RELEVANT_PLAIN = {"type": "noul", "instructions": "Is the passage at {path} relevant to the query?", "criteria": {}}
+RELEVANT_PLAIN = {"type": PROBABILITY, "instructions": "Is the passage at {path} relevant to the query?", "criteria": {}}
 GRADE = {
     "type": "score",
-    "instructions": "How much does the passage at {path} help to answer the query?",
-    "criteria": ["not at all", "it gives background", "it gives a part of the answer", "it gives the answer"],
+    "instructions": "What could be quoted from the passage at {path} to settle the query?",
+    "criteria": ["nothing", "a hint where to look", "one of several parts", "all of it"],
 }
 BETTER = {
     "type": "choice",
@@ -24,8 +26,9 @@ BETTER = {
     "criteria": {"a": "The one at {left}.", "b": "The one at {right}."},
 }
 ANSWER = (
-    "Answer the question from the passages below and from nothing else. Give only the name or value asked for, "
-    "once, between <answer> and </answer>. If the passages don't tell, write <answer>unknown</answer>."
+    "You fill in one field of a form. The field's question and some numbered passages follow. Write what belongs in the "
+    "field between <answer> and </answer>: a name, number, date or short phrase that a passage states, without a sentence "
+    "around it. Write <answer>unknown</answer> when no passage states it."
 )
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import estimate_tokens
 from pairloom.operators import budget, routes
+from pairloom.schema import PROBABILITY
 
 from .client import Retry, Transport, served
 
-ANSWER = "struct<type:string,noul:double,choice:string,score:double,probabilities:map<string,double>>"
+ANSWER = f"struct<type:string,{PROBABILITY}:double,choice:string,score:double,probabilities:map<string,double>>"
 
 
 def _question(prompt: dict, **paths: Column) -> Column:
@@ -58,9 +59,9 @@ def answered(asked: DataFrame, connect: Callable[[], Transport], prompt: dict, m
     return rows.select("question_id", F.try_element_at(answers, F.col("question_id")).alias("answer"), "error")
 
 
-def noul_scorer(connect: Callable[[], Transport], prompt: dict, model: str = "default", retry: Retry | None = None) -> routes.Scorer:
+def probability_scorer(connect: Callable[[], Transport], prompt: dict, model: str = "default", retry: Retry | None = None) -> routes.Scorer:
     """A scorer for :func:`routes.pointwise`: question_id, value and error."""
-    return lambda asked: answered(asked, connect, prompt, model, retry=retry).select("question_id", F.col("answer.noul").alias("value"), "error")
+    return lambda asked: answered(asked, connect, prompt, model, retry=retry).select("question_id", F.col(f"answer.{PROBABILITY}").alias("value"), "error")
 
 
 def grade_scorer(connect: Callable[[], Transport], prompt: dict, model: str = "default", retry: Retry | None = None) -> routes.Scorer:

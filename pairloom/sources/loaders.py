@@ -10,6 +10,8 @@ from pairloom.functions.text import passage_text
 from pairloom.operators import streams
 from pairloom.operators.pools import capped_candidates, shuffle_key
 
+from .records import records
+
 
 def in_file_order() -> Column:
     """A sort key of rows read from files: file, split, and place in the split.
@@ -70,8 +72,9 @@ def hash_shuffled(candidates: DataFrame, seed: Column | None = None) -> DataFram
 
 
 def read_tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Tab-separated rows without a header; quotes are doubled inside quoted fields."""
-    return spark.read.schema(columns).csv(path, sep="\t", quote='"', escape='"', header=False)
+    """Tab-separated rows without a header; quotes are doubled inside quoted fields, which may hold tabs and line breaks."""
+    parsed = F.from_csv("record", columns, {"sep": "\t", "quote": '"', "escape": '"'})
+    return records(spark, path).select(parsed.alias("r")).select("r.*")
 
 
 def judged_ids(qrels: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
-"""A service played in the process, for tests and for queries that run offline."""
+"""A service played in the process."""
 
 from __future__ import annotations
 
 from typing import Any
 
+from pairloom.schema import PROBABILITY
+
 
 class ByNumber:
     """Answers each question from the number that its id ends in; refuses or breaks where told.
 
-    noul: number % 101 / 100. choice: the first option for an even number. score: number % the
+    A probability: number % 101 / 100. choice: the first option for an even number. score: number % the
     number of levels. ``refused``: a text in a question's id that gives status 400; ``broken``:
     how many of the first requests give status 503.
     """
@@ -28,8 +30,8 @@ class ByNumber:
     def _answer(self, key: str, question: dict[str, Any]) -> dict[str, Any]:
         number = int("".join(c if c.isdigit() else " " for c in key).split()[-1])
         levels = list(question.get("criteria") or ["a", "b"])
-        if question["type"] == "noul":
-            return {"type": "noul", "noul": number % 101 / 100}
+        if question["type"] == PROBABILITY:
+            return {"type": PROBABILITY, PROBABILITY: number % 101 / 100}
         if question["type"] == "score":
             return {"type": "score", "score": float(number % len(levels))}
         won = levels[number % 2]

@@ -7,12 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import schema
 from pairloom.functions import text as T
 from pairloom.functions import vectors
 from pairloom.functions.vectors import cosine
 from pairloom.operators import budget, lexical, pairwise, pools, quality, routes
 from pairloom.plans import judge
-from pairloom.sources import loaders, runs
+from pairloom.sources import loaders, records, runs
 
 
 def test_pair_schedule_properties(spark):
@@ -256,8 +257,8 @@ def test_request_payload_and_answers(spark):
     asked = spark.createDataFrame([("q", 0, 1, "b", "why"), ("q", 0, 0, "a \"x\"", "why"), ("q", 1, 0, "c", "why")], "query_id string, batch int, position int, text string, question string")
     got = {r["batch"]: json.loads(r["state"]) for r in routes.request_payload(asked).collect()}
     assert got[0] == {"query": "why", "candidates": [{"text": 'a "x"'}, {"text": "b"}]} and got[1]["candidates"] == [{"text": "c"}]
-    rows = spark.createDataFrame([('{"type": "noul", "value": 0.5}',), ('{"type": "choice", "choice": "a", "probabilities": {"a": 1}}',)], "answer string")
-    assert [(r["noul"], r["choice"]) for r in routes.parse_answers(rows).collect()] == [(0.5, None), (None, "a")]
+    rows = spark.createDataFrame([('{"type": "%s", "value": 0.5}' % schema.PROBABILITY,), ('{"type": "choice", "choice": "a", "probabilities": {"a": 1}}',)], "answer string")
+    assert [(r["probability"], r["choice"]) for r in routes.parse_answers(rows).collect()] == [(0.5, None), (None, "a")]
     with pytest.raises(Exception, match="unknown answer type"):
         routes.parse_answers(spark.createDataFrame([('{"type": "other"}',)], "answer string")).collect()
 
@@ -292,3 +293,37 @@ def test_runs_resume_by_route(spark, tmp_path):
     assert len(calls) == 1 and got["pointwise"]["pr_auc"] == 1.0 and got["pointwise"]["brier"] is not None and got["bm25"]["brier"] is None
     assert "no service" in got["crossencode"]["error"]
     assert runs.datasets(spark, path, ["x", "d"]) == ["d"]
+
+
+# --- quoted records ---
+
+
+@pytest.mark.parametrize("split", [40, 100_000])
+def test_quoted_records_are_read_over_splits(spark, tmp_path, split):
+    import csv
+
+    rng = random.Random(split)
+    piece = lambda: rng.choice(["plain", "two\nlines", "a\ttab", 'say "so"', "", "\n\n", 'end"', '"', "x" * 90, "\r\nodd", "é\n"])
+    rows = [(f"q{k}", piece() + piece()) for k in range(120)]
+    for part in range(3):
+        with open(tmp_path / f"{part}.tsv", "w", encoding="utf-8", newline="") as f:
+            csv.writer(f, delimiter="\t", lineterminator="\r\n" if part == 1 else "\n").writerows(rows[40 * part : 40 * part + 40])
+    with open(tmp_path / "9.tsv", "w", encoding="utf-8") as f:
+        f.write('size\t5" disk\n\nopen\tplain\n')  # a quote within a field that isn't quoted; a blank line
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = loaders.read_tsv(spark, str(tmp_path), "q string, text string").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = rows + [("size", '5" disk'), ("open", "plain")]
+    assert sorted((r["q"], r["text"] or "") for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("line, outside, inside", [("a\tb", False, True), ('a\t"b', True, False), ('"a""', True, False), ('"a"\t"b', True, True), ('x"', False, False), ('5" disk\tb', False, False), ("", False, True), ('""\t"', True, True)])
+def test_lines_end_inside_quotes(line, outside, inside):
+    assert records.ends_inside(line, False) is outside
+    if line not in ('"a"\t"b', '""\t"'):
+        assert records.ends_inside(line, True) is inside

@@ -83,9 +83,8 @@ def test_sections_are_left_out_where_a_route_is_absent(spark, tmp_path):
     saved(spark, path, {"pointwise": GOOD, "hosted_rerank": POOR})
     saved(spark, path, {"pointwise": GOOD, "pointwise_plain": POOR}, "lone")
     text = cli.report_judge(spark, path, ["small", "lone"], "pointwise", "hosted_rerank", 20, 0)
-    assert "With criteria" not in text and "lone" not in text and "| small (10 queries) |" in text
-    sets = [sections.Dataset("small", runs.load_pairs(spark, path).filter("dataset = 'small'"), 20, 0)]
-    assert sections.order_within_queries(sets, "pointwise", "nothing") == ""
+    assert "With criteria" not in text and "lone" not in text and "| small | pointwise | 10 | 1.000 |" in text
+    assert not any(sections.judge_sections(runs.load_pairs(spark, path), ["small"], "pointwise", "nothing", "none", 20, 0).values())
 
 
 def test_report_fails_where_nothing_is_saved(tmp_path, capsys, spark):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import answers, registry, routes
-from pairloom.services import client, fake, preflight, prompts, scorers
+import played
+from pairloom.services import client, preflight, prompts, scorers
 
 POOL = "query_id string, ordinal long, doc_id string, label int, question string, text string"
 
@@ -139,14 +140,14 @@ def test_requests_hold_every_question_once_and_the_whole_state(spark):
 
 
 def test_pointwise_over_a_service_drops_failed_queries(spark):
-    scorer = scorers.noul_scorer(partial(fake.ByNumber, refused="q2", broken=1), prompts.RELEVANT, retry=client.Retry(wait=0))
+    scorer = scorers.probability_scorer(partial(played.ByNumber, refused="q2", broken=1), prompts.RELEVANT, retry=client.Retry(wait=0))
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in routes.pointwise(pool(spark), scorer).collect()}
     assert len(got) == 15 and {q for q, _ in got} == {"q0", "q1"}
     assert all(s == int(d.partition("-")[2]) / 100 for (_, d), s in got.items())
 
 
 def test_grades_and_choices_over_a_service(spark):
-    connect = partial(fake.ByNumber)
+    connect = partial(played.ByNumber)
     rows = pool(spark, (4,))
     graded = routes.crossencode(rows, lambda asked: asked.select("question_id", F.lit(0.5).alias("value")), scorers.grade_scorer(connect, prompts.GRADE)).orderBy("rank").collect()
     assert [r["doc_id"] for r in graded] == ["d0-3", "d0-2", "d0-1", "d0-0"]
