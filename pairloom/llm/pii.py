@@ -14,6 +14,7 @@ range by cycle walking. A date has one pseudonym in all its layouts; see :meth:`
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from collections.abc import Iterator
 from hashlib import blake2b, shake_256
@@ -116,7 +117,13 @@ def _relaid(layout: str, symbols: str) -> str:
 #: Alphabets that characters are permuted within (fixed values).
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
-_ALL_HEX = re.compile("[0-9a-f]+").fullmatch
+#: Small letters beyond ASCII that have one capital each (fixed values).
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+
+
+def _written(value: str) -> str:
+    """How a secret is written: decimal digits alone, hexadecimal ones, or others."""
+    return "digits" if re.fullmatch("[0-9]+", value) else "hex" if re.fullmatch("[0-9a-f]+", value) else "secret"
 
 
 def _number(day: datetime.date) -> int:
@@ -160,10 +167,13 @@ class Pseudonyms:
     def email(self, x: str) -> str | None:
         low = x.lower()
         head, dot, top = low.rpartition(".")
-        plain = [c for c in head if c in LOWER or c in DIGITS]
-        got = iter(self._symbols("email", "".join(plain), [DIGITS if c in DIGITS else LOWER for c in plain]))
-        new = "".join(next(got) if c in LOWER or c in DIGITS else c for c in head) + dot + top
-        return "".join(n.upper() if c in UPPER else n for n, c in zip(new, x, strict=True)) if len(low) == len(x) else None
+        if len(low) != len(x):
+            return None
+        alphabets = {c: next((a for a in (DIGITS, LOWER, ACCENTED) if c in a), None) for c in set(head)}
+        plain = [c for c in head if alphabets[c]]
+        got = iter(self._symbols("email", "".join(plain), [alphabets[c] for c in plain]))
+        new = "".join(next(got) if alphabets[c] else c for c in head) + dot + top
+        return "".join(n.upper() if c.isupper() else n for n, c in zip(new, x, strict=True))
 
     def card(self, x: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", x)
@@ -187,6 +197,19 @@ class Pseudonyms:
         got = self._permute("ipv4", [int(o) - low[len(o)] for o in octets], [size[len(o)] for o in octets])
         return ".".join(str(v + low[len(o)]) for v, o in zip(got, octets, strict=True))
 
+    def ipv6(self, x: str) -> str | None:
+        """The hexadecimal digits of an address as it is spelled: each group keeps its length."""
+        try:
+            ipaddress.IPv6Address(x)
+        except ValueError:
+            return None
+        groups = [g for g in x.split(":") if g]
+        if len(groups) < 3:  # ::1 is nobody's, and a::b may be code
+            return None
+        got = iter(self._symbols("ipv6", "".join(groups).lower(), [HEX] * sum(map(len, groups))))
+        new = "".join(c if c == ":" else next(got) for c in x)
+        return new.upper() if x.upper() == x else new
+
     def phone(self, x: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", x)
         if not 8 <= len(digits) <= 15:
@@ -211,7 +234,8 @@ class Pseudonyms:
 
         Days after the 12th of a month are permuted among themselves, and the others too. So a
         date's pseudonym is the same day in every layout, and a month-first pseudonym is read as
-        month first again. 03/04/1987 may mean two days; it is always read day first.
+        month first again. 03/04/1987 may mean two days; it is always read day first. A day or month written
+        without a leading zero gets none, so undoing may bring back 03 for 3.
         """
         a, mark, b, _, c = re.fullmatch(r"([0-9]+)([-/.])([0-9]+)([-/.])([0-9]+)", x).groups()
         order, text = ((0, 1, 2) if len(a) == 4 else (2, 1, 0) if int(b) <= 12 else (2, 0, 1)), (a, b, c)
@@ -225,7 +249,7 @@ class Pseudonyms:
         new = _day(at, day.day > 12)
         out = ["", "", ""]
         for k, v in zip(order, (new.year, new.month, new.day), strict=True):
-            out[k] = f"{v:04d}" if k == order[0] else f"{v:02d}"
+            out[k] = f"{v:0{len(text[k])}d}"
         return mark.join(out)
 
     def access(self, x: str) -> str | None:
@@ -234,29 +258,29 @@ class Pseudonyms:
     def secret(self, x: str) -> str | None:
         name = re.match(r"\w+\s*[=:]\s*[\"']?", x)[0]
         value = x[len(name) :]
-        if _ALL_HEX(value):
-            return name + self._symbols("hex", value, [HEX] * len(value))
-        alphabets = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
-        while _ALL_HEX(value := self._symbols("secret", value, alphabets)):
-            pass  # walk on to a value that is read as one of these again
+        kind = _written(value)
+        alphabets = [{"digits": DIGITS, "hex": HEX}.get(kind) or next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
+        while _written(value := self._symbols(kind, value, alphabets)) != kind:
+            pass  # walk on to a value that is written in the same way
         return name + value
 
 
 #: Kinds and their patterns; earlier kinds win.
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("secret", r"(?<!\w)(?i:token|password|passwd|secret|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+    ("secret", r"(?<!\w)(?i:token|password|passwd|secret|api_key|apikey)\s*[=:]\s*[\"']?(?:[A-Za-z0-9+/_\-]{8,}|(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{4,7})"),
     ("access", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    ("date", r"(?<![\d./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\d/-]|\.\d)"),
+    ("date", r"(?<![\d./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\d/-]|\.\d)"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("ipv4", r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\d)"),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:])"),
     ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-\w)"),
     ("phone", r"(?<!\w)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)"),
 )
 _FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: Every kind holds a digit or an @, but a spelled-out secret; texts without any are passed.
-_MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api_?key)").search
+_MAYBE = re.compile(r"[0-9@]|::|(?i:password|passwd|secret|token|api_?key)").search
 
 
 def pseudonymise(text: str, make: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:

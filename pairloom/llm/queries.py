@@ -120,15 +120,22 @@ spelled AS (
 ruled AS (
   SELECT s.*, (SELECT max_by(struct_pack(rule := r.host || r.path, allow := r.allow), length(r.host || r.path) * 2 + r.allow::INT) FROM rules r
     WHERE (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)) AS hit FROM spelled s),
+live AS (
+  SELECT url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+targets AS (
+  SELECT url, trim(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1)) AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link[\s/][^>]*>')) AS tag FROM live)
+  WHERE list_contains(regexp_split_to_array(lower(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)), '["''\s]+'), 'canonical')
+  UNION SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta[\s/][^>]*>')) AS tag FROM live)
+  WHERE regexp_matches(tag, '(?is)[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b')),
 urls AS (
-  SELECT url FROM pages WHERE contains(url, '://')
-  UNION SELECT unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) FROM pages WHERE url IS NOT NULL),
+  SELECT url FROM pages WHERE contains(url, '://') UNION SELECT target FROM targets),
 keys AS (
   SELECT url, '//' || translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || rtrim(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/')
     || CASE WHEN q = '' THEN '' ELSE '?' || q END AS alias
   FROM (SELECT url, array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)\?(.*)$', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref')), '&') AS q FROM urls WHERE contains(url, '://'))),
-found AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM pages WHERE contains(url, '://')),
+found AS (SELECT url, target FROM targets WHERE contains(url, '://')),
 links AS (
   SELECT a.alias AS u, b.alias AS v FROM found f JOIN keys a ON f.url = a.url JOIN keys b ON f.target = b.url WHERE a.alias <> b.alias
   UNION SELECT b.alias, a.alias FROM found f JOIN keys a ON f.url = a.url JOIN keys b ON f.target = b.url WHERE a.alias <> b.alias),

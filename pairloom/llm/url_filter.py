@@ -41,8 +41,9 @@ RULES = (
     UrlRule("com", "/fr/", True),
     UrlRule("com", "/de/", False),
 )
-#: Rules are one CASE expression; longer lists belong in a table joined by host suffix.
-MAX_RULES = 500
+#: Up to so many rules are one CASE expression; more are a table that is joined. Verdicts are the same.
+CASE_RULES = 64
+RULE_TABLE = "host string, path string, allow boolean"
 
 
 def host_of(url: Column) -> Column:
@@ -56,19 +57,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
-    """Index of the longest rule that fits, or null; of equally long ones an allow rule wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    out = F.lit(None).cast("int")
-    order = sorted(range(len(rules)), key=lambda k: (len(rules[k].text), rules[k].allow, -k))
-    for k in order:
-        r = rules[k]
+def _fitting(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
+    """(rule, allow) of the longest rule that fits, or null; of equally long ones an allow rule, then by text."""
+    out = F.lit(None).cast("struct<rule:string,allow:boolean>")
+    for r in sorted(rules, key=lambda r: (len(r.text), r.allow, r.host, r.path)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.lit(k)).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(r.text).alias("rule"), F.lit(r.allow).alias("allow"))).otherwise(out)
     return out
 
 
+def _fitting_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``hit``, the same (rule, allow), for any number of rules.
+
+    A host's suffixes meet the hosts of rules, with the lengths of their paths; then the url's prefixes of those lengths
+    meet the rules themselves. Both are equal-key joins of distinct (host, path).
+    """
+    kept = rules.filter("host is not null and path is not null and allow is not null").groupBy("host", "path").agg(F.max("allow").alias("allow"))
+    hosts = kept.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes")).withColumnRenamed("host", "suffix")
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.substring_index(F.col("host"), ".", -k))
+    urls = rows.select("host", "path").distinct()
+    met = urls.withColumn("suffix", F.explode(F.array_distinct(suffixes))).join(hosts, "suffix").withColumn("size", F.explode("sizes")).filter(F.col("size") <= F.length("path"))
+    known = kept.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "allow")
+    found = met.withColumn("prefix", F.expr("left(path, size)")).join(known, ["suffix", "prefix"])
+    best = F.max_by(F.struct(F.concat("suffix", "prefix").alias("rule"), "allow"), F.struct(F.length("suffix") + F.length("prefix"), "allow", "suffix", "prefix"))
+    return rows.join(found.groupBy("host", "path").agg(best.alias("hit")), ["host", "path"], "left")
+
+
 def alias_key(url: Column) -> Column:
     """One spelling for urls that differ in scheme, host case, fragment, tracking or last slash."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
@@ -98,53 +113,72 @@ def resolved(base: Column, target: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without it."""
+    groups = [F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k) for k in (1, 2, 3)]
+    return F.concat(*groups)
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with numeric entities, then the five named ones of XML, undone."""
+    numeric = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    code = lambda x: F.when(x.rlike("^[xX]"), F.substring(x, 2, 6)).otherwise(F.conv(x, 10, 16))
+    sign = lambda x: F.decode(F.unhex(F.lpad(code(x), 8, "0")), "UTF-32")
+    out = F.aggregate(numeric, text, lambda got, x: F.replace(got, F.concat(F.lit("&#"), x, F.lit(";")), sign(x)))
+    for name, char in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (u, v) between urls: canonical links and refresh redirects in the html, by alias key.
 
-    Of several canonical links, or refreshes, of a page the first counts. Relative targets are resolved against the page's url (a ``base`` tag isn't looked at); null
-    urls and html, and targets of other schemes without ``://``, give none.
+    Every link tag with ``canonical`` among the words of its rel, and every refresh, gives an edge; those in html
+    comments give none. Entities in targets are undone. Relative targets are resolved against the page's url
+    (a ``base`` tag isn't looked at); null urls and html, and targets of other schemes without ``://``, give none.
     """
-    html, url = F.col(html_col), F.col(url_col)
-    tag = lambda pattern: F.regexp_extract(html, pattern, 0)
-    link = tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
-    meta = tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
-    found = F.array(F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return pages.filter(url.isNotNull() & html.isNotNull()).select(alias_key(url).alias("u"), F.explode(F.filter(F.transform(found, lambda x: resolved(url, x)), lambda x: x.isNotNull())).alias("v")).select("u", alias_key(F.col("v")).alias("v"))
+    url = F.col(url_col)
+    live = pages.filter(url.isNotNull() & F.col(html_col).isNotNull()).select(url.alias("url"), F.regexp_replace(html_col, r"(?s)<!--.*?-->", "").alias("html"))
+    tags = lambda name: F.regexp_extract_all(F.col("html"), F.lit(rf"(?is)<{name}[\s/][^>]*>"), F.lit(0))
+    canonical = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    target = lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1)
+    found = F.concat(F.transform(canonical, lambda t: F.trim(_attribute(t, "href"))), F.transform(refresh, target))
+    ends = live.select("url", F.explode(F.array_distinct(found)).alias("target")).withColumn("target", unescaped(F.col("target")))
+    return ends.select(alias_key(F.col("url")).alias("u"), resolved(F.col("url"), F.col("target")).alias("v")).filter("v is not null").select("u", alias_key(F.col("v")).alias("v"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, blocked_by.
 
-    ``redirects`` may add edges (src, dst) of urls. blocked_by: the root of the component
+    ``rules`` may be a table of RULE_TABLE, of any size. ``redirects`` may add edges (src, dst) of urls. blocked_by: the root of the component
     that blocks a url without a rule, else null. Null urls, or urls without ``://``, have an
     empty host and path, no rule, and are allowed; repeated rows each get a row. Other columns
     of ``pages`` are not read.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    named = F.when(F.col("url").contains("://"), alias_key(F.col("url")))
-    rows = stage_table(rows.select("id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("k"), named.alias("alias")), "judged")
+    rows = rows.select("id", "host", "path", F.when(F.col("url").contains("://"), alias_key(F.col("url"))).alias("alias"))
+    if isinstance(rules, DataFrame) or len(rules) > CASE_RULES:
+        table = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame([(r.host, r.path, r.allow) for r in rules], RULE_TABLE)
+        rows = _fitting_by_table(rows, table)
+    else:
+        rows = rows.withColumn("hit", _fitting(F.col("host"), F.col("path"), rules))
+    rows = stage_table(rows.select("id", "host", "path", "hit.rule", "hit.allow", "alias"), "judged")
     links = page_links(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         more = redirects.filter("src is not null and dst is not null").select(alias_key(F.col("src")).alias("u"), alias_key(F.col("dst")).alias("v"))
         links = more if links is None else links.unionByName(more)
-    blocks = F.lit(False)
-    for k, r in enumerate(rules):
-        if not r.allow:
-            blocks = blocks | (F.col("k") == k)
     # urls of one alias key are one node: its links are stars, so only keys need components
-    bad = rows.filter(F.col("alias").isNotNull() & blocks).select("alias").distinct()
+    bad = rows.filter("alias is not null and not allow").select("alias").distinct()
     blocked = bad.select("alias", F.col("alias").alias("blocked_by"))
     if links is not None:
         roots = connected_components(links)
         of = bad.join(roots, F.col("alias") == F.col("node"), "left").select("alias", F.coalesce("root", "alias").alias("blocked_by"))
         beside = roots.join(of.select(F.col("blocked_by").alias("root")).distinct(), "root").select(F.col("node").alias("alias"), F.col("root").alias("blocked_by"))
         blocked = of.unionByName(beside).distinct()
-    text, verdict = F.lit(None).cast("string"), F.when(F.col("blocked_by").isNotNull(), "block").otherwise("allow")
-    for k, r in enumerate(rules):
-        text = F.when(F.col("k") == k, F.lit(r.text)).otherwise(text)
-        verdict = F.when(F.col("k") == k, F.lit("allow" if r.allow else "block")).otherwise(verdict)
+    verdict = F.when(F.coalesce(F.col("allow"), F.col("blocked_by").isNull()), "allow").otherwise("block")
     # rows with a rule, and rows without an alias, don't meet the blocked aliases
-    free = F.col("k").isNull() & F.col("alias").isNotNull()
+    free = F.col("rule").isNull() & F.col("alias").isNotNull()
     judged = rows.filter(free).join(blocked, "alias", "left").unionByName(rows.filter(~free).withColumn("blocked_by", F.lit(None).cast("string")))
-    return judged.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), verdict.alias("verdict"), "blocked_by")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "blocked_by")

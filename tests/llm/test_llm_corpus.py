@@ -266,8 +266,7 @@ def test_components_decide_where_links_join_urls(spark):
     urls = [f"http://{rng.choice(hosts)}{k}" for k in range(120)]
     links = [(rng.choice(urls), rng.choice(urls)) for _ in range(70)]
     pages = [(k, u, "".join(f"<link rel=canonical href='{v}'>" for a, v in links if a == u)) for k, u in enumerate(urls)]
-    first = {u: next((v for a, v in links if a == u), None) for u in urls}  # a page's first canonical link counts
-    root = roots([(u, v) for u, v in first.items() if v], urls)
+    root = roots(links, urls)  # all canonical links of a page count
     rule = lambda u: "allow" if ".com/fr/" in u or ".org/" in u else "block" if ".com/de/" in u else None
     bad = {root[u] for u in urls if rule(u) == "block"}
     want = [rule(u) or ("block" if root[u] in bad else "allow") for u in urls]
@@ -505,3 +504,44 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
             _stage.shared_dir(session(master))
+
+
+# --- links and rules of url filters ---
+
+
+def test_url_links_of_all_kinds(spark):
+    bad = "http://bad.example/x?x=1&y=2"
+    rules = (url_filter.UrlRule("bad.example", "/", False),)
+    pages = [
+        (1, "http://a.org/1", f'<link rel="canonical" href="http://a.org/ok"><link href="{bad.replace("&", "&amp;")}" rel=canonical>', "block"),  # the second one
+        (2, "http://a.org/2", f"<link rel='nofollow Canonical' href='{bad}'>", "block"),
+        (3, "http://a.org/3", '<link rel="canonical" href="http://bad.example/x?x=1&amp;y=2">', "block"),
+        (4, "http://a.org/4", '<link rel="canonical" href="http://bad.example/x?x=1&#38;y=2">', "block"),
+        (5, "http://a.org/5", '<link rel="canonical" href="http://bad&#x2E;example/x?x=1&#x26;y=2">', "block"),
+        (6, "http://a.org/6", f'<!-- <link rel="canonical" href="{bad}"> -->', "allow"),
+        (7, "http://a.org/7", f'<link rel="canonicals" href="{bad}"><link data-rel="canonical" href="{bad}">', "allow"),
+        (8, "http://a.org/8", f'<meta http-equiv="refresh" content="0; url=http://a.org/ok"><META content="1;URL=\'{bad}\'" HTTP-EQUIV=Refresh>', "block"),
+        (9, "http://a.org/9", '<link rel="stylesheet" href="/s.css"><link rel="canonical">', "allow"),
+        (10, bad, None, "block"),
+        (11, None, f'<link rel="canonical" href="{bad}">', "allow"),
+        (12, "http://a.org/12", "<link " * 5000 + "<!--" * 5000, "allow"),
+    ]
+    table = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(table, rules).collect()}
+    # page 1 and 8 join the component that holds a.org/ok as well
+    assert got == {p[0]: p[3] for p in pages}
+
+
+def test_ten_thousand_rules_equal_the_case_expression(spark):
+    rng = random.Random(5)
+    hosts = ["org", "b.org", "a.b.org", "com", "x.com"]
+    few = tuple({(h, p): url_filter.UrlRule(h, p, rng.random() < 0.5) for h in hosts for p in ["/", "/a", "/a/b", "/ab", "/a/b/c?"[: rng.randint(1, 6)]]}.values())
+    urls = [f"http://{rng.choice(['', 'www.', 'a.', 'b.', 'q.a.b.'])}{rng.choice([*hosts, 'net', ''])}{rng.choice(['', '/', '/a', '/a/b/c', '/abc', '/z'])}" for _ in range(150)] + [None, "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    many = few + tuple(url_filter.UrlRule(f"h{k}.net", f"/{'x' * (k % 50)}", False) for k in range(10_000))
+    short = sorted(map(tuple, url_filter.judge_urls(pages, few, html_col=None).collect()))
+    assert sorted(map(tuple, url_filter.judge_urls(pages, many, html_col=None).collect())) == short
+    table = spark.createDataFrame([(r.host, r.path, r.allow) for r in few] + [(None, "/", True)], url_filter.RULE_TABLE)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, table, html_col=None).collect())) == short
+    assert len({r[3] for r in short}) > 8
+    assert all(r[4] == "block" for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://www.h77.net/" + "x" * 60)], "page_id int, url string"), many, html_col=None).collect())
