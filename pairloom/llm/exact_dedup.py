@@ -5,7 +5,8 @@ by one space. Grouping keys hold the digest *and* the whole normalised text, at
 stage, so a digest collision never merges different texts:
 
 1. local: Spark's map-side partial aggregate keeps one row per (digest, salt, text);
-2. salted: groups of one digest are spread over ``SALTS`` reducers by a hash of the id;
+2. salted: groups of one digest are spread over ``SALTS`` reducers by a hash of the id, rows without
+   an id by their place in the scan;
 3. global: at most ``SALTS`` winners per text meet and give keep_id and group_size.
 
 Only (digest, salt, keep_id, group_size) is then joined to the documents, by the salts of the
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import fresh_name, release, stage_table
-from .salted import back_to_rows, salt_of
+from .salted import ALL_SALTS, back_to_rows, salt_of
 
 
 def normalised(text: Column) -> Column:
@@ -32,13 +33,13 @@ def sha256(text: Column) -> Column:
 
 def _found(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """One narrow row per input row, written: id, sha, keep_id, group_size, tie (a row number)."""
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    local = rows.groupBy("digest", salt_of("id").alias("salt"), "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm"))).withColumn("salt", salt_of("id"))
+    local = rows.groupBy("digest", "salt", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("id").isNull()).alias("nameless"))
+    salts = F.bit_or(F.when(F.col("nameless"), F.lit(ALL_SALTS)).otherwise(F.expr("shiftleft(1L, salt)"))).alias("salts")
     groups = local.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), salts)
     table = stage_table(groups.select("digest", "keep_id", "group_size", "salts"), "groups")
     clashes = table.groupBy("digest").count().filter("count > 1").select("digest")
-    narrow = rows.select("id", "digest", salt_of("id").alias("salt"), sha256(F.col("norm")).alias("sha"), F.monotonically_increasing_id().alias("tie"))
+    narrow = rows.select("id", "digest", "salt", sha256(F.col("norm")).alias("sha"), F.monotonically_increasing_id().alias("tie"))
     columns = ["id", "sha", "keep_id", "group_size", "tie"]
     if clashes.isEmpty():
         found = stage_table(narrow.join(back_to_rows(table), ["digest", "salt"]).select(columns), "found")

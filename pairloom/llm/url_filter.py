@@ -74,8 +74,7 @@ def _fitting_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """
     kept = rules.filter("host is not null and path is not null and allow is not null").groupBy("host", "path").agg(F.max("allow").alias("allow"))
     hosts = kept.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes")).withColumnRenamed("host", "suffix")
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.substring_index(F.col("host"), ".", -k))
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]', -1))), k -> substring_index(host, '.', -k))")
     urls = rows.select("host", "path").distinct()
     met = urls.withColumn("suffix", F.explode(F.array_distinct(suffixes))).join(hosts, "suffix").withColumn("size", F.explode("sizes")).filter(F.col("size") <= F.length("path"))
     known = kept.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "allow")

@@ -545,3 +545,18 @@ def test_ten_thousand_rules_equal_the_case_expression(spark):
     assert sorted(map(tuple, url_filter.judge_urls(pages, table, html_col=None).collect())) == short
     assert len({r[3] for r in short}) > 8
     assert all(r[4] == "block" for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://www.h77.net/" + "x" * 60)], "page_id int, url string"), many, html_col=None).collect())
+
+
+def test_rows_without_an_id_are_dealt_over_salts(spark):
+    from pairloom.llm.salted import SALTS, salt_of
+
+    text = "one two three four five six seven"
+    table = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("other "), F.col("id"))).otherwise(text).alias("text")).repartition(5)
+    sizes = [r["count"] for r in table.groupBy(salt_of("doc_id").alias("s")).count().collect()]
+    assert len(sizes) == SALTS and max(sizes) < 2 * sorted(sizes)[SALTS // 2]
+    groups = exact_dedup.exact_groups(table)
+    assert {tuple(r) for r in groups.groupBy("group_size", "kept").count().collect()} == {(1, True, 400), (19_600, True, 1), (19_600, False, 19_599)}
+    assert exact_dedup.drop_exact_copies(table).count() == 401
+    classes = minhash.near_duplicate_classes(table)
+    assert {tuple(r) for r in classes.groupBy("class_size").count().collect()} == {(1, 400), (19_600, 19_600)}
+    assert minhash.drop_near_duplicates(table).count() == 401
