@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import cosine
+from pairloom.functions.vectors import cosine_of, dot
 from pairloom.schema import PROBABILITY
 
 from . import budget, lexical, pairwise, ranking
@@ -26,9 +26,14 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def embedding(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of query and document vectors; ``vectors``: doc_id, vector; ``queries``: query_id, query_vector."""
-    rows = candidates.join(vectors, "doc_id").join(queries, "query_id")
-    return rows.select(*KEY, cosine(F.col("query_vector"), F.col("vector")).alias("score"))
+    """Cosine of query and document vectors; ``vectors``: doc_id, vector; ``queries``: query_id, query_vector.
+
+    A norm is taken once a vector, not once a pair.
+    """
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    have, asked = vectors.withColumn("__n", norm("vector")), queries.withColumn("__q", norm("query_vector"))
+    rows = candidates.join(have, "doc_id").join(asked, "query_id")
+    return rows.select(*KEY, cosine_of(F.col("query_vector"), F.col("vector"), F.col("__q"), F.col("__n")).alias("score"))
 
 
 def offline_probability(asked: DataFrame, scripted: DataFrame, default: float = DEFAULT_PROBABILITY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,11 @@ def score_routes(spark: SparkSession, pool: DataFrame, found: dict[str, Route],
     errors = {}
     for name, route in found.items():
         if name not in runs.measured(spark, path, dataset):
+            began = time.monotonic()
             try:
                 ranked = in_rank_order(route(pool))
                 runs.save_pairs(ranked.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("route"), *routes.KEY, "score", F.col("rank").cast("int").alias("rank")), path)
+                runs.commit(spark, path, dataset, name, time.monotonic() - began, pool)
             except Exception as e:  # noqa: BLE001  reported by route
                 errors[name] = _reason(e)
         if on_result:
@@ -64,7 +67,9 @@ def run_dilution(pools_: dict[tuple[int, int], DataFrame], route: Callable[[int]
             scored = route(batch)(rows).select(F.lit("dilution").alias("dataset"), F.lit(name).alias("route"), *routes.KEY, "score")
         if path is not None:
             if scored is not None:
+                began = time.monotonic()
                 runs.save_pairs(scored, path)
+                runs.commit(spark, path, "dilution", name, time.monotonic() - began, rows)
             scored = runs.load_pairs(spark, path).filter((F.col("dataset") == "dilution") & (F.col("route") == name))
         else:
             scored = scored.persist()  # every metric reads it; a route isn't asked again
@@ -116,7 +121,8 @@ def evaluate(spark: SparkSession, pool: DataFrame, found: dict[str, Route], path
     errors = score_routes(spark, pool, found, path, dataset, on_result)
     saved = runs.load_pairs(spark, path) if runs.exists(spark, path) else spark.createDataFrame([], "dataset string, route string, query_id string, ordinal long, doc_id string, label int, score double, rank int")
     pairs = saved.filter((F.col("dataset") == dataset) & F.col("route").isin(*found))
-    return evaluate_routes(in_saved_order(pairs), k)[1], errors
+    told = runs.manifest(spark, path).select("dataset", "route", "seconds", "failed", "dropped")
+    return evaluate_routes(in_saved_order(pairs), k)[1].join(F.broadcast(told), ["dataset", "route"], "left"), errors  # a row a route
 
 
 def in_saved_order(pairs: DataFrame) -> DataFrame:
@@ -152,8 +158,10 @@ def answer_runs(spark: SparkSession, pool: DataFrame, queries: DataFrame, found:
             continue
         try:
             ranked = in_rank_order(route(pool)).select("query_id", "doc_id", "label", "rank").join(pool.select("query_id", "doc_id", "text"), ["query_id", "doc_id"])
+            began = time.monotonic()
             rows = answers.answer_queries(ranked, queries, generator, top_k)
             runs.save_pairs(rows.withColumn("dataset", F.lit(dataset)).withColumn("route", F.lit(name)), path)
+            runs.commit(spark, path, dataset, name, time.monotonic() - began, queries)
         except Exception as e:  # noqa: BLE001  reported by route
             errors[name] = _reason(e)
     done = [n for n in found if n in runs.measured(spark, path, dataset)]

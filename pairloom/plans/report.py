@@ -105,6 +105,8 @@ def comparison_table(rows: Iterable[dict], baseline: str, metrics: Iterable[str]
         return write
 
     columns = {"route": lambda r: r["route"], **{m: cell(m) for m in metrics}, "queries": lambda r: r.get("error") or r["n"]}
+    if any(r.get("seconds") is not None for r in rows):
+        columns |= {"seconds": lambda r: Places(1).value(r.get("seconds")), "failed": lambda r: UNDEFINED if r.get("failed") is None else r["failed"], "dropped": lambda r: UNDEFINED if r.get("dropped") is None else r["dropped"]}
     return Table(columns, rows).markdown()
 
 

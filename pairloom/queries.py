@@ -1083,6 +1083,22 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.load_pairs(spark, path).filter(F.col("dataset") == found).select(*B.pairs(spark, sf_dir).columns)
 
 
+@query(f"""{B.with_sql('pool')}, kept AS (SELECT * FROM pool WHERE ordinal % 5 <> 0 AND NOT starts_with(query_id, 'q7')),
+want AS (SELECT query_id, count(*) AS want FROM pool GROUP BY 1), got AS (SELECT query_id, count(*) AS got FROM kept GROUP BY 1)
+SELECT 'whole' AS route, sum(want)::BIGINT AS pairs, count(*) AS queries, 0::BIGINT AS failed, 0::BIGINT AS dropped, NULL AS failed_ids FROM want
+UNION ALL SELECT 'partial', coalesce(sum(got), 0)::BIGINT, count(got), count(*) - count(got), coalesce(sum(want - got), 0)::BIGINT, string_agg(query_id, ',' ORDER BY query_id) FILTER (got IS NULL) FROM want LEFT JOIN got USING (query_id)""")
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run says of its routes: one answers every pair, the other refuses some queries and leaves pairs out."""
+    pool, path = B.pool(spark, sf_dir), scratch.folder(spark, "manifest")
+    scored = lambda rows: rows.withColumn("score", F.col("ordinal") * 1.0)
+    found = {"whole": scored, "partial": lambda rows: scored(rows.filter("ordinal % 5 <> 0 and not startswith(query_id, 'q7')"))}
+    errors = judge.score_routes(spark, pool, found, path, "pool")
+    if errors:
+        raise RuntimeError(str(errors))
+    ids = runs.failed_queries(spark, path).groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("query_id")), ",").alias("failed_ids"))
+    return runs.manifest(spark, path).drop("dataset", "seconds").join(ids, "route", "left")
+
+
 def _played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, registry.Route]]:
     """The pools, and two routes of a registry whose services are played from a table."""
     pool = B.pool(spark, sf_dir)
@@ -1127,7 +1143,7 @@ def route_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, errors = judge.evaluate(spark, pool, found, scratch.folder(spark, "evaluated"), "pool")
     if errors:
         raise RuntimeError(str(errors))
-    return rounded(rows.drop("dataset"))
+    return rounded(rows.drop("dataset", "seconds", "failed", "dropped"))
 
 
 @query(f"{B.with_sql('pool')}, {_ROUTED}, {_summary_sql('c', 'sure', 10)} SELECT s.route, c_row.* FROM c_row, (VALUES ('pointwise@1'), ('pointwise@5'), ('pointwise@10')) s(route)")

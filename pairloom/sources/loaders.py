@@ -81,9 +81,23 @@ def judged_ids(qrels: DataFrame) -> DataFrame:
     return qrels.select("docid").distinct()
 
 
+#: A record's id as it stands in its line; ids with escapes, which it doesn't match, are parsed to be known.
+_PLAIN_ID = r'"docid"\s*:\s*"([^"\\]*)"'
+
+
+def asked_lines(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(value, __at): the lines of JSON-line shards that may be wanted by the id they show, and those that show none."""
+    lines = spark.read.text(path).select("value", in_file_order().alias("__at"), F.regexp_extract("value", _PLAIN_ID, 1).alias("__id"))
+    shown = lines.filter("__id <> ''").join(wanted.select(F.col("docid").alias("__id")), "__id", "left_semi")
+    return shown.unionByName(lines.filter("__id = ''")).drop("__id")
+
+
 def read_corpus(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Passages of (gzipped) JSON-line shards that are wanted; of repeated ids the last one wins."""
-    rows = spark.read.schema(schema.CORPUS).json(path).select("*", in_file_order().alias("__at"))
+    """Passages of (gzipped) JSON-line shards that are wanted; of repeated ids the last one wins.
+
+    Lines are asked for their id before they are parsed, so only records near the wanted ones are.
+    """
+    rows = asked_lines(spark, path, wanted).select(F.from_json("value", schema.CORPUS).alias("r"), "__at").select("r.*", "__at")
     last = rows.join(wanted, "docid", "left_semi").groupBy("docid").agg(F.max_by(F.struct("title", "text"), "__at").alias("p"))
     return last.select("docid", "p.title", "p.text")
 

@@ -327,3 +327,12 @@ def test_lines_end_inside_quotes(line, outside, inside):
     assert records.ends_inside(line, False) is outside
     if line not in ('"a"\t"b', '""\t"'):
         assert records.ends_inside(line, True) is inside
+
+
+def test_only_records_near_the_wanted_ones_are_parsed(spark, tmp_path):
+    rows = [{"docid": f"d{k}", "title": "t", "text": f'says "docid": "d{k + 1}"'} for k in range(200)] + [{"text": "x", "docid": 'o"dd', "title": ""}, {"docid": "d7", "title": "last", "text": "y"}]
+    (tmp_path / "shard.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + "\nbroken\n")
+    wanted = spark.createDataFrame([("d7",), ('o"dd',), ("none",)], "docid string")
+    assert loaders.asked_lines(spark, str(tmp_path), wanted).count() == 4  # d7 twice, the escaped id, and the broken line
+    got = {r["docid"]: (r["title"], r["text"]) for r in loaders.read_corpus(spark, str(tmp_path), wanted).collect()}
+    assert got == {"d7": ("last", "y"), 'o"dd': ("", "x")}

@@ -143,6 +143,27 @@ def test_dilution_is_saved_by_setting(spark, tmp_path):
     assert "All in one request less one by one: by query +0.000 (+0.000 to +0.000), of all" in text
 
 
+def test_a_killed_run_goes_on_from_its_manifest(spark, tmp_path):
+    pool = spark.createDataFrame([(f"q{q}", i, f"q{q}-{i}", int(i == 1), "x", "text") for q in range(3) for i in range(3)], "query_id string, ordinal long, doc_id string, label int, question string, text string")
+    path, calls = str(tmp_path / "pairs"), []
+
+    def route(rows):
+        calls.append(1)
+        return rows.filter("query_id <> 'q2' and not (query_id = 'q1' and ordinal = 0)").withColumn("score", F.col("label") * 1.0)
+
+    # pairs that were written, but not committed: the run was killed in between
+    runs.save_pairs(pool.select(F.lit("d").alias("dataset"), F.lit("r").alias("route"), "query_id", "ordinal", "doc_id", "label", F.lit(9.0).alias("score"), F.lit(1).alias("rank")), path)
+    assert runs.measured(spark, path, "d") == set()
+    for _ in range(2):
+        rows, errors = judge.evaluate(spark, pool, {"r": route}, path, "d")
+        assert not errors and len(calls) == 1 and runs.measured(spark, path, "d") == {"r"}
+    row = rows.first()
+    assert (row["failed"], row["dropped"]) == (1, 1) and row["seconds"] > 0
+    assert [tuple(r) for r in runs.failed_queries(spark, path).collect()] == [("d", "r", "q2")]
+    assert runs.load_pairs(spark, path).count() == 5
+    assert "| seconds | failed | dropped |" in report.comparison_table([row.asDict()], "r", judge.RANK_METRICS)
+
+
 # --- commands ---
 
 
