@@ -33,7 +33,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), measure=minhash.EITHER)
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

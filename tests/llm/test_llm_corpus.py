@@ -156,6 +156,62 @@ def test_links_join_what_all_pairs_join(seed):
     assert roots(same + links, range(n)) == roots(same + [(a, b) for a in range(n) for b in range(a) if like(a, b)], range(n))
 
 
+def brute_weighted(a, b):
+    weights = []
+    for w in (a.split(), b.split()):
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+        weights.append({g: grams.count(g) for g in set(grams)})
+    x, y = weights
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def repeating_rows(seed):
+    """Texts whose sets are alike, whose counts are alike, both, and neither."""
+    rng, rows = random.Random(seed), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for _ in range(8):
+        head, passage = [word() for _ in range(rng.randrange(20, 60))], [word() for _ in range(rng.randrange(6, 12))]
+        for times in (1, 2, 12, 30, 31):
+            rows.append([*head, *passage * times])
+        rows += [passage * 30, [*(word() for _ in range(5)), *passage * 40], [word() for _ in range(40)]]
+    return [(k, " ".join(t), "en") for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weighted_classes_match_brute_force(spark, seed):
+    rows = [*repeating_rows(seed), (900, None, "x"), (901, "", "x"), (902, "a b", "x"), (903, "a b", "x"), (None, "a a a a a a a", "x")]
+    pairs = [(a, b) for k, a in enumerate(rows) for b in rows[k + 1 :] if (a[1] or "") == (b[1] or "") or (a[1] and b[1] and max(brute_jaccard(a[1], b[1]), brute_weighted(a[1], b[1])) >= 0.8)]
+    by_sets = [(a, b) for a, b in pairs if (a[1] or "") == (b[1] or "") or brute_jaccard(a[1], b[1]) >= 0.8]
+    assert len(by_sets) < len(pairs)
+    for measure, linked in ((minhash.EITHER, pairs), (minhash.SETS, by_sets)):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs(spark, rows), measure=measure).collect()}
+        assert got == roots([(a[0], b[0]) for a, b in linked], {r[0] for r in rows})
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_probability_jaccard_matches_its_definition(seed):
+    rows = repeating_rows(seed)[:12]
+    for a in rows:
+        for b in rows:
+            assert minhash.probability_jaccard(a[1], b[1]) == pytest.approx(brute_weighted(a[1], b[1]), abs=1e-12)
+    assert minhash.probability_jaccard("", "") == minhash.probability_jaccard("a", "") == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_weighted_links_join_what_all_pairs_join(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    n, core = rng.randrange(2, 30), rng.sample(range(500), 20)
+    sets = [np.array(sorted(set(core[: rng.randrange(10, 21)]) | {rng.randrange(500) for _ in range(rng.randrange(15))}), np.uint64) for _ in range(n)]
+    counts = [np.array([rng.randrange(20, 30) if int(x) in core[:10] else 1 for x in s], np.uint32) if rng.random() < 0.7 else np.zeros(0, np.uint32) for s in sets]
+    ones = [c if len(c) else np.ones(len(s)) for s, c in zip(sets, counts, strict=True)]
+    links = minhash.joining_links(sets, np.arange(n), 0.8, counts)
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9 or minhash.weighted_jaccard(sets[a], ones[a], sets[b], ones[b]) >= 0.8 - 1e-9
+    assert all(like(a, b) for a, b in links)
+    assert roots(links, range(n)) == roots([(a, b) for a in range(n) for b in range(a) if like(a, b)], range(n))
+
+
 def test_hot_group_emits_few_links():
     import numpy as np
 
