@@ -3,8 +3,9 @@
 Each language has a codeword of bits. A binary n-gram classifier predicts each bit: the log
 odds of hashed byte n-grams between the languages whose bit is set and the others. The
 n-gram counts by language come from all training texts. A text goes to the codeword with
-the least loss, each bit's logistic loss weighted by how well its classifier does on a
-bounded sample of training texts; a small lead over the second codeword marks ambiguity.
+the least loss, each bit's logistic loss weighted by how well its classifier does on training
+texts that it wasn't counted from: one of eight is held back for that, judged by the counts of
+the others, and counted in the final model. A small lead over the second codeword marks ambiguity.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from ._words import U, blocks, mix
 
 BUCKETS, UNKNOWN = 1 << 14, "und"
-#: Training texts that the weights of the bits are taken from at most.
-WEIGHT_ROWS = 2_000
+#: One of this many training texts tells the weights of the bits.
+HELD_BACK = 8
 #: Up to this many languages the code is exhaustive; beyond, random words of this many bits a doubling.
 EXHAUSTIVE, BITS_A_DOUBLING = 6, 12
 #: A score under this is flagged as ambiguous.
@@ -102,50 +103,69 @@ class LanguageModel:
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, np.ndarray] = {}
+    """(text, lang, back) to each language's counts, those of texts held back apart."""
+    totals: dict[tuple[str, bool], np.ndarray] = {}
     for batch in batches:
-        lang = batch.column(1).to_pylist()
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
         for first, data, offsets in _blocks(batch.column(0)):
-            counts, names = gram_counts(data, offsets, buckets), np.array(lang[first : first + len(offsets) - 1], object)
-            for x in set(names):
-                totals[x] = totals.get(x, np.zeros(buckets)) + counts[names == x].sum(axis=0)
-    for x, counts in totals.items():
+            counts, mine = gram_counts(data, offsets, buckets), keys[first : first + len(offsets) - 1]
+            for x in set(mine):
+                totals[x] = totals.get(x, np.zeros(buckets)) + counts[[k == x for k in mine]].sum(axis=0)
+    for (x, back), counts in totals.items():
         some = np.flatnonzero(counts)
-        yield pa.record_batch({"lang": pa.array([x] * len(some), pa.string()), "bucket": pa.array(some, pa.int32()), "n": pa.array(counts[some])})
-
-
-def fit_languages(train: DataFrame, buckets: int = BUCKETS, weight_rows: int = WEIGHT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Count every training text with a language; rows with a null text or language are not used."""
-    rows = train.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.select("text", "lang").mapInArrow(lambda b: _by_language(b, buckets), "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x buckets at most
-    languages = sorted({r["lang"] for r in counts})
-    table, at = np.full((len(languages), buckets), 0.5), {x: k for k, x in enumerate(languages)}
-    for r in counts:
-        table[at[r["lang"]], r["bucket"]] += r["n"]
-    p, code = table / table.sum(axis=1, keepdims=True), codewords(len(languages))
-    ones = code.astype(float)
+        yield pa.record_batch({"lang": pa.array([x] * len(some), pa.string()), "back": pa.array([back] * len(some), pa.bool_()), "bucket": pa.array(some, pa.int32()), "n": pa.array(counts[some])})
+
+
+def _model(languages: list[str], code: np.ndarray, counts: np.ndarray) -> LanguageModel:
+    """The bits' log odds by counts (languages x buckets), half a count added; all bits trusted alike."""
+    table, ones = counts + 0.5, code.astype(float)
+    p = table / table.sum(axis=1, keepdims=True)
     sides = [(s.T @ p) / np.maximum(s.sum(axis=0), 1)[:, None] for s in (ones, 1 - ones)]
-    model = LanguageModel(languages, code, (np.log(sides[0]) - np.log(sides[1])).T if len(languages) > 1 else np.zeros((buckets, 0)), np.ones(code.shape[1]))
-    if len(languages) > 1:
-        sample = _sample(rows, weight_rows)
-        right, seen = np.zeros(code.shape[1]), 0
-        for k in range(0, len(sample), 64):
-            part = sample[k : k + 64]
-            for first, data, offsets in _blocks(pa.array([r["text"] for r in part])):
-                m = model.margins(gram_counts(data, offsets, buckets))
-                truth = code[[at[r["lang"]] for r in part[first : first + len(m)]]]
-                right, seen = right + ((m > 0) == truth).sum(axis=0), seen + len(m)
-        accuracy = (right + 1) / (seen + 2)
-        model.trust = np.log(accuracy / (1 - accuracy)).clip(0.05, 8)
-        model.trust /= model.trust.sum()
-        model.trust *= code.shape[1]
-    return model
+    return LanguageModel(languages, code, (np.log(sides[0]) - np.log(sides[1])).T, np.ones(code.shape[1]))
+
+
+def _right_bits(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+    """(text, lang) to how many texts each bit's classifier is right on: a row a bit, and one for the texts."""
+    at, right, seen = {x: k for k, x in enumerate(model.languages)}, np.zeros(model.code.shape[1], np.int64), 0
+    for batch in batches:
+        lang = batch.column(1).to_pylist()
+        for first, data, offsets in _blocks(batch.column(0)):
+            m, mine = model.margins(gram_counts(data, offsets, len(model.weights))), lang[first : first + len(offsets) - 1]
+            known = [k for k, x in enumerate(mine) if x in at]  # a language may have no text with an n-gram
+            truth = model.code[[at[mine[k]] for k in known]]
+            right, seen = right + ((m[known] > 0) == truth).sum(axis=0), seen + len(known)
+    yield pa.record_batch({"bit": pa.array(range(len(right) + 1), pa.int32()), "n": pa.array([*right, seen], pa.int64())})
+
+
+def bit_weights(right: np.ndarray, seen: int) -> np.ndarray:
+    """The log odds that a bit is right, within bounds, with a mean of 1."""
+    accuracy = (right + 1) / (seen + 2)
+    trust = np.log(accuracy / (1 - accuracy)).clip(0.05, 8)
+    return trust / trust.mean()
 
 
-def _sample(rows: DataFrame, n: int) -> list:
-    """At most ``n`` rows whose ids' hashes are least; only ids are sorted."""
-    ids = [r["id"] for r in rows.select("id").filter("id is not null").orderBy(F.xxhash64("id", F.lit(23)), "id").limit(n).collect()]
-    return rows.filter(F.col("id").isin(ids)).limit(n).select("text", "lang").collect() if ids else []
+def fit_languages(train: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Count every training text with a language; rows with a null text or language are not used.
+
+    The driver gets counts (languages x buckets) and a number a bit, and no text. Repeated rows
+    are held back together, so none is judged by its copy's counts.
+    """
+    back = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(HELD_BACK)) == 0
+    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null").withColumn("back", back)
+    counted = rows.mapInArrow(lambda b: _by_language(b, buckets), "lang string, back boolean, bucket int, n double")
+    counts = counted.groupBy("lang", "back", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counts.column("lang").to_numpy()
+    languages, spot = np.unique(names.astype(str), return_inverse=True)
+    apart = np.zeros((2, len(languages), buckets))
+    apart[counts.column("back").to_numpy().astype(int), spot, counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    languages, code = languages.tolist(), codewords(len(languages))
+    model = _model(languages, code, apart.sum(axis=0))
+    if len(languages) > 1:
+        judged = _model(languages, code, apart[0])
+        right = rows.filter("back").select("text", "lang").mapInArrow(lambda b: _right_bits(b, judged), "bit int, n long")
+        found = dict(right.groupBy("bit").agg(F.sum("n")).collect())  # a row a bit
+        model.trust = bit_weights(np.array([found.get(k, 0) for k in range(code.shape[1])]), found.get(code.shape[1], 0))
+    return model
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -402,6 +402,47 @@ def test_languages_are_told_apart(spark):
     assert language_id.identify_languages(docs(spark, []), model).count() == 0
 
 
+def test_bits_are_weighed_on_texts_held_back(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [*language_rows(41, 60), (700, "thing and", None), (701, None, "en"), (702, "", "zz"), (703, "x", "zz")]
+    model = language_id.fit_languages(docs(spark, rows).repartition(5))
+    back = {r["doc_id"] for r in docs(spark, rows).filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(language_id.HELD_BACK)) == 0).collect()}
+    used = [r for r in rows if r[1] is not None and r[2] in model.languages]
+    assert model.languages == ["de", "en", "fr"] and 2 <= len([r for r in used if r[0] in back]) < len(used) / 3
+    grams = {r[0]: language_id.gram_counts(*next(x[1:] for x in language_id._blocks(pa.array([r[1]]))), language_id.BUCKETS)[0] for r in used}
+    p = np.array([sum((grams[r[0]] for r in used if r[2] == x and r[0] not in back), np.full(language_id.BUCKETS, 0.5)) for x in model.languages])
+    p /= p.sum(axis=1, keepdims=True)
+    trust = []
+    for bit in range(model.code.shape[1]):
+        ones, right, seen = model.code[:, bit] == 1, 0, 0
+        odds = np.log(p[ones].mean(axis=0) / p[~ones].mean(axis=0))
+        for i, _, x in used:
+            if i in back:
+                seen += 1
+                right += bool(grams[i] @ odds > 0) == bool(model.code[model.languages.index(x), bit])
+        trust.append(min(8, max(0.05, math.log((right + 1) / (seen - right + 1)))))
+    assert model.trust == pytest.approx(np.array(trust) / np.mean(trust))
+
+
+def test_mixed_languages_are_ambiguous(spark):
+    model = language_id.fit_languages(docs(spark, language_rows(21)))
+    by = {}
+    for _, t, x in language_rows(22, 80):
+        by.setdefault(x, []).extend(t.split())
+    mixed, plain = [], []
+    for k in range(12):
+        a, b = (("de", "en"), ("en", "fr"), ("de", "fr"))[k % 3]
+        parts = by[a][k * 20 : k * 20 + 20], by[b][k * 20 : k * 20 + 20]
+        mixed.append((k, " ".join(w for pair in zip(*parts, strict=True) for w in pair), None))
+        plain.append((100 + k, " ".join(parts[0]), None))
+    got = {r["doc_id"]: r["ambiguous"] for r in language_id.identify_languages(docs(spark, mixed + plain), model).collect()}
+    assert any(got[i] for i, _, _ in mixed) and not any(got[i] for i, _, _ in plain)
+
+
 def test_held_out_is_a_quarter(spark):
     import zlib
 
