@@ -295,3 +295,17 @@ def test_exact_orders_equal_pythons(spark):
         got = sorted(streams.exact_sample(table.withColumn("first", F.substring("query_id", 2, 9).cast("int")), "first", count, 4).collect(), key=lambda r: r["position"])
         ids = [f"q{k}" for k in range(6)]
         assert [r["query_id"] for r in got] == (ids if count >= 6 else random.Random(4).sample(ids, count))
+
+
+def test_weights_of_some_samples_are_columns_of_all():
+    import numpy as np
+
+    at = np.flatnonzero(np.random.default_rng(4).random(9000) < 0.6)
+    tree = draws.Tree(at, 9000, 3)
+    assert (tree.weights(np.array([7, 2, 40])) == draws.tree_weights(at, 9000, 41, 3)[:, [7, 2, 40]]).all()
+
+
+def test_queries_weights_are_made_in_few_ranges():
+    held = draws.TreeDraws.held
+    assert weighted._range_count(6_000_000, held) <= 24 and weighted._range_count(36_000_000, held) == 72
+    assert weighted._range_count(100_000, held) == 12 and weighted._range_count(10, held) == 1
