@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .classify import mixed_queries
-from .draws import TableDraws
+from .draws import MOST, TableDraws, _BytesDraws
 
 #: 64-bit words of a stretch, random scores held at a time, and positions sent at a time.
 STRETCH, HELD, SENT = 1 << 20, 1 << 20, 1 << 16
+#: Queries of a block at most, and weights of its matrix.
+BLOCK, BLOCK_WEIGHTS = 4096, 1 << 23
 
 
 def _generator(seed: int, place: int) -> np.random.PCG64:
@@ -34,12 +37,14 @@ def _generator(seed: int, place: int) -> np.random.PCG64:
     return bits
 
 
-def _random_precision(labels: np.ndarray, scores: np.ndarray) -> np.ndarray:
+def random_precision(labels: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """PR-AUC of each row of scores; tied scores are one threshold."""
     order = np.argsort(-scores, axis=1)
     hits, ranked = labels[order], np.take_along_axis(scores, order, axis=1)
     last = np.ones(scores.shape, bool)  # of the pairs that share a score
     last[:, :-1] = ranked[:, 1:] != ranked[:, :-1]
+    if last.all():
+        return (hits * (np.cumsum(hits, axis=1) / np.arange(1, len(labels) + 1))).sum(axis=1) / labels.sum()
     out = np.empty(len(scores))
     for k in range(len(scores)):
         at = np.flatnonzero(last[k])
@@ -65,7 +70,7 @@ def exact_random_query_pr_auc(pairs: DataFrame, draws: int = 100, seed: int = 0)
             for k in range(batch.num_rows):
                 labels, place = batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_py()
                 rng, step = np.random.Generator(_generator(seed, place)), max(1, HELD // len(labels))
-                found = [_random_precision(labels, rng.random((min(step, draws - at), len(labels)))) for at in range(0, draws, step)]
+                found = [random_precision(labels, rng.random((min(step, draws - at), len(labels)))) for at in range(0, draws, step)]
                 values.append(np.concatenate(found).mean())
             yield pa.record_batch({"value": pa.array(values, pa.float64())})
 
@@ -79,7 +84,7 @@ def _accepted(seed: int, stretch: int, n: int) -> np.ndarray:
     return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)].astype(np.int64)
 
 
-def exact_draws(queries: DataFrame, samples: int, seed: int = 0) -> TableDraws:
+def exact_draws(queries: DataFrame, samples: int, seed: int = 0) -> TableDraws | StreamDraws:
     """Draws of ``default_rng(seed).integers(0, n, n)`` for each sample in turn, over the sorted ids.
 
     Works for up to 2^32 - 1 queries; one query is drawn without using the stream.
@@ -106,19 +111,76 @@ def exact_draws(queries: DataFrame, samples: int, seed: int = 0) -> TableDraws:
         first.unpersist()
         stretches += 1 + stretches // 16
 
+    block = max(1, min(BLOCK, BLOCK_WEIGHTS // samples))
+
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = _accepted(seed, k, n)[: max(0, wanted - begin)]
-                sample = (begin + np.arange(len(found))) // n
-                both, weight = np.unique(sample * n + found, return_counts=True)
-                for s in range(0, len(both), SENT):
-                    part = both[s : s + SENT]
-                    yield pa.record_batch({"sample": pa.array((part // n).astype(np.int32)), "at": pa.array(part % n), "weight": pa.array(weight[s : s + SENT].astype(np.int64))})
-
-    rows = first.select("stretch", "first").repartition(stretches, "stretch").mapInArrow(drawn, "sample int, at long, weight long")
-    table = rows.groupBy("sample", "at").agg(F.sum("weight").alias("weight")).join(ids, "at").select("sample", "query_id", "weight")
-    return TableDraws(table, samples)
+                sample = ((begin + np.arange(len(found))) // n).astype("<u4")
+                order = np.argsort(found // block, kind="stable")
+                found, sample = found[order], sample[order]
+                cuts = np.searchsorted(found // block, np.arange(-(-n // block) + 1))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[b], cuts[b + 1])
+                    yield pa.record_batch({"block": pa.array([b], pa.int32()), "sample": pa.array([sample[own].tobytes()], pa.binary()), "place": pa.array([(found[own] - b * block).astype("<u2").tobytes()], pa.binary())})
+
+    parts = first.select("stretch", "first").repartition(stretches, "stretch").mapInArrow(drawn, "block int, sample binary, place binary")
+    return StreamDraws(ids, parts, samples, n, block)
+
+
+@dataclass(frozen=True)
+class StreamDraws(_BytesDraws):
+    """Draws of a stream: ``parts`` (block, sample, place) are packed numbers, one row for a stretch and a block of queries.
+
+    A task has one block's draws and makes its matrix of weights. Joins are merges: Spark takes tables that tasks
+    make out of a range for tiny, and would send them whole through the driver.
+    """
+
+    ids: DataFrame
+    parts: DataFrame
+    samples: int
+    size: int
+    block: int
+
+    def weights(self) -> DataFrame:
+        """(at, drawn) of every query that is drawn."""
+        samples, block = self.samples, self.block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for b, sample, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    sample, place = np.frombuffer(sample.as_buffer(), "<u4"), np.frombuffer(place.as_buffer(), "<u2")
+                    held.setdefault(b, []).append(place.astype(np.int64) * samples + sample)
+            for b in list(held):
+                matrix = np.bincount(np.concatenate(held.pop(b)), minlength=block * samples).reshape(-1, samples)
+                if matrix.max() > MOST:
+                    raise OverflowError(f"a query is drawn over {MOST} times in a sample")
+                matrix = matrix.astype("<u2")
+                some = np.flatnonzero(matrix.any(axis=1))
+                for k in range(0, len(some), 512):
+                    yield pa.record_batch({"at": pa.array(b * block + some[k : k + 512]), "drawn": pa.array([matrix[x].tobytes() for x in some[k : k + 512]], pa.binary())})
+
+        return self.parts.repartitionById(-(-self.size // block), F.col("block")).mapInArrow(run, "at long, drawn binary")
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        at = rows.join(self.ids, "query_id").hint("merge")
+        return at.join(self.weights().hint("merge"), "at").drop("at")
+
+    def rows(self) -> DataFrame:
+        samples = self.samples
+        kind = self.ids.schema["query_id"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    part = batch.slice(k, 512)
+                    w = np.frombuffer(b"".join(part.column("drawn").to_pylist()), "<u2").reshape(-1, samples)
+                    row, sample = np.nonzero(w)
+                    yield pa.record_batch({"sample": pa.array(sample.astype(np.int32)), "query_id": part.column("query_id").take(pa.array(row)), "weight": pa.array(w[row, sample].astype(np.int64))})
+
+        return self.joined(self.ids.select("query_id")).select("query_id", "drawn").mapInArrow(run, f"sample int, query_id {kind}, weight long")
 
 
 def exact_positions(groups: DataFrame, key: str, seed_text: Column, size: str) -> DataFrame:

@@ -309,3 +309,11 @@ def test_queries_weights_are_made_in_few_ranges():
     held = draws.TreeDraws.held
     assert weighted._range_count(6_000_000, held) <= 24 and weighted._range_count(36_000_000, held) == 72
     assert weighted._range_count(100_000, held) == 12 and weighted._range_count(10, held) == 1
+
+
+def test_stream_draws_never_broadcast(spark, capsys):
+    values = spark.createDataFrame([(f"q{k}", float(k)) for k in range(50)], "query_id string, value double")
+    drawn = streams.exact_draws(values, 20)
+    drawn.joined(values).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and not any("MapInArrow" in x for x in plan.split("BroadcastExchange")[1:])
