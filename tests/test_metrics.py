@@ -337,3 +337,14 @@ def test_random_lists_are_not_shuffled_and_equal_rows(spark, monkeypatch, capsys
     assert tuple(got.first()) == (pytest.approx(np.mean(want), abs=1e-12), len(want))
     got.explain()
     assert ("explode" in capsys.readouterr().out) == (long == 3)
+
+
+def test_long_tables_are_dealt_by_query_over_more_tasks(spark, monkeypatch, capsys):
+    rows = frame(spark, random_rows(1)).withColumn("dataset", F.lit("d")).withColumn("route", F.lit("r"))
+    want = {r["query_id"]: r["value"] for r in classify.per_query(rows, "pr_auc").collect()}
+    monkeypatch.setattr(classify, "TASK_ROWS", 3)
+    found = classify.per_query(rows, "pr_auc")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert {r["query_id"]: r["value"] for r in found.collect()} == pytest.approx(want)
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
