@@ -348,3 +348,14 @@ def test_long_tables_are_dealt_by_query_over_more_tasks(spark, monkeypatch, caps
     plan = capsys.readouterr().out
     assert {r["query_id"]: r["value"] for r in found.collect()} == pytest.approx(want)
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sanity_report_reads_texts_once(spark, capsys):
+    from pairloom.operators import lexical
+
+    pool = spark.createDataFrame([("q", k, f"d{k}", k % 2, "red fox", t) for k, t in enumerate(["a red fox", "fox fox", "", None, "red", "blue sky"])], "query_id string, ordinal long, doc_id string, label int, question string, text string")
+    found = lexical.sanity_report(pool)
+    got = {(r["measure"], r["label"]): (r["count"], r["mean"], r["median"]) for r in found.collect()}
+    assert got[("length", 0)] == (3, 4.0, 3.0) and got[("length", 1)][0] == 3 and got[("length", 1)][2] == 7.5
+    found.explain()
+    assert "InMemoryTableScan" in capsys.readouterr().out
