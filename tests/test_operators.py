@@ -336,3 +336,23 @@ def test_only_records_near_the_wanted_ones_are_parsed(spark, tmp_path):
     assert loaders.asked_lines(spark, str(tmp_path), wanted).count() == 4  # d7 twice, the escaped id, and the broken line
     got = {r["docid"]: (r["title"], r["text"]) for r in loaders.read_corpus(spark, str(tmp_path), wanted).collect()}
     assert got == {"d7": ("last", "y"), 'o"dd': ("", "x")}
+
+
+def test_all_cosines_shuffle_tiles_and_equal_the_joined_pairs(spark, monkeypatch, capsys):
+    from pairloom.functions import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_TILE", 3)
+    monkeypatch.setattr(vectors, "ROW_TILE", 5)
+    rows = [(f"v{k}", None if k == 7 else [1.0, None] if k == 9 else [0.0, 0.0] if k == 4 else [float(k % 5 - 2), float(k)], None if k == 3 else k % 2) for k in range(20)]
+    e = spark.createDataFrame(rows, "id string, vector array<double>, label int")
+    asked = e.filter("id in ('v0', 'v3', 'v4', 'v7', 'v9', 'v12', 'v16')")
+    found = routes.embedding_of_all(e, asked)
+    found.explain()
+    assert "HashJoin" not in (plan := capsys.readouterr().out) and "MergeJoin" not in plan
+    pairs = e.select(F.col("id").alias("doc_id"), F.col("label").alias("dl")).crossJoin(asked.select(F.col("id").alias("query_id"), F.col("label").alias("ql")))
+    pairs = pairs.select("query_id", "doc_id", F.lit(0).alias("ordinal"), (F.col("ql") == F.col("dl")).cast("int").alias("label"))
+    want = routes.embedding(pairs.filter("query_id <> 'v7' and doc_id <> 'v7'"), e.select(F.col("id").alias("doc_id"), "vector"), asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
+    told = lambda x: {(r["query_id"], r["doc_id"]): (r["label"], None if r["score"] is None else round(r["score"], 12)) for r in x.collect()}
+    got = told(found)
+    assert len(got) == 140 and all(got[x][1] is None for x in got if "v7" in x)
+    assert {x: v for x, v in got.items() if "v7" not in x} == told(want)
