@@ -43,6 +43,8 @@ SETS, EITHER = "sets", "either"
 BANDS, ROWS = 32, 5
 #: Texts, and shingles of all its texts, that a block of a bucket holds about.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Bits of a bitmap for each node, and at most for all: 32 MB.
+BITS_A_NODE, MAX_BITS = 16, 1 << 28
 #: Texts of a large bucket that all of its blocks share.
 ANCHORS = 64
 #: Bytes of a text's SHA-256 that name it; two texts share them never in practice (128 bits).
@@ -316,12 +318,37 @@ def _in_pairs_of_parts(large: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select("key", F.xxhash64(F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("block"), "node", "class")
 
 
+def _bitmap_of_nodes(bucket: DataFrame) -> tuple[np.ndarray, Column]:
+    """A bitmap of the nodes in buckets, put together on the executors by words of 64 bits, and a node's place in it.
+
+    Texts of other nodes that fall on a set bit only make a set that is not asked for.
+    """
+    count = bucket.agg(F.approx_count_distinct("node")).first()[0]
+    size = min(MAX_BITS, max(1 << 13, 1 << (BITS_A_NODE * count).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - size.bit_length() + 1)
+    spots = bucket.select(place.alias("place")).selectExpr("place div 64 as slot", "shiftleft(1L, cast(place % 64 as int)) as bit")
+    slots = spots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, U)
+    out[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(U)
+    return out, place
+
+
+def _in_bitmap(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows (node, text, place) whose place is set."""
+    for batch in batches:
+        place = batch.column(2).to_numpy().view(U)
+        kept = batch.filter(pa.array((bits[place >> U(6)] >> (place & U(63))) & U(1) == 1))
+        if kept.num_rows:
+            yield kept
+
+
 def _roots(texts: DataFrame, threshold: float, bands: int, rows: int, size: int, measure: str) -> DataFrame:
     """(node, root) of the texts with a link, root naming the class."""
     bucket = _buckets(texts, bands, rows, size, measure)
-    members = bucket.select("node").distinct()
-    some = texts.select("node", "text").join(members, "node", "left_semi")
-    sets = stage_table(some.mapInArrow(lambda b: _as_sets(b, size, measure), "node binary, shingles binary, counts binary"), "sets")
+    bits, place = _bitmap_of_nodes(bucket)
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+    sets = stage_table(texts.select("node", "text", place.alias("place")).mapInArrow(lambda b: _as_sets(_in_bitmap(b, sent.value), size, measure), "node binary, shingles binary, counts binary"), "sets")
+    sent.destroy()
 
     def linked(dealt: DataFrame) -> DataFrame:
         whole = dealt.join(sets, "node").select("key", "block", "node", "class", "shingles", "counts")

@@ -657,3 +657,15 @@ def test_rows_without_an_id_are_dealt_over_salts(spark):
     classes = minhash.near_duplicate_classes(table)
     assert {tuple(r) for r in classes.groupBy("class_size").count().collect()} == {(1, 400), (19_600, 19_600)}
     assert minhash.drop_near_duplicates(table).count() == 401
+
+
+def test_bitmap_of_nodes_lets_every_node_through(spark):
+    import pyarrow as pa
+
+    from pairloom.llm import minhash
+
+    nodes = spark.range(300).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("node"), "id")
+    bits, place = minhash._bitmap_of_nodes(nodes.filter("id < 40"))
+    table = nodes.select("node", F.lit("").alias("text"), place.alias("place"), "id").toArrow()
+    kept = [r for b in table.to_batches() for x in minhash._in_bitmap([b], bits) for r in x.column(3).to_pylist()]
+    assert set(range(40)) <= set(kept) and len(kept) < 150
