@@ -68,6 +68,34 @@ def test_bm25_keeps_documents_without_a_hit(spark):
     assert got["b"] == got["c"] == 0.0
 
 
+def test_baselines_equal_brute_force(spark):
+    import math
+    import re
+    import unicodedata
+
+    rng = random.Random(4)
+    words = ["red", "fox", "Ｒｅｄ", "東京", "東京都", "カタカナ", "ｶﾀ", "x", "7a", "naïve"]
+    said = lambda n: "".join(rng.choice(words) + rng.choice([" ", "-", ""]) for _ in range(n))
+    asked = {q: said(6) for q in ("q1", "q2")} | {"q3": "- x", "q4": None}
+    rows = [(q, k, f"{q}{k}", k % 2, a, [None, "", "x"][k] if k < 3 else said(rng.randrange(30))) for q, a in asked.items() for k in range(12)]
+    bag = lambda t: re.findall(r"[一-鿿]{2,}|[゠-ヿ]{2,}|[A-Za-z0-9]{2,}", unicodedata.normalize("NFKC", t or ""))
+    want = {}
+    for q, a in asked.items():
+        own = [(d, t, bag(t)) for x, _, d, _, _, t in rows if x == q]
+        terms, mean = list(dict.fromkeys(bag(a))), sum(len(b) for *_, b in own) / len(own)
+        for d, t, b in own:
+            df = {w: sum(w in x for *_, x in own) for w in terms}
+            want["bm25", d] = sum(math.log((len(own) - df[w] + 0.5) / (df[w] + 0.5) + 1) * b.count(w) * 2.5 / (b.count(w) + 1.5 * (0.25 + 0.75 * len(b) / mean)) for w in terms if w in b)
+            want["term_overlap", d] = 0.0 if not terms else None if t is None else sum(w in b for w in terms) / len(terms)
+            want["length", d] = None if t is None else float(len(t))
+    pool = spark.createDataFrame(rows, "query_id string, ordinal long, doc_id string, label int, question string, text string")
+    got = {(r["route"], r["doc_id"]): r["score"] for r in lexical.baseline_scores(pool).collect()}
+    none = {k for k, v in want.items() if v is None}
+    assert none and {k for k, v in got.items() if v is None} == none
+    assert {k: v for k, v in got.items() if k not in none} == pytest.approx({k: v for k, v in want.items() if k not in none}, abs=1e-12)
+    assert {r["doc_id"]: r["score"] for r in lexical.bm25(pool).collect()} == {d: v for (r, d), v in got.items() if r == "bm25"}
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("ＡＢ ｶﾀｶﾅ 漢字文 x 12", "「Ａ・Ｂ」　c-D", "no tag", " 東京 ")], "a string, b string, c string, d string")
     got = row.select(T.terms(F.col("a")).alias("t"), T.normalise_answer(F.col("b")).alias("n"), T.extract_answer(F.col("c")).alias("e"), T.estimate_tokens(F.lit("東京abcde")).alias("k"), T.strip(F.col("d")).alias("s")).first()

@@ -94,6 +94,20 @@ def test_report_fails_where_nothing_is_saved(tmp_path, capsys, spark):
 # --- runs ---
 
 
+def test_baselines_of_a_run_read_texts_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(k):
+        read.add(1)
+        return "red fox " * (k % 3) + "blue sky"
+
+    pool = spark.range(20).select(F.concat(F.lit("q"), (F.col("id") % 4).cast("string")).alias("query_id"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit("red fox").alias("question"), text("id").alias("text"))
+    got = {r["route"]: r for r in judge.run_judge(spark, pool, {}, str(tmp_path / "runs"), "d").collect()}
+    assert {r: x["pairs"] for r, x in got.items()} == {"length": 20, "term_overlap": 20, "bm25": 20}
+    assert read.value == 20
+
+
 def test_a_failed_route_is_reported_and_run_again(spark, tmp_path):
     pool = spark.createDataFrame([(f"q{q}", i, f"q{q}-{i}", int(i == 1), "x", "text") for q in range(3) for i in range(3)], "query_id string, ordinal long, doc_id string, label int, question string, text string")
     calls, done = [], []
