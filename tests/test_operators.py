@@ -384,3 +384,32 @@ def test_all_cosines_shuffle_tiles_and_equal_the_joined_pairs(spark, monkeypatch
     got = told(found)
     assert len(got) == 140 and all(got[x][1] is None for x in got if "v7" in x)
     assert {x: v for x, v in got.items() if "v7" not in x} == told(want)
+
+
+def test_all_cosines_deal_a_tile_a_task_and_files_hold_little_beside_scores(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    e = spark.createDataFrame([(f"{k}", [rng.gauss(0, 1) for _ in range(8)], k % 10) for k in range(3001)], "id string, vector array<double>, label int")
+    tasks = vectors._tiles(e, 400).select(F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 8 == len({r["task"] for r in tasks})  # hashes of eight numbers share tasks
+    asked = e.filter("id % 20 = 0")
+    found = routes.embedding_of_all(e, asked, digits=9)
+    found.write.parquet(out := str(tmp_path / "pairs"))
+    groups = [m.row_group(k) for f in (tmp_path / "pairs").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 151 * 3001
+    assert sum(g.column(k).total_compressed_size for g in groups for k in (0, 1)) < 0.5 * 151 * 3001  # both ids; query after query they take 1.5 bytes a pair
+    got, want = spark.read.parquet(out), routes.embedding_of_all(e, asked).withColumn("score", F.round("score", 9))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_scores_are_rounded_as_sql_rounds():
+    import duckdb
+    import numpy as np
+
+    x = np.array([0.5, -0.5, 1.5, 2.5, -2.5, 0.0, -0.0, -1e-12, 0.25, 1.0000000000000002, -0.1234567895, 0.1234567895, 0.49999999999999994, float("nan")])
+    for digits in (0, 1, 9):
+        want = [v for (v,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), ?::INTEGER)", [x.tolist(), digits]).fetchall()]
+        got = vectors._rounded(x, digits)
+        assert np.array_equal(got, np.array(want), equal_nan=True)
+        assert not np.signbit(got[got == 0]).any()
